@@ -29,6 +29,12 @@ def op8_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_fast_similarity_sketching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.token_files import token_file_digests
 
@@ -39,5 +45,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
+    "op9_fast_similarity_sketching": op9_fast_similarity_sketching,
     "op10_bit_plane_files": op10_bit_plane_files,
 }
