@@ -11,12 +11,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_weakly_supervised_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.personal_data import personal_data_report
+
+    return personal_data_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.decontamination import decontaminate
 
     return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
 
 
+def op6_weakly_supervised_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.quality import quality_report
+
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.sharding import shard_documents
 
@@ -42,7 +54,9 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_weakly_supervised_personal_data": op2_weakly_supervised_personal_data,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_weakly_supervised_quality": op6_weakly_supervised_quality,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_fast_similarity_sketching": op9_fast_similarity_sketching,
