@@ -64,6 +64,15 @@ def segment(part: int, doc_ids: list, counts: list[int], ids: np.ndarray, bits:
     return head + body
 
 
+def segment_heads(data: bytes) -> Iterator[tuple]:
+    """The fields of HEAD of each segment of a file."""
+    at = 0
+    while at < len(data):
+        head = HEAD.unpack_from(data, at)
+        yield head
+        at += HEAD.size + head[-1] + 1
+
+
 def segments(data: bytes) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
     """(part, document ids, counts, ids) of each segment of a file."""
     expand, at = zstandard.ZstdDecompressor().decompress, 0
@@ -144,9 +153,14 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["part", "doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
-    rows = spark.read.format("binaryFile").load(path).select("content").where(F.length("content") > 0)
-    rows = rows.mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
-    sizes = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each file
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [h for data in batch.column(0) for h in segment_heads(memoryview(data.as_buffer()))]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in found], t) for k, t in ((1, pa.int32()), (3, pa.int64()))], ["part", "n"])
+
+    files = spark.read.format("binaryFile").load(path).select("content").where(F.length("content") > 0)
+    rows = files.mapInArrow(decode, "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+    sizes = files.mapInArrow(heads, "part int, n long").groupBy("part").agg(F.sum("n").alias("n"))  # one row for each file
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     out = rows.join(F.broadcast(bases), "part")
