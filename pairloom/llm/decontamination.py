@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ALNUM, Words, as_batch, text_slices
+from pairloom.llm.common import ALNUM, Words, as_batch, quoted, text_slices
 
 #: Words of a window.
 WINDOW = 10
@@ -153,7 +153,7 @@ def decontaminate(
 
 def _mapped(docs: DataFrame, text: str, keep: list[str], step, schema: str) -> DataFrame:
     """mapInArrow over the kept columns and the text, under names that can't clash."""
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
+    rows = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
     kinds = dict(rows.dtypes)
     out = rows.mapInArrow(step, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), schema]))
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
@@ -204,7 +204,7 @@ def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) ->
         .groupBy("sha")
         .agg(F.collect_list(F.struct("first", "size", "item")).alias("hits"))
     )
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), sha.alias("sha"))
+    rows = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), sha.alias("sha"))
     rows = rows.join(hits, "sha", "left").drop("sha")
     kinds = dict(rows.dtypes)
     out = rows.mapInArrow(report, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), SCAN]))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import let, written
+from pairloom.llm.common import let, quoted, written
 from pairloom.llm.spans import find_spans, joined
 from pairloom.llm.weak_supervision import fit, odds_of, probability
 
@@ -118,31 +118,27 @@ def _features(kind: str, found: Column) -> Column:
 def _marked(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The kept columns and, for each kind, base spans and candidates with votes and features."""
     t = F.coalesce(F.col(text), F.lit(""))
-    columns = [F.col(c) for c in keep]
-    for kind in KINDS:
+    return docs.select(*map(quoted, keep), *[let(_base(k, t), _both(k, t)).alias(f"__{k}") for k in KINDS])
 
-        def told(spans: Column, base: bool, kind: str = kind) -> Column:
-            return F.transform(
-                spans,
-                lambda s: F.struct(
-                    F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _votes(kind, t, s, base).alias("votes"), _features(kind, s["found"]).alias("features")
-                ),
-            )
 
-        def free(spans: Column, base: Column) -> Column:
-            return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def _both(kind: str, text: Column):
+    """From the base spans to a struct of them and of the candidates that none of them touches."""
 
-        columns.append(
-            let(
-                _base(kind, t),
-                lambda base, kind=kind, told=told, free=free: F.struct(told(base, True).alias("base"), told(free(_candidates(kind, t), base), False).alias("wide")),
-            ).alias(f"__{kind}")
-        )
-    return docs.select(*columns)
+    def told(spans: Column, base: bool) -> Column:
+        def one(s: Column) -> Column:
+            votes, features = _votes(kind, text, s, base), _features(kind, s["found"])
+            return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes.alias("votes"), features.alias("features"))
+
+        return F.transform(spans, one)
+
+    def free(base: Column) -> Column:
+        return F.filter(_candidates(kind, text), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    return lambda base: F.struct(told(base, True).alias("base"), told(free(base), False).alias("wide"))
 
 
 def find_personal_data(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The kept columns (default: doc_id), ``base`` and ``spans``: array<struct<kind, start, end>> by kind, then start.
+    """The kept columns (default: doc_id), ``__base`` and ``__spans``: array<struct<kind, start, end>> by kind, then start.
 
     Places are code points, ends exclusive.  A null or empty text has no spans; repeated rows are
     judged each; an empty table gives no rows.  The marked rows are written once.
@@ -152,13 +148,13 @@ def find_personal_data(docs: DataFrame, keep: list[str] | None = None, text: str
     candidates = marked.select(F.explode(F.concat(*[F.concat(f"__{k}.base", f"__{k}.wide") for k in KINDS])).alias("c")).select("c.*")
     models = {k: fit(candidates.where(F.col("kind") == k), LABELERS) for k in KINDS}
     weights = _train(candidates, models)
-    columns, bases, alls = [F.col(c) for c in keep], [], []
+    columns, bases, alls = [*map(quoted, keep)], [], []
     plain = lambda spans: F.transform(spans, lambda s: F.struct(s["kind"], s["start"], s["end"]))
     for k in KINDS:
-        added = F.filter(F.col(f"__{k}.wide"), lambda s, k=k: _probability(k, s, weights) >= ADD_FROM)
+        added = F.filter(F.col(f"__{k}.wide"), _added(k, weights))
         bases.append(plain(F.col(f"__{k}.base")))
         alls.append(F.sort_array(F.concat(plain(F.col(f"__{k}.base")), plain(added))))
-    return marked.select(*columns, F.concat(*bases).alias("base"), F.concat(*alls).alias("spans"))
+    return marked.select(*columns, F.concat(*bases).alias("__base"), F.concat(*alls).alias("__spans"))
 
 
 def _vote_features(kind: str | Column, votes: Column) -> Column:
@@ -183,29 +179,34 @@ def _train(candidates: DataFrame, models: dict[str, dict]) -> dict[str, float]:
     return weights
 
 
-def _probability(kind: str, span: Column, weights: dict[str, float]) -> Column:
+def _added(kind: str, weights: dict[str, float]):
+    """Whether the classifier adds a candidate."""
     own = {f: w for f, w in weights.items() if f.startswith(f"{kind} ")}
     if not own:
-        return F.lit(0.0)
+        return lambda _: F.lit(False)
     table = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
-    values = F.concat(span["features"], _vote_features(kind, span["votes"]))
-    told = F.transform(values, lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-    # votes and features of a span repeat each other: their mean weight counts, times the labelers
-    return probability(F.lit(weights.get(kind, 0.0)) + F.aggregate(told, F.lit(0.0), lambda a, x: a + x))
+
+    def sure(span: Column) -> Column:
+        values = F.concat(span["features"], _vote_features(kind, span["votes"]))
+        told = F.transform(values, lambda f: F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+        return probability(F.aggregate(told, F.lit(weights[kind]), lambda a, x: a + x)) >= ADD_FROM
+
+    return sure
 
 
 def personal_data_report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, the digest of base spans and all spans."""
     found = find_personal_data(docs)
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("__base")), 256).alias("base_sha256"), joined(F.col("__spans")).alias("spans"))
 
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by its kind in brackets; a null text stays null."""
     names = docs.columns
     found = find_personal_data(docs, keep=names, text=text)
-    ordered = F.sort_array(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    ordered = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def masked(spans: Column) -> Column:
         def pieces(reached: Column) -> Column:
@@ -221,5 +222,5 @@ def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         ends = F.aggregate(spans, F.array(F.lit(0)), lambda a, s: F.concat(a, F.array(F.greatest(F.element_at(a, -1), s["end"]))))
         return let(ends, pieces)
 
-    clean = F.when(F.size("spans") == 0, F.col(text)).otherwise(let(ordered, masked))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*names)
+    clean = F.when(F.size("__spans") == 0, F.col(text)).otherwise(let(ordered, masked))
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*map(quoted, names))

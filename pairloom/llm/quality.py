@@ -110,7 +110,8 @@ def votes() -> list[Column]:
 
 def _scored(counted: DataFrame, keep_from: float) -> DataFrame:
     rules = votes()
-    model = fit(counted.select(F.array(*rules).alias("votes")), len(rules), PRIOR_BAD)
+    # rows that the base rules reject need no verdict, and would hide rarer kinds of junk
+    model = fit(counted.where(~base_failed()).select(F.array(*rules).alias("votes")), len(rules), PRIOR_BAD)
     scored = counted.withColumn("quality", 1 - probability(odds_of(rules, model)))
     return scored.withColumn("kept", ~base_failed() & (F.col("quality") >= keep_from))
 
