@@ -22,7 +22,7 @@ WINDOW = 10
 #: Most bytes of distinct windows that are broadcast; with more, windows are joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 
-SCAN = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string"
+SCAN = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def _own_grams(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,8 +84,8 @@ class _Index:
                     yield int(k), size, found
 
 
-def _report(words: Words, flat: np.ndarray, at: np.ndarray, hits: list[tuple[int, int, list[str]]]) -> list[pa.Array]:
-    """The columns of SCAN for a run of texts."""
+def _report(words: Words, flat: np.ndarray, at: np.ndarray, hits: list[tuple[int, int, list[str]]], clean: bool) -> dict[str, pa.Array]:
+    """The columns of SCAN for a run of texts, and the clean text if that is asked for."""
     step = np.zeros(len(words.start) + 1, np.int64)
     items: dict[int, set[str]] = {}
     for k, size, found in hits:
@@ -95,15 +95,17 @@ def _report(words: Words, flat: np.ndarray, at: np.ndarray, hits: list[tuple[int
     hit = np.cumsum(step)[:-1] > 0
     n_hit = np.bincount(words.row[hit], minlength=len(at) - 1)
     names = [sorted(items.get(i, ())) for i in range(len(at) - 1)]
-    clean = [_without(words, flat, at, hit, i) if n_hit[i] else flat[at[i] : at[i + 1]].tobytes().decode() for i in range(len(at) - 1)]
-    return [
-        pa.array(words.counts, pa.int64()),
-        pa.array(n_hit, pa.int64()),
-        pa.array([len(x) for x in names], pa.int64()),
-        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-        pa.array(n_hit > 0),
-        pa.array(clean, pa.string()),
-    ]
+    out = {
+        "n_words": pa.array(words.counts, pa.int64()),
+        "n_hit": pa.array(n_hit, pa.int64()),
+        "n_items": pa.array([len(x) for x in names], pa.int64()),
+        "items_sha256": pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
+        "contaminated": pa.array(n_hit > 0),
+    }
+    if clean:
+        texts = [_without(words, flat, at, hit, i) if n_hit[i] else flat[at[i] : at[i + 1]].tobytes().decode() for i in range(len(at) - 1)]
+        out["clean_text"] = pa.array(texts, pa.string())
+    return out
 
 
 def _without(words: Words, flat: np.ndarray, at: np.ndarray, hit: np.ndarray, row: int) -> str:
@@ -124,12 +126,13 @@ def decontaminate(
     window: int = WINDOW,
     text: str = "text",
     keep: list[str] | None = None,
+    clean: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The ``keep`` columns (default: doc_id) and the columns of SCAN, one row for each document.
 
     ``n_hit`` counts words inside any window that occurs, ``items_sha256`` digests the sorted ids of
-    the items with such windows, ``clean_text`` is the text without the hit words.  A null or empty
+    the items with such windows; with ``clean`` there is ``clean_text``, the text without the hit words.  A null or empty
     text has no words; repeated rows are reported each; an empty benchmark hits nothing.
     Windows of at most ``broadcast_bytes`` in all are broadcast; a larger benchmark is joined with
     the documents' windows by hash, which gives the same rows.
@@ -137,18 +140,17 @@ def decontaminate(
     keep = keep or ["doc_id"]
     windows = benchmark_windows(benchmark, window)
     if (windows.agg(F.sum(F.octet_length("words") + 80)).first()[0] or 0) > broadcast_bytes:
-        return _by_join(docs, windows, text, keep)
+        return _by_join(docs, windows, text, keep, clean)
     index = docs.sparkSession.sparkContext.broadcast(_Index(windows.collect()))  # its size was checked
-    names = [x.split()[0] for x in SCAN.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, flat, at in text_slices(batch.column(len(keep))):
                 words = Words(flat, at, ALNUM)
-                cols = _report(words, flat, at, list(index.value.hits(words)))
-                yield as_batch(batch.slice(row, end - row), [f"k{i}" for i in range(len(keep))], **dict(zip(names, cols, strict=True)))
+                columns = _report(words, flat, at, list(index.value.hits(words)), clean)
+                yield as_batch(batch.slice(row, end - row), [f"k{i}" for i in range(len(keep))], **columns)
 
-    return _mapped(docs, text, keep, scan, SCAN)
+    return _mapped(docs, text, keep, scan, SCAN + ", clean_text string" * clean)
 
 
 def _mapped(docs: DataFrame, text: str, keep: list[str], step, schema: str) -> DataFrame:
@@ -159,7 +161,7 @@ def _mapped(docs: DataFrame, text: str, keep: list[str], step, schema: str) -> D
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
 
 
-def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) -> DataFrame:
+def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], clean: bool) -> DataFrame:
     """The same for a benchmark that is too large to broadcast: windows meet by a shuffle on their hash.
 
     Copies of a text are scanned once: rows meet again by the digest of their text.
@@ -192,10 +194,9 @@ def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) ->
                 words = Words(flat, at, ALNUM)
                 base = np.concatenate([[0], np.cumsum(words.counts)])
                 hits = [(int(base[i]) + h["first"], h["size"], [h["item"]]) for i in range(end - row) for h in found[row + i] or ()]
-                cols = _report(words, flat, at, hits)
-                yield as_batch(batch.slice(row, end - row), [f"k{i}" for i in range(len(keep))], **dict(zip(names, cols, strict=True)))
+                columns = _report(words, flat, at, hits, clean)
+                yield as_batch(batch.slice(row, end - row), [f"k{i}" for i in range(len(keep))], **columns)
 
-    names = [x.split()[0] for x in SCAN.split(", ")]
     sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     texts = docs.select(sha.alias("sha"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["sha"])
     hits = (
@@ -207,5 +208,5 @@ def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str]) ->
     rows = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), sha.alias("sha"))
     rows = rows.join(hits, "sha", "left").drop("sha")
     kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(report, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), SCAN]))
+    out = rows.mapInArrow(report, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), SCAN + ", clean_text string" * clean]))
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

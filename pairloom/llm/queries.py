@@ -11,16 +11,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.licenses import license_report
+
+    return license_report(_table(spark, sf_dir, "documents"))
+
+
 def op2_weakly_supervised_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.personal_data import personal_data_report
 
     return personal_data_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_template_deduction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.page_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.decontamination import decontaminate
 
-    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("clean_text")
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.secrets import secrets_report
+
+    return secrets_report(_table(spark, sf_dir, "documents"))
 
 
 def op6_weakly_supervised_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +72,11 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scans": op1_license_scans,
     "op2_weakly_supervised_personal_data": op2_weakly_supervised_personal_data,
+    "op3_template_deduction": op3_template_deduction,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_markov_secrets": op5_markov_secrets,
     "op6_weakly_supervised_quality": op6_weakly_supervised_quality,
     "op7_jump_sharding": op7_jump_sharding,
     "op8_minimum_bin_slack": op8_minimum_bin_slack,

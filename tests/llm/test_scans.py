@@ -69,7 +69,7 @@ def test_decontamination(spark, limit):
     rows = list(enumerate(texts))
     items = [(1, " ".join((texts[2] or "").split()[3:20])), (20, texts[4]), (3, "Üß üß"), (4, ""), (5, None), (6, "x X"), (7, "x,x")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.decontaminate(docs(spark, rows), bench, broadcast_bytes=limit).collect()
+    got = decontamination.decontaminate(docs(spark, rows), bench, clean=True, broadcast_bytes=limit).collect()
     assert sorted([tuple(r)[:6] for r in got], key=str) == brute_decontamination(rows, items)
     clean = {r["doc_id"]: r["clean_text"] for r in got}
     assert clean[0] is not None and all(clean[r["doc_id"]] == (texts[r["doc_id"]] or "") for r in got if not r["contaminated"])
