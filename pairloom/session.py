@@ -1,13 +1,14 @@
-"""Getting this package onto the executors."""
+"""The package on the executors, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +29,22 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(target)
         _SHIPPED.add(app)
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that all machines share: ``spark.checkpoint.dir``.
+
+    Only where that setting is missing (tests on one machine) is a temporary folder set.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="pairloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet in the shared folder and read again: this cuts the lineage."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
