@@ -248,8 +248,8 @@ def _moves(spark, d):
 
 
 def _start(spark, d):
-    folds = spark.range(1, FOLDS + 1).select(F.col("id").cast("int").alias("fold"))
-    return X.nodes(spark, d).select("node", "features").crossJoin(F.broadcast(folds)).select("fold", "node", "features")
+    folds = F.array(*map(F.lit, range(1, FOLDS + 1)))
+    return X.nodes(spark, d).select(F.explode(folds).alias("fold"), "node", "features")
 
 
 APPLIED = ", x0 AS (SELECT f.fold, node, features FROM v_nodes, (SELECT unnest([1, 2])::INT AS fold) f)" + "".join(

@@ -52,7 +52,7 @@ def assign_folds(edges: DataFrame, k: int = 10, seed: int = 7777, by: list[str]
     sizes = edges.groupBy(*by).agg(F.count("*").alias("__n"))
     if sizes.where("__n < 2").limit(1).count():
         raise ValueError("folds need at least two positive pairs")
-    ranked = ranked.join(F.broadcast(sizes), by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
+    ranked = ranked.join(sizes, by) if by else ranked.withColumn("__n", F.lit(sizes.first()[0]))
     used = F.least(F.lit(k), F.col("__n"))
     q, m = F.floor(F.col("__n") / used), F.col("__n") % used
     long, r = m * (q + 1), F.col("__rank")
@@ -64,7 +64,7 @@ def expand_folds(assigned: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, fold, split, left_idx, right_idx): each pair is in test of its fold and in train of all others."""
     by = list(by)
     folds = assigned.groupBy(*by).agg(F.max("test_fold").alias("__k"))
-    rows = assigned.join(F.broadcast(folds), by) if by else assigned.crossJoin(F.broadcast(folds))  # one row
+    rows = assigned.join(folds, by) if by else assigned.withColumn("__k", F.lit(folds.first()[0] or 1))
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.col("__k"))))
     split = F.when(F.col("fold") == F.col("test_fold"), "test").otherwise("train")
     return rows.select(*by, "fold", split.alias("split"), "left_idx", "right_idx")
@@ -82,9 +82,9 @@ def fold_meta(expanded: DataFrame, lefts: DataFrame, rights: DataFrame, by: list
     counts = fold_counts(expanded, by)
     a = lefts.groupBy(*by).agg(F.count("*").alias("num_left"))
     b = rights.groupBy(*by).agg(F.count("*").alias("num_right"))
-    for t in (a, b):
-        counts = counts.join(F.broadcast(t), by) if by else counts.crossJoin(F.broadcast(t))  # one row
-    return counts
+    if not by:
+        return counts.withColumns({"num_left": F.lit(a.first()[0]), "num_right": F.lit(b.first()[0])})
+    return counts.join(a, by).join(b, by)
 
 
 def best_epochs(df: DataFrame, by: list[str], metric: str = "metric") -> DataFrame:

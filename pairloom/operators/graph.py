@@ -35,14 +35,22 @@ def merged_graph(train: DataFrame, similar: DataFrame | None, num_left: int, num
     """
     by, n = list(by), num_left + num_right
     edges = bipartite_edges(train, num_left, by)
-    groups = train.select(*by).distinct() if by else None
+    # the groups are the few folds of a job
+    groups = [tuple(r) for r in train.select(*by).distinct().collect()] if by else []
+
+    def in_groups(rows: DataFrame) -> DataFrame:
+        if not by:
+            return rows
+        kinds = dict(train.dtypes)
+        each = F.array(*[F.struct(*[F.lit(v).cast(kinds[c]).alias(c) for c, v in zip(by, g, strict=True)]) for g in groups])
+        return rows.withColumn("__g", F.explode(each)).select("__g.*", "src", "dst") if groups else edges.limit(0)
+
     if similar is not None:
-        both = similar.select("src", "dst")
-        edges = edges.unionByName(both.crossJoin(F.broadcast(groups)) if by else both)  # the groups are the few folds
+        edges = edges.unionByName(in_groups(similar.select("src", "dst")))
     edges = edges.where((F.col("src") != F.col("dst")) & F.col("src").between(0, n - 1) & F.col("dst").between(0, n - 1))
     if self_loops:
         nodes = train.sparkSession.range(n).select(F.col("id").alias("src"), F.col("id").alias("dst"))
-        edges = edges.unionByName(nodes.crossJoin(F.broadcast(groups)) if by else nodes)
+        edges = edges.unionByName(in_groups(nodes))
     return edges.distinct()
 
 
