@@ -95,12 +95,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, least: int) -> DataFrame:
-    """(node, shingle) of each set's rarest shingles: all but as many as similar sets must share, less one."""
+    """(node, n, shingle, place) of each set's rarest shingles: all but as many as similar sets must share, less one."""
     grams = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     often = grams.groupBy("shingle").agg(F.count("*").alias("often"))
     place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
     ranked = grams.join(often, "shingle").select("node", "n", "shingle", place.alias("place"))
-    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1).select("node", "n", "shingle")
+    return ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least / 100) + 1)
+
+
+def _prefix_pairs(rare: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar, from their first common rare shingle.
+
+    Sets of n and m shingles are similar if they share at least least (n + m) / (100 + least).  Before
+    the first common shingle, at places i and j, they share nothing, so they share at most what is
+    left from there in either.  That also shortens the prefix of the smaller set of each pair.
+    """
+    one = rare.select("shingle", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("i"), F.col("component").alias("cx"))
+    one = one.where((100 + least) * (F.col("nx") - F.col("i") + 1) >= 2 * least * F.col("nx"))
+    two = rare.select("shingle", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("j"), F.col("component").alias("cy"))
+    order = (F.col("nx") < F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))
+    left = F.least(F.col("nx") - F.col("i"), F.col("ny") - F.col("j")) + 1
+    enough = (100 + least) * left >= least * (F.col("nx") + F.col("ny"))
+    fits = order & (F.col("cx") != F.col("cy")) & _similar_sizes(F.col("nx"), F.col("ny"), least) & enough
+    return one.join(two, "shingle").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
@@ -128,14 +145,24 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     sets = written(_sets(docs, _ends(pairs).union(large.select("node")).distinct(), shingle, text), "sets")
     links = written(_verified(pairs, sets, least), "links")
 
-    found = large.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = components(links)
+    found = large.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     open_nodes = written(found.join(mixed, "band", "left_semi").select("node", "component").distinct(), "open")
     rare = written(_prefixes(sets.join(open_nodes, "node", "left_semi"), least).join(open_nodes, "node"), "prefixes")
-    more = _pairs(rare, "shingle", least, apart="component").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = links.union(_verified(written(more, "pairs"), sets, least))
-
-    named = nodes.select("digest", "node").join(components(links), "node", "left")
+    more = _prefix_pairs(rare, least).distinct().join(pairs, ["a", "b"], "left_anti")
+    # what is new ties whole components together
+    more = written(_verified(written(more, "pairs"), sets, least), "links")
+    for end in "ab":
+        tied = first.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        more = more.join(tied, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    second = components(more).select(F.col("node").alias("component"), F.col("component").alias("final"))
+    alone = second.select(F.col("component").alias("node"), F.col("final").alias("component"))
+    merged = first.join(second, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    # a node that only new links tie is no node of the first components
+    named_nodes = merged.union(alone.join(first.select("node"), "node", "left_anti"))
+
+    named = nodes.select("digest", "node").join(named_nodes, "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component_id"))
     out = rows.drop("bands").join(named, "digest", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
@@ -144,9 +171,9 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     )
 
 
-def _pairs(rows: DataFrame, key: str, least: int, apart: str | None = None) -> DataFrame:
-    """Pairs (a, b) of nodes of similar sizes with the same key, if need be only those that differ in ``apart``."""
-    one = rows.select(key, F.col("node").alias("a"), F.col("n").alias("na"), F.col(apart or "n").alias("ca"))
-    two = rows.select(key, F.col("node").alias("b"), F.col("n").alias("nb"), F.col(apart or "n").alias("cb"))
+def _pairs(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes of similar sizes with the same key."""
+    one = rows.select(key, F.col("node").alias("a"), F.col("n").alias("na"))
+    two = rows.select(key, F.col("node").alias("b"), F.col("n").alias("nb"))
     fits = (F.col("a") < F.col("b")) & _similar_sizes(F.col("na"), F.col("nb"), least)
-    return one.join(two, key).where(fits & (F.col("ca") != F.col("cb")) if apart else fits).select("a", "b")
+    return one.join(two, key).where(fits).select("a", "b")
