@@ -83,7 +83,7 @@ def fold_meta(expanded: DataFrame, lefts: DataFrame, rights: DataFrame, by: list
     a = lefts.groupBy(*by).agg(F.count("*").alias("num_left"))
     b = rights.groupBy(*by).agg(F.count("*").alias("num_right"))
     if not by:
-        return counts.withColumns({"num_left": F.lit(a.first()[0]), "num_right": F.lit(b.first()[0])})
+        return counts.withColumns({"num_left": F.lit(a.first()[0]).cast("long"), "num_right": F.lit(b.first()[0]).cast("long")})
     return counts.join(a, by).join(b, by)
 
 
