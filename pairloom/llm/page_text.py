@@ -1,15 +1,19 @@
 """Main text of web pages by equivalence classes of template tokens.
 
 1. Every page is read as a row of tokens: its structural elements with their path from the body, and
-   the texts outside articles with the path of the element they stand in.
+   its texts with the path of the element they stand in.
 2. For each host, tokens with the same occurrence vector over its pages (the same number of
    occurrences on every page) form an equivalence class.  Vectors are compared by an order-free
    digest, so a host's pages never meet in one task.  A class is valid if it is frequent (on at least
-   half of the host's pages and on at least ``LEAST_PAGES``) and large (two tokens or more).
-3. Valid classes nest by the paths of their elements: that tree is the host's template.  What stands
-   between its tokens are slots.  A slot is boilerplate by its element or name, or if most of its
-   text on all pages is links; texts that are template tokens themselves are boilerplate too.
-4. The remaining slots give the text: those inside an article or main element, if the page has one.
+   half of the host's pages and on at least ``LEAST_PAGES``) and large (two tokens or more).  Pages with
+   equal html count as one page: copies of an article are no template.
+3. Valid classes nest: a token lies in the next element around it that is in a valid class, or else in
+   the page.  That tree is the host's template, and what stands between its tokens are slots.  A text
+   token is fixed if it is on most of the pages that have the element it lies in.  A slot is
+   boilerplate if most of its text on all pages is links.
+4. Fixed texts and link slots are dropped on every page, inside article and main too.  Elements and
+   names tell of the other slots which are navigation, comments and the like: these differ from page
+   to page as the main text does.  If an article or main element keeps any text, its slots are taken.
 
 A host with too few pages has no template; its pages are judged by elements, names and their own links.
 """
@@ -20,6 +24,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -31,12 +36,14 @@ from pairloom.llm.common import written
 
 #: A template token is on this share of a host's pages, and on so many pages.
 SHARE, LEAST_PAGES = 0.5, 4
-#: A template text outside articles is on this share of the pages.
+#: A template text is on this share of the pages that have the element around it.
 TEXT_SHARE = 0.8
 #: A slot with a larger share of link text is boilerplate.
 LINKS = 0.6
 #: Most template tokens that are broadcast to all pages; with more, pages and templates are joined by host.
 BROADCAST_TOKENS = 1_000_000
+#: Distinct pages with copies that are broadcast; with more, they are joined by host and digest.
+BROADCAST_COPIES = 1_000_000
 #: Slots' paths and template texts.
 TEMPLATE = "array<struct<token:bigint,kind:int>>"
 PATH, LINK_SLOT, TEXT = 0, 1, 2
@@ -94,10 +101,11 @@ def _events(html: str) -> Iterator[tuple[str, str, str]]:
         yield "text", "".join(held), ""
 
 
-def page_blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
+def page_blocks(html: str, opened: Counter | None = None) -> Iterator[tuple[tuple, bool, str, int]]:
     """(path, skipped, text, characters in links) of each block of text in page order.
 
     A path is a row of (element, names); an element is left by its end or by the end of one around it.
+    ``opened`` counts the elements by their paths.
     """
     path: list[tuple[str, str]] = []
     text: list[str] = []
@@ -108,7 +116,8 @@ def page_blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
         own = " ".join(unescape("".join(text)).split())
         text.clear()
         if own:
-            yield tuple(path), _skipped(path), own, min(linked, len(own))
+            at = tuple(path)
+            yield at, _slot(at)[1], own, min(linked, len(own))
         linked = 0
 
     for kind, value, names in _events(html):
@@ -128,6 +137,8 @@ def page_blocks(html: str) -> Iterator[tuple[tuple, bool, str, int]]:
                 if value in ("article", "main", "body"):  # what isn't closed before these was left open by mistake
                     path = [p for p in path if not _leaves([p])]
                 path.append((value, names))
+                if opened is not None:
+                    opened[tuple(path)] += 1
             elif value in (p[0] for p in path):
                 while path.pop()[0] != value:
                     pass
@@ -154,81 +165,126 @@ def _name(*parts) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@lru_cache(1 << 14)
+def _slot(path: tuple) -> tuple[int, bool, bool]:
+    """The token of a path, whether its texts are skipped and whether it is inside an article or main."""
+    return _name(path), _skipped(path), _in_article(path)
+
+
+def _text_name(slot: int, text: str) -> int:
+    key = slot.to_bytes(8, "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8, key=key).digest(), "little", signed=True)
+
+
 def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def template_tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, kind, text characters, link characters, times, page) of each token of each page."""
+def _copies(pages: DataFrame) -> DataFrame:
+    """(host, digest, copies) of the html that several pages of a host share."""
+    rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("html").alias("digest"))
+    return rows.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """(host, token, kind, parent, text characters, link characters, times, page, weight) of each token of each page.
+
+    The parent of a text is its slot, the parent of an element the one around it.  Copies of a page
+    weigh one together.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = _name("page")
         for batch in batches:
-            for host, page, html in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                times, chars, link_chars = Counter({(_name("page"), PATH): 1}), Counter(), Counter()
-                for path, _, text, linked in page_blocks(html or ""):
-                    for k in range(1, len(path) + 1):
-                        times[_name(path[:k]), PATH] += 1
-                    slot = _name(path), PATH
+            for host, page, html, copies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                opened, texts, chars, link_chars = Counter(), Counter(), Counter(), Counter()
+                for path, _, text, linked in page_blocks(html or "", opened):
+                    slot = _slot(path)[0]
                     chars[slot] += len(text)
                     link_chars[slot] += linked
-                    if not _in_article(path):
-                        times[_name(path, text), TEXT] += 1
-                keys = list(times)
+                    texts[slot, text] += 1
+                own = [(root, PATH, 0, chars[_slot(())[0]], link_chars[_slot(())[0]], 1)]
+                for path, n in opened.items():
+                    slot = _slot(path)[0]
+                    own.append((slot, PATH, _slot(path[:-1])[0], chars[slot], link_chars[slot], n))
+                own += [(_text_name(slot, text), TEXT, slot, 0, 0, n) for (slot, text), n in texts.items()]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([host] * len(keys)),
-                        pa.array([k for k, _ in keys], pa.int64()),
-                        pa.array([t for _, t in keys], pa.int32()),
-                        pa.array([chars[k] for k in keys], pa.int64()),
-                        pa.array([link_chars[k] for k in keys], pa.int64()),
-                        pa.array([times[k] for k in keys], pa.int64()),
-                        pa.array([page] * len(keys), pa.int64()),
+                        pa.array([host] * len(own)),
+                        *(pa.array(x, t) for x, t in zip(zip(*own, strict=True), kinds, strict=True)),
+                        pa.array([page] * len(own), pa.int64()),
+                        pa.array([1 / (copies or 1)] * len(own), pa.float64()),
                     ],
-                    ["host", "token", "kind", "chars", "links", "times", "page"],
+                    ["host", "token", "kind", "parent", "chars", "links", "times", "page", "weight"],
                 )
 
-    rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html")
-    return rows.mapInArrow(read, "host string, token long, kind int, chars long, links long, times long, page long")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    copies = written(_copies(pages), "copies")
+    rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html", F.xxhash64("html").alias("digest"))
+    rows = rows.join(F.broadcast(copies) if copies.count() <= broadcast_copies else copies, ["host", "digest"], "left").select("host", "page", "html", "copies")
+    return rows.mapInArrow(read, "host string, token long, kind int, parent long, chars long, links long, times long, page long, weight double")
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): the paths, link slots and texts in valid equivalence classes of each host."""
-    tokens = template_tokens(pages).groupBy("host", "token", "kind").agg(
-        F.count("*").alias("pages"),
+def nested(tokens: list[dict]) -> list[dict]:
+    """The template of a host, as TEMPLATE, from its frequent tokens (token, kind, parent, pages, chars, links, vector)."""
+    size = Counter(t["vector"] for t in tokens)
+    elements = {t["token"]: t for t in tokens if t["kind"] == PATH}
+    root = elements[_name("page")]
+    out = []
+    for t in tokens:
+        if size[t["vector"]] < 2:
+            continue
+        around = elements.get(t["parent"], root)
+        while size[around["vector"]] < 2 and around is not root:
+            around = elements.get(around["parent"], root)
+        if t["kind"] == PATH:
+            out.append({"token": t["token"], "kind": LINK_SLOT if t["links"] > LINKS * t["chars"] else PATH})
+        elif t["pages"] >= TEXT_SHARE * around["pages"] - 1e-6:
+            out.append({"token": t["token"], "kind": TEXT})
+    return out
+
+
+def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
+    """(host, template): the paths, link slots and fixed texts in the nested classes of each host."""
+    tokens = template_tokens(pages, broadcast_copies).groupBy("host", "token", "kind").agg(
+        F.sum("weight").alias("pages"),
         # equal for equal occurrence vectors, whatever the order of pages
         F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).alias("vector"),
+        F.min("parent").alias("parent"),
         F.sum("chars").alias("chars"),
         F.sum("links").alias("links"),
     )
-    often = written(tokens.where(F.col("pages") >= LEAST_PAGES), "tokens")  # read twice below
+    # weights of copies don't add up to whole numbers exactly
+    often = written(tokens.where(F.col("pages") >= LEAST_PAGES - 1e-6), "tokens")  # read twice below
     hosts = often.where(F.col("token") == _name("page")).select("host", F.col("pages").alias("all"))
-    often = often.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all"))
-    classes = often.groupBy("host", "vector", "pages").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "kind", "chars", "links", "all")).alias("own"))
-    own = classes.where("size >= 2").select("host", "pages", F.explode("own").alias("t")).select("host", "pages", "t.*")
-    kind = F.when((F.col("kind") == PATH) & (F.col("links") > LINKS * F.col("chars")), LINK_SLOT).otherwise(F.col("kind"))
-    valid = own.where((F.col("kind") == PATH) | (F.col("pages") >= TEXT_SHARE * F.col("all")))
-    return valid.groupBy("host").agg(F.collect_list(F.struct("token", kind.alias("kind"))).alias("template"))
+    often = often.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all") - 1e-6)
+    own = F.struct("token", "kind", "parent", "pages", "chars", "links", F.col("vector").cast("string").alias("vector"))
+
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("token", pa.int64()), ("kind", pa.int32())]))
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([nested(t) for t in batch.column(1).to_pylist()], kind)], ["host", "template"])
+
+    # a host has at most twice as many frequent tokens as its pages have on average
+    return often.groupBy("host").agg(F.collect_list(own).alias("own")).mapInArrow(nest, f"host string, template {TEMPLATE}")
 
 
 def main_text(html: str | None, template: list[dict] | None) -> str:
     """The main text of a page under the template of its host."""
-    known = {t["token"]: t["kind"] for t in template or ()}
-    blocks = list(page_blocks(html or ""))
-    chars, links = Counter(), Counter()
-    for path, _, text, linked in blocks:
+    return _main_text(html, {t["token"]: t["kind"] for t in template or ()})
+
+
+def _main_text(html: str | None, known: dict[int, int]) -> str:
+    chars, links, left = Counter(), Counter(), []
+    for path, skipped, text, linked in page_blocks(html or ""):
         chars[path] += len(text)
         links[path] += linked
-    article = any(_in_article(path) and not skipped for path, skipped, _, _ in blocks)
-    out = []
-    for path, skipped, text, _ in blocks:
-        if skipped or article and not _in_article(path):
-            continue
-        if not article:
-            slot = known.get(_name(path))
-            if slot == LINK_SLOT or slot is None and links[path] > LINKS * chars[path] or _name(path, text) in known:
-                continue
-        out.append(text)
-    return "\n".join(out)
+        slot, _, inside = _slot(path)
+        if not skipped and not (known and (known.get(slot) == LINK_SLOT or _text_name(slot, text) in known)):
+            left.append((path, slot in known, inside, text))
+    if any(inside for _, _, inside, _ in left):
+        return "\n".join(text for _, _, inside, text in left if inside)
+    return "\n".join(text for path, slot, _, text in left if slot or links[path] <= LINKS * chars[path])
 
 
 def extract_pages(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

@@ -151,3 +151,24 @@ def test_shared_articles_stay(spark):
     pages = [(k, "http://a.example/", f"<nav>Menu</nav><article>{ARTICLE}</article>") for k in range(9)]
     got = page_text.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
     assert {r["text"] for r in got} == {CLEAN}
+
+
+def test_templates_inside_articles(spark):
+    """What a host's pages share is dropped in article and main too; class names say nothing here."""
+    pages = []
+    for k in range(12):
+        own = f"<p>Story number {k} goes on.</p><p>It ends with {k * k}.</p>"
+        extra = "<section class='x1'><h3>More here</h3><p>Stay in touch</p></section>" if k % 4 else ""  # on 9 of 12 pages
+        pages.append((k, f"http://a.example/{k}", f"<body><article><p>Sign up for our letter</p>{own}<div><ul><li><a href=/{k}>Topic {k}</a></ul></div>{extra}</article></body>"))
+        pages.append((100 + k, f"http://b.example/{k}", f"<body><main><div><p>Shop of towels</p></div><section>{own}</section></main></body>"))
+    pages += [(200, "http://c.example/", "<article><p>Sign up for our letter</p></article>")]
+    # ten copies of one page are one page
+    pages += [(300 + k, f"http://d.example/{k}", f"<article><p>Copied {max(0, k - 9)}</p></article>") for k in range(14)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in page_text.extract_pages(df).collect()}
+    for k in range(12):
+        assert got[k] == got[100 + k] == f"Story number {k} goes on.\nIt ends with {k * k}."
+    assert got[200] == "Sign up for our letter"
+    assert [got[300 + k] for k in range(14)] == [f"Copied {max(0, k - 9)}" for k in range(14)]
+    joined = page_text.template_tokens(df, 0)
+    assert joined.where("weight < 0.2").select("page").distinct().count() == 10
