@@ -108,6 +108,9 @@ def page_blocks(html: str, opened: Counter | None = None) -> Iterator[tuple[tupl
     ``opened`` counts the elements by their paths.
     """
     path: list[tuple[str, str]] = []
+    at_event: list[tuple[str, int]] = []  # the element and its event, for each place of the path
+    events = list(_events(html))
+    given_up: tuple[set[int], set[int]] | None = None
     text: list[str] = []
     links = linked = 0
 
@@ -120,7 +123,7 @@ def page_blocks(html: str, opened: Counter | None = None) -> Iterator[tuple[tupl
             yield at, _slot(at)[1], own, min(linked, len(own))
         linked = 0
 
-    for kind, value, names in _events(html):
+    for i, (kind, value, names) in enumerate(events):
         if kind == "text":
             text.append(value)
             if links:
@@ -134,17 +137,56 @@ def page_blocks(html: str, opened: Counter | None = None) -> Iterator[tuple[tupl
             yield from block()
         if value in STRUCTURE:
             if kind == "open":
-                if value in ("article", "main", "body"):  # what isn't closed before these was left open by mistake
-                    path = [p for p in path if not _leaves([p])]
+                if value == "body":  # what isn't closed before it was left open by mistake
+                    stay = [k for k, x in enumerate(path) if not _leaves([x])]
+                    path, at_event = [path[k] for k in stay], [at_event[k] for k in stay]
+                elif value in ("article", "main") and _leaves(path):
+                    unclosed, wrappers = given_up = given_up or _given_up(events)
+                    stay = [k for k, x in enumerate(path) if not (_leaves([x]) and at_event[k][1] in unclosed)]
+                    path, at_event = [path[k] for k in stay], [at_event[k] for k in stay]
+                    path = [("div", "") if e[1] in wrappers else x for x, e in zip(path, at_event, strict=True)]
                 path.append((value, names))
+                at_event.append((value, i))
                 if opened is not None:
                     opened[tuple(path)] += 1
-            elif value in (p[0] for p in path):
-                while path.pop()[0] != value:
+            elif any(e == value for e, _ in at_event):
+                while path.pop() and at_event.pop()[0] != value:
                     pass
     yield from block()
 
 
+def _given_up(events: list[tuple[str, str, str]]) -> tuple[set[int], set[int]]:
+    """Boilerplate elements that don't count as such for the articles inside: those never closed, and wrappers.
+
+    A form, or an element that is boilerplate by its names only, wraps the main text if it holds the
+    page's first h1, or if no article or main stands free outside of it.  Elements are named by their event.
+    """
+    stack: list[int] = []
+    ends: dict[int, int] = {}
+    around: dict[int, list[int]] = {}
+    title = -1
+    for i, (kind, value, _) in enumerate(events):
+        if kind == "open":
+            if value in STRUCTURE:
+                if value in ("article", "main"):
+                    around[i] = list(stack)
+                stack.append(i)
+            elif value == "h1" and title < 0:
+                title = i
+        elif kind == "close" and any(events[k][1] == value for k in stack):
+            while events[k := stack.pop()][1] != value:
+                pass
+            ends[k] = i
+    leaving = {k for own in around.values() for k in own if _leaves([events[k][1:]])}
+    unclosed = {k for k in leaving if k not in ends}
+    loose = {k for k in leaving - unclosed if events[k][1] == "form" or events[k][1] not in SKIPPED}
+    wrappers = {k for k in loose if k < title < ends[k]}
+    kept = leaving - unclosed - wrappers
+    free = [i for i, own in around.items() if kept.isdisjoint(own)]
+    wrappers |= {k for k in loose - wrappers if all(k < i < ends[k] for i in free)}
+    return unclosed, wrappers
+
+
 def _leaves(path: list[tuple[str, str]]) -> bool:
     """Whether any element of a path is boilerplate by its kind or names."""
     return any(e in SKIPPED or names and NAMES.search(names) is not None for e, names in path)

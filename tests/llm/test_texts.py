@@ -172,3 +172,20 @@ def test_templates_inside_articles(spark):
     assert [got[300 + k] for k in range(14)] == [f"Copied {max(0, k - 9)}" for k in range(14)]
     joined = page_text.template_tokens(df, 0)
     assert joined.where("weight < 0.2").select("page").distinct().count() == 10
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<aside><article><p>Teaser</p></article></aside><article>{ARTICLE}</article>", CLEAN),
+        (f"<article>{ARTICLE}<section id='comments'><article><p>Reader</p></article></section></article>", CLEAN),
+        (f"<main>{ARTICLE}<div class='comments'><article><p>Reader</p></article></div></main>", CLEAN),
+        # around the main text these are wrappers
+        (f"<form><div class='with-sidebar'><article>{ARTICLE}</article></div></form>", CLEAN),
+        ("<div class='has-sidebar'><article><p>Only text</p></article></div>", "Only text"),
+        (f"<main><div class='sidebar wrap'><article>{ARTICLE}</article></div></main><aside><article>Teaser</article></aside>", CLEAN),
+        (f"<div><aside>left open<article>{ARTICLE}</article></div>", CLEAN),
+    ],
+)
+def test_articles_in_boilerplate(html, want):
+    assert page_text.main_text(html, None) == want
