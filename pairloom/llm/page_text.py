@@ -59,8 +59,16 @@ NAMES = re.compile(
     r"comments?|respond|disqus|reply|replies|footer|foot|header|masthead|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
     r"popup|modal|overlay|search|toolbar|pagination|pager|tags|copyright|legal|skip)(?:$|[\s_-])"
 )
-_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"<]{0,4096}"|'[^'<]{0,4096}'|["'])*+)>""")
-_NAMED = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+# a quote without a second one is a sign like others
+_TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*+"|'[^']*+'|["'])*+)>""")
+# if the quotes swallow the end of the tag: quotes are signs like others
+_LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*+)>")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+|"[^"]*+"|'[^']*+'""")
+
+
+def _names(attributes: str) -> str:
+    """The values of class, id and role; what other attributes hold in quotes is no attribute."""
+    return " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1] and m[1].lower() in ("class", "id", "role"))
 
 
 def _events(html: str) -> Iterator[tuple[str, str, str]]:
@@ -81,7 +89,7 @@ def _events(html: str) -> Iterator[tuple[str, str, str]]:
             end = html.find(">", lt)
             at = len(html) if end < 0 else end + 1
             continue
-        tag = _TAG.match(html, lt)
+        tag = _TAG.match(html, lt) or _LOOSE_TAG.match(html, lt)
         if not tag:
             held.append("<")
             at = lt + 1
@@ -96,7 +104,7 @@ def _events(html: str) -> Iterator[tuple[str, str, str]]:
                 end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)
         else:
-            yield "open", name, " ".join("".join(m) for m in _NAMED.findall(tag[3])) if tag[3] else ""
+            yield "open", name, _names(tag[3]) if tag[3] and name in STRUCTURE else ""
     if any(held):
         yield "text", "".join(held), ""
 

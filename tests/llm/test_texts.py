@@ -189,3 +189,25 @@ def test_templates_inside_articles(spark):
 )
 def test_articles_in_boilerplate(html, want):
     assert page_text.main_text(html, None) == want
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("<nav data-tpl=\"<b class='x'>y</b>\">Menu</nav><p>Text", "Text"),
+        ("<div><div title='a < b'>One</div><p>Two</div>", "One\nTwo"),
+        ("<div data-tpl='<p class=\"ad\">'>Kept</div>", "Kept"),
+        (f"<p>a<aside data-x=\"{'x > y ' * 2000}\">Side</aside><p>b", "a\nb"),
+        ("<p title=\"open>a</p><p>b", "a\nb"),
+        ("<p title=\"open>a</p><p class=\"x\">b</p>c<i", "b\nc<i"),  # as browsers read it
+        ("<p title=\"open>a<b x=\"y<z\">c", "ac"),
+        ("<div class = side>x</div><div data-id=side>y</div>", "y"),
+    ],
+)
+def test_quoted_values(html, want):
+    assert page_text.main_text(html, None) == want
+
+
+def test_long_quotes_take_linear_time():
+    for part in ("<a \"", "<a '\"", "<a \"'<b ", "<a x=\"<\" "):
+        assert page_text.main_text(part * 50_000, None) is not None
