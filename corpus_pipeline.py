@@ -25,16 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates: the one with the least doc_id."""
+    """Keep one row of each group of near duplicates: the one with the least doc_id, rows without one last.
+
+    Rows are told apart by a number of their own, so null and repeated doc_ids lose and hide nothing.
+    """
     ship(spark)
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
+    best = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
+    return rows.join(best.select("best.__row"), "__row", "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     ship(spark)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # which item is hit doesn't matter here, and items without an id count too
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("").alias("item_id"), "text")
     names = [c for c in docs.columns if c != "text"]
     scanned = decontaminate(docs, benchmark, keep=[*names, "text"])
     return scanned.where("not contaminated").select(docs.columns)

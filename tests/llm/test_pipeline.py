@@ -126,3 +126,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
             out = stage(spark, table, str(tmp_path))
             assert out.columns == docs.columns, name
             out.collect()
+
+
+def test_null_and_repeated_keys(spark, tmp_path):
+    r = random.Random(4)
+    a, b, c, d, e, leak = (" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(100)) for _ in range(6))
+    near = d.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a), (None, a), (None, b), (5, a), (5, c), (7, e), (7, e), (None, d), (None, near), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(map(tuple, corpus_pipeline.deduplicate(spark, docs, "").collect()))
+    alone = [x for x in ((None, d), (None, near)) if got[x]]
+    assert len(alone) == 1 and got == Counter([(1, a), (None, b), (5, c), (7, e), *alone, (None, ""), (None, None)])
+
+    spark.createDataFrame([(None, leak[:200]), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(1, a), (None, leak)], "doc_id long, text string")
+    assert corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect() == [(1, a)]
