@@ -274,9 +274,10 @@ def propagate(spark, d):
     return _long(P.propagate(_moves(spark, d), _start(spark, d), 2, 0.1), "fold", "node")
 
 
-def _operators(spark, d, order=2, steps=4):
-    left, right = X.sizes(spark, d)
-    return written(build_operators(_train(spark, d), X.nodes(spark, d), left, right, order, 10, steps=steps), "operators")
+def _operators(spark, d):
+    """All folds, with the operators' own order and steps."""
+    train = _expanded(spark, d).where("split = 'train'").select("fold", "left_idx", "right_idx")
+    return written(build_operators(train, X.nodes(spark, d), *X.sizes(spark, d)), "operators")
 
 
 @query("g9_operator_summary", _walk_sql(MOVES, "fold", 0.15, 0.85, 2) + """, w AS (SELECT fold, 1 AS ord, weight FROM s2), z AS (SELECT fold, 1 AS o, count(*) AS nnz, sum(weight) AS total FROM w GROUP BY 1)
@@ -289,7 +290,7 @@ def operator_summary(spark, d):
 
 @query("g8_encode")
 def encode(spark, d):
-    return P.encode(_operators(spark, d), X.nodes(spark, d).select("node", "features"), 2, K=3)
+    return P.encode(_operators(spark, d), X.nodes(spark, d).select("node", "features"), 4)
 
 
 @query("j9_pair_features", "SELECT fold, split, left_idx, right_idx, CAST(i AS INT) AS place, round(CASE WHEN i <= 64 THEN a.features[i] ELSE b.features[i - 64] END, 6) + 0.0 AS value FROM v_expanded JOIN v_nodes a ON a.node = left_idx JOIN v_nodes b ON b.node = right_idx + (SELECT nl FROM v_size), (SELECT unnest(range(1, 129)) AS i) WHERE fold <= 2", "v_expanded", "v_nodes", "v_size")
@@ -301,8 +302,9 @@ def pair_features(spark, d):
 @query("m1_fit_score_folds")
 def fit_score(spark, d):
     positives, negatives = _negatives(spark, d)
-    rows = N.labelled_pairs(positives, negatives).where(f"fold <= {FOLDS}")
-    return fit_score_folds(rows, _start(spark, d), X.sizes(spark, d)[0])
+    rows = N.labelled_pairs(positives, negatives)
+    start = rows.select("fold").distinct().crossJoin(X.nodes(spark, d).select("node", "features"))
+    return fit_score_folds(rows, start, X.sizes(spark, d)[0])
 
 
 @query("m2_evaluate_folds")

@@ -409,3 +409,19 @@ def test_feature_tables(spark):
             T.pair_feature_sets(names, bad)
     with pytest.raises(ValueError):
         T.clean_edges(spark.createDataFrame([], "drug_idx int, target_idx int"), required=True)
+
+
+def test_queries_take_all_folds(spark, tmp_path, monkeypatch):
+    from pairloom.jobs import queries
+
+    x = np.random.default_rng(8).normal(size=(12, 3))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    lines = [(l, r, "R", 50.0) for l in range(6) for r in range(6) if (l + r) % 3]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_returnflag string, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = {}
+    monkeypatch.setattr(queries, "build_operators", lambda train, *a, **k: seen.update(a=a[3:], k=k) or train)
+    monkeypatch.setattr(queries, "fit_score_folds", lambda rows, z, left: rows.join(z.select("fold").distinct(), "fold", "left_semi"))
+    for made in (queries._operators, queries.fit_score):
+        folds = made(spark, str(tmp_path)).select("fold").distinct().collect()
+        assert sorted(r["fold"] for r in folds) == list(range(1, 11))
+    assert seen == {"a": (), "k": {}}
