@@ -4,11 +4,14 @@ For each length L of a template, texts are cut into windows of 2 L words that be
 a notice of that length lies in one of them whole, where its similarity to the window is at least
 (L - 2) / (2 L - 2) by its shingles of three words.  Each of ``BANDS`` bands is one MinHash value: a
 similarity of 0.375, the least here, is missed with a probability of (1 - 0.375) ** 40 = 7e-9.
-Retrieved templates are verified by exact containment of their shingles in the window.
+Templates of one shingle are retrieved by the shingle itself.  Retrieved templates are verified by exact
+containment of their shingles in the window, and each stretch of the window that contains them is a match.
+Matches of a license that overlap give way to the one that contains most.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,6 +39,17 @@ TEMPLATES = [
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("Reserved", "All rights reserved."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
+    ("AGPL-3.0", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
 ]
 
 FOUND = "array<struct<license:string,contained:double,first_word:bigint,end_word:bigint>>"
@@ -57,7 +71,8 @@ class Library:
     """Templates by length and band value."""
 
     def __init__(self, templates: list[tuple[str, str]]):
-        self.names, self.sets = [], []
+        self.names, self.sets, self.words = [], [], []
+        self.single: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.bands: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, text in templates:
             shingles, n_words = _shingles(text)
@@ -65,18 +80,25 @@ class Library:
                 raise ValueError(f"the template of {name} has fewer than {SHINGLE} words")
             for band, value in enumerate(minhashes(shingles).tolist()):
                 self.bands[n_words][band, value].append(len(self.names))
+            if len(shingles) == 1:
+                self.single[n_words][int(shingles[0])].append(len(self.names))
             self.names.append(name)
             self.sets.append(shingles)
+            self.words.append(n_words)
         self.all = np.unique(np.concatenate(self.sets))
 
     def scan(self, words: Words) -> dict[int, dict[str, tuple[float, int, int]]]:
         """{row: {license: (contained, first word, end word)}}, the best match of each license in each text."""
+        return defaultdict(dict, {i: {name: m[0] for name, m in found.items()} for i, found in self.occurrences(words).items()})
+
+    def occurrences(self, words: Words) -> dict[int, dict[str, list[tuple[float, int, int]]]]:
+        """{row: {license: [(contained, first word, end word)]}}, matches that don't overlap, the best first."""
         grams = words.grams(SHINGLE)
         # a window without any shingle of any template shares no band with one: only the others are hashed
         near = np.flatnonzero(self.all[np.minimum(np.searchsorted(self.all, grams), len(self.all) - 1)] == grams)
         near = near[words.row[near] == words.row[near + SHINGLE - 1]]
         base = np.concatenate([[0], np.cumsum(words.counts)])
-        out: dict[int, dict[str, tuple[float, int, int]]] = defaultdict(dict)
+        out: dict[int, dict[str, set[tuple[float, int, int]]]] = defaultdict(lambda: defaultdict(set))
         for length, bands in self.bands.items():
             row = words.row[near]
             block = (near - base[row]) // length
@@ -85,19 +107,43 @@ class Library:
                 end = min(begin + 2 * length, base[i + 1])
                 own = grams[begin : max(begin, end - SHINGLE + 1)]
                 if len(own):
-                    self._verify(own, begin - base[i], bands, out[i])
-        return out
+                    self._verify(own, int(begin - base[i]), length, out[i])
+        return {i: {name: _apart(m) for name, m in found.items()} for i, found in out.items() if found}
 
-    def _verify(self, own: np.ndarray, begin: int, bands: dict, best: dict[str, tuple[float, int, int]]) -> None:
-        retrieved = {t for key in enumerate(minhashes(own).tolist()) for t in bands.get(key, ())}
+    def _verify(self, own: np.ndarray, begin: int, length: int, found: dict[str, set[tuple[float, int, int]]]) -> None:
+        retrieved = {t for key in enumerate(minhashes(own).tolist()) for t in self.bands[length].get(key, ())}
+        if length in self.single:
+            retrieved |= {t for key in own.tolist() for t in self.single[length].get(key, ())}
         for t in retrieved:
             hits = np.flatnonzero(np.isin(own, self.sets[t]))
-            contained = len(np.unique(own[hits])) / len(self.sets[t])
+            size = len(self.sets[t])
+            contained = len(np.unique(own[hits])) / size
             if contained >= CONTAINED:
-                match = (contained, int(begin + hits[0]), int(begin + hits[-1] + SHINGLE))
-                name = self.names[t]
-                if name not in best or (match[0], -match[1], -match[2]) > (best[name][0], -best[name][1], -best[name][2]):
-                    best[name] = match
+                # a shingle that comes again ends a stretch that is a match, or takes the place of the stray one before
+                stretches, last = [[]], []
+                for k in hits.tolist():
+                    keys = own[last]
+                    if own[k] in keys:
+                        if len(last) >= CONTAINED * size:
+                            stretches.append([])
+                            last = []
+                        else:
+                            last = last[int(np.flatnonzero(keys == own[k])[0]) + 1 :]
+                    last = [*last, k]
+                    stretches[-1] = last
+                parts = [(len(p) / size, p) for p in stretches if len(p) >= CONTAINED * size] or [(contained, hits.tolist())]
+                found[self.names[t]] |= {(share, begin + p[0], begin + p[-1] + SHINGLE) for share, p in parts}
+
+
+def _apart(matches: set[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """The best matches, as far as they don't overlap a better one."""
+    out, starts = [], []
+    for m in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
+        at = bisect(starts, (m[1], m[2]))
+        if (at == 0 or starts[at - 1][1] <= m[1]) and (at == len(starts) or starts[at][0] >= m[2]):
+            starts.insert(at, (m[1], m[2]))
+            out.append(m)
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, text: str = "text") -> DataFrame:
@@ -113,8 +159,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
         kind = pa.list_(pa.struct([("license", pa.string()), ("contained", pa.float64()), ("first_word", pa.int64()), ("end_word", pa.int64())]))
         for batch in batches:
             for row, end, flat, at in text_slices(batch.column(1)):
-                hits = library.scan(Words(flat, at, ALNUM))
-                found = [[dict(zip(("license", "contained", "first_word", "end_word"), (n, *m), strict=True)) for n, m in sorted(hits.get(i, {}).items())] for i in range(end - row)]
+                hits = library.occurrences(Words(flat, at, ALNUM))
+                found = [[dict(zip(("license", "contained", "first_word", "end_word"), (n, *m), strict=True)) for n, ms in sorted(hits.get(i, {}).items()) for m in reversed(ms)] for i in range(end - row)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(found, kind)], ["doc_id", "found"])
 
     rows = docs.select("doc_id", F.col(text).alias("__text"))
@@ -124,7 +170,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 def license_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_licenses, licenses (names, comma-joined) and matches (license:first word:end word)."""
     rows = scan_licenses(docs)
-    match = F.transform("found", lambda m: F.concat_ws(":", m["license"], m["first_word"], m["end_word"]))
-    return rows.select(
-        "doc_id", F.size("found").cast("long").alias("n_licenses"), F.array_join("found.license", ",").alias("licenses"), F.array_join(match, ",").alias("matches")
-    )
+    placed = F.array_sort(F.transform("found", lambda m: F.struct(m["license"].alias("l"), m["first_word"].alias("a"), m["end_word"].alias("b"))))
+    match = F.transform(placed, lambda m: F.concat_ws(":", m["l"], m["a"], m["b"]))
+    names = F.array_distinct("found.license")
+    return rows.select("doc_id", F.size(names).cast("long").alias("n_licenses"), F.array_join(names, ",").alias("licenses"), F.array_join(match, ",").alias("matches"))

@@ -62,6 +62,17 @@ def test_license_words():
     assert found[0] == {"CC-BY-NC-4.0": (1.0, 0, 7)} and not found.get(1)
 
 
+def test_every_license_notice(spark):
+    one, other = "Licensed under CC BY-NC 4.0.", "All rights reserved."
+    texts = [f"{one} {one} " + "word " * 50 + one, f"{other} x {other}", f"a b {licenses.TEMPLATES[1][1]} c " * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_licenses"], r["matches"]) for r in licenses.license_report(df).collect()}
+    n = len(licenses.TEMPLATES[1][1].split())
+    assert got[0] == (1, "CC-BY-NC-4.0:0:7,CC-BY-NC-4.0:7:14,CC-BY-NC-4.0:64:71")
+    assert got[1] == (1, "Reserved:0:3,Reserved:4:7")
+    assert got[2] == (1, f"MIT:2:{2 + n},MIT:{n + 5}:{2 * n + 5}")
+
+
 def brute_secrets(t):
     t = t or ""
     out = []
