@@ -2,38 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairloom.session import Scratch, shared_path, written  # noqa: F401  for the operators
+
 #: Bytes of text that the numpy steps look at together; a longer text is looked at alone.
 SLICE_BYTES = 1 << 20
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that all machines share: ``spark.checkpoint.dir``.
-
-    Only where that setting is missing (tests on one machine) is a temporary folder set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="pairloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again: this cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def quoted(name: str) -> Column:
     """A column by its name, whatever signs are in it."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -44,22 +25,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def grouped_rank(df: DataFrame, group: list[str], order: list[str], out: str = "rank", parts: int = 64) -> DataFrame:
-    """Add a gapless rank from 0 inside each group; no task holds a whole group.
+def plain_columns(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
+    """The rows with columns k0, k1, ... by their places, and the name of the text among them.
 
-    Each group is dealt into ``parts`` parts by a hash of the order columns; rows are numbered in
-    their part, and a table of at most groups x parts counts gives the offset of each part.  Rows
-    equal in ``order`` share a part and are numbered in any order.  ``df`` is read twice, so it
-    should be a table.  Group columns must not be null.
+    So no name of an input column can clash with those that an operator adds; ``toDF`` gives the names back.
+    """
+    names = [f"k{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index(text)]
+
+
+#: Rows that a task of a rank numbers.
+ROWS_A_PART = 50_000
+
+
+def grouped_rank(df: DataFrame, group: list[str], out: str = "rank", rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """Add a gapless rank from 0 inside each group, in any order; no task holds a whole group.
+
+    ``df`` must be a written table with a column ``__id`` that differs in each row (see ``numbered``).
+    A group of n rows is dealt by that number into 1 + n / ``rows_a_part`` parts; rows are numbered in
+    their part, and the counts of the parts before are added.  ``df`` is read three times, the first two
+    times for counts only.  Groups are few (shards, lengths) and not null: their sizes are broadcast.
     """
     part, base = "__part", "__base"
-    dealt = df.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)))
-    ranked = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*group, part).orderBy(*order)) - 1)
+    sizes = df.groupBy(*group).agg((1 + F.floor(F.count("*") / rows_a_part)).alias("__parts"))
+    dealt = df.join(F.broadcast(sizes), group).withColumn(part, F.pmod(F.xxhash64("__id"), F.col("__parts"))).drop("__parts")
+    ranked = dealt.withColumn(out, F.row_number().over(Window.partitionBy(*group, part).orderBy("__id")) - 1)
     before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        dealt.groupBy(*group, part).agg(F.count("*").alias("__n")).withColumn(base, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    )
-    return ranked.join(bases, [*group, part]).withColumn(out, (F.col(out) + F.col(base)).cast("long")).drop(part, base)
+    counts = dealt.groupBy(*group, part).agg(F.count("*").alias("__n"))
+    bases = counts.withColumn(base, F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return ranked.join(bases, [*group, part]).withColumn(out, (F.col(out) + F.col(base)).cast("long")).drop(part, base, "__id")
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """The rows with ``__id``, a number of each row, written: so it stays the same whoever reads it."""
+    return written(df.withColumn("__id", F.monotonically_increasing_id()), name)
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

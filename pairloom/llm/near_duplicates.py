@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import mix, text_slices, written
+from pairloom.llm.common import Scratch, as_batch, mix, quoted, text_slices, written
 from pairloom.llm.components import components
 from pairloom.llm.sketches import SHINGLE, band_keys, fast_sketches, shingle_sets
 
@@ -34,51 +34,62 @@ LEAST = 75
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, digest, bands) of each row; without words the bands are empty."""
+    """(doc_id, key, n_shingles, digest, bands) of each row; without words the bands are empty.
+
+    The key is a hash of the text: with the doc_id it leads from a set back to a text that has it.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, flat, at in text_slices(batch.column(1)):
+            for row, end, flat, at in text_slices(batch.column(2)):
                 elements, numbers = shingle_sets(flat, at, shingle)
-                some = np.flatnonzero(numbers)
                 bands = band_keys(fast_sketches(elements, numbers, ROWS * BANDS), ROWS).view(np.int64)
-                digests = np.zeros((end - row, 2), np.uint64)
-                if len(some):
-                    starts = (np.cumsum(numbers) - numbers)[some]
-                    for k, salt in enumerate((0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5)):
-                        digests[some, k] = np.add.reduceat(mix(elements ^ np.uint64(salt)), starts)
                 offsets = np.concatenate([[0], np.cumsum((numbers > 0) * BANDS)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(row, end - row),
-                        pa.array(numbers, pa.int64()),
-                        pa.array([d.tobytes() for d in digests], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
-                    ],
-                    ["doc_id", "n_shingles", "digest", "bands"],
+                yield as_batch(
+                    batch.slice(row, end - row),
+                    ["doc_id", "key"],
+                    n_shingles=pa.array(numbers, pa.int64()),
+                    digest=pa.array(_digests(elements, numbers), pa.binary()),
+                    bands=pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return _keyed(docs, text).mapInArrow(sign, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
+
+
+def _keyed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), quoted(text).alias("text"))
+
+
+def _digests(elements: np.ndarray, numbers: np.ndarray) -> list[bytes]:
+    """Sixteen bytes that name each set."""
+    some, out = np.flatnonzero(numbers), np.zeros((len(numbers), 2), np.uint64)
+    if len(some):
+        starts = (np.cumsum(numbers) - numbers)[some]
+        for k, salt in enumerate((0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5)):
+            out[some, k] = np.add.reduceat(mix(elements ^ np.uint64(salt)), starts)
+    return [d.tobytes() for d in out]
 
 
 def _similar_sizes(a: Column, b: Column, least: int) -> Column:
     return 100 * F.least(a, b) >= least * F.greatest(a, b)
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, shingle: int, text: str) -> DataFrame:
-    """(node, shingles) of the named nodes, from their texts."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, text: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes (node, doc_id, key, digest), from a text of each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, flat, at in text_slices(batch.column(1)):
+            for row, end, flat, at in text_slices(batch.column(2)):
                 elements, numbers = shingle_sets(flat, at, shingle)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(elements.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], ["node", "shingles"])
+                # another text of the same hash has another set
+                same = pa.array([a == b for a, b in zip(_digests(elements, numbers), batch.column(1).slice(row, end - row).to_pylist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], ["node", "shingles"]).filter(same)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("text"))
-    return rows.join(nodes, "node", "left_semi").mapInArrow(cut, "node long, shingles array<long>")
+    rows, w = _keyed(docs, text), wanted.withColumnsRenamed({"doc_id": "__doc", "key": "__key"})
+    found = rows.join(w, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")))
+    return found.select("node", "digest", "text").mapInArrow(cut, "node long, shingles array<long>")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -123,36 +134,54 @@ def _prefix_pairs(rare: DataFrame, least: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each row.
 
-    Texts without words are linked with nothing.  A row without doc_id is no one's representative:
-    it belongs to the component of its copies, or to none (null), and is kept only in that case.  Rows
-    that share a doc_id may be taken for one document and are kept or not together.  An empty table
-    gives no rows; other columns are not looked at.
+    Rows are linked by their texts, whatever their doc_ids: those without one, or that share one, are
+    compared like others.  Texts without words are linked with nothing.  A component of rows without
+    doc_id has none either (null), and a row is kept if its doc_id is that of its component.  An empty
+    table gives no rows; other columns are not looked at.
     """
+    spark = docs.sparkSession
     rows = written(signatures(docs, shingle, text), "signatures")
-    nodes = written(
-        rows.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")),
-        "nodes",
-    )
+    # a text that stands for its set: of the least doc_id, so that few rows have the same doc_id and text
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
+    sets_of = rows.where("n_shingles > 0").groupBy("digest").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(sets_of.select(F.monotonically_increasing_id().alias("node"), "digest", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
+    with Scratch(spark) as scratch:
+        final = written(_components_of(docs, nodes, scratch, least, shingle, text), "components")
+
+    # few nodes are linked; the others are components of their own
+    least_ids = final.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = final.join(least_ids, "component").select("node", F.lit(True).alias("linked"), "component_id")
+    own = nodes.select("digest", "node", "doc_id").join(linked, "node", "left")
+    named = own.select("digest", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def _components_of(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: int, shingle: int, text: str) -> DataFrame:
+    """(node, component) of the nodes that are linked with another."""
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
-    members = written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
+    members = scratch.written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
     large = members.where(F.col("members") > SMALL)
     similar = _similar_sizes(F.col("n"), F.col("first.n"), least) & (F.col("node") != F.col("first.node"))
     star = large.where(similar).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
-    sets = written(_sets(docs, _ends(pairs).union(large.select("node")).distinct(), shingle, text), "sets")
-    links = written(_verified(pairs, sets, least), "links")
-
-    first = components(links)
+    pairs = scratch.written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
+    wanted = scratch.written(_ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "doc_id", "key", "digest"), "node"), "wanted")
+    sets = scratch.written(_sets(docs, wanted, shingle, text), "sets")
+    if sets.count() > wanted.count():  # rows that repeat a doc_id and text
+        sets = scratch.written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    links = scratch.written(_verified(pairs, sets, least), "links")
+
+    first = scratch.written(components(links), "first")
     found = large.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
-    open_nodes = written(found.join(mixed, "band", "left_semi").select("node", "component").distinct(), "open")
-    rare = written(_prefixes(sets.join(open_nodes, "node", "left_semi"), least).join(open_nodes, "node"), "prefixes")
+    # written, so that its size is known and a small table is broadcast without a shuffle by band
+    mixed = scratch.written(found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"), "mixed")
+    open_nodes = scratch.written(found.join(mixed, "band", "left_semi").select("node", "component").distinct(), "open")
+    rare = scratch.written(_prefixes(sets.join(open_nodes, "node", "left_semi"), least).join(open_nodes, "node"), "prefixes")
     more = _prefix_pairs(rare, least).distinct().join(pairs, ["a", "b"], "left_anti")
     # what is new ties whole components together
-    more = written(_verified(written(more, "pairs"), sets, least), "links")
+    more = scratch.written(_verified(scratch.written(more, "pairs"), sets, least), "links")
     for end in "ab":
         tied = first.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         more = more.join(tied, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
@@ -160,15 +189,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     alone = second.select(F.col("component").alias("node"), F.col("final").alias("component"))
     merged = first.join(second, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     # a node that only new links tie is no node of the first components
-    named_nodes = merged.union(alone.join(first.select("node"), "node", "left_anti"))
-
-    named = nodes.select("digest", "node").join(named_nodes, "node", "left")
-    named = named.select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = rows.drop("bands").join(named, "digest", "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return merged.union(alone.join(first.select("node"), "node", "left_anti"))
 
 
 def _pairs(rows: DataFrame, key: str, least: int) -> DataFrame:

@@ -65,6 +65,12 @@ def corpus(seed):
 def test_all_links(spark, monkeypatch, seed, small):
     monkeypatch.setattr(nd, "SMALL", small)
     rows = [*corpus(seed), (None, "lonely text of a row without id"), (None, "one")]
+    # texts without doc_id or with a shared one are compared like others, as ends and as bridges
+    r = random.Random(seed)
+    chain = [["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)]]
+    for k in range(4):
+        chain.append([*chain[-1][:10 * k], f"new{k}", *chain[-1][10 * k + 1 :]])
+    rows += [(i, " ".join(t)) for i, t in zip((2000, None, 2001, None, 2001), chain)] + [(None, " ".join(chain[1]))] * 2 + [(2000, "another text under a number that is taken")] * 2
     docs = spark.createDataFrame([(i, t, 3, "b") for i, t in rows], "doc_id long, text string, n int, band string")
     got = sorted((tuple(r) for r in nd.near_duplicates(docs).collect()), key=str)
     assert got == brute(rows)
