@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import as_batch, grouped_rank, text_slices, written
+from pairloom.llm.common import as_batch, grouped_rank, numbered, quoted, text_slices
 from pairloom.llm.tokens import default_path, encoder
 
 SIZE, END = 2048, 0
@@ -119,7 +119,7 @@ def token_pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, ids
                 cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False)]
                 yield as_batch(batch.take(pa.array(whose)), ["doc_id"], **dict(zip(names, cols, strict=True)))
 
-    rows = docs.select("doc_id", F.col(text).alias("__text"))
+    rows = docs.select("doc_id", quoted(text).alias("__text"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
@@ -131,7 +131,7 @@ def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, i
     rows; other columns are not looked at.  With ``ids`` the little-endian ids of each piece come
     along, for ``write_sequences``.  The driver gets the histogram of lengths, at most ``size`` numbers.
     """
-    pieces = written(token_pieces(docs, size, path, ids, text), "pieces")
+    pieces = numbered(token_pieces(docs, size, path, ids, text), "pieces")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     places = docs.sparkSession.sparkContext.broadcast(Places(plan_bins(histogram, size)))
 
@@ -140,8 +140,8 @@ def pack_documents(docs: DataFrame, size: int = SIZE, path: str | None = None, i
         at = places.value.find(length.to_numpy(), rank.to_numpy())
         return pd.DataFrame({"sequence_id": at[0], "offset": at[1]})
 
-    ranked = grouped_rank(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    columns = [F.col(c) for c in pieces.columns]
+    ranked = grouped_rank(pieces, ["length"], "rank")
+    columns = [F.col(c) for c in pieces.columns if c != "__id"]
     return ranked.select(*columns, place("length", "rank").alias("at")).select(*columns, "at.sequence_id", "at.offset")
 
 

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import grouped_rank, written
+from pairloom.llm.common import grouped_rank, numbered, quoted
 
 
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -34,8 +34,11 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return shard
 
 
-def shard_of(key: Column | str, shards: int) -> Column:
-    """Shard number of a key column of any type (a null key is a key like any other)."""
+def shard_of(key: Column, shards: int) -> Column:
+    """Shard number of a key column of any type (a null key is a key like any other).
+
+    Keys are hashed as text, so that a number has one shard whether it comes as an int or a long.
+    """
 
     @F.pandas_udf("int")
     def numbers(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -43,32 +46,30 @@ def shard_of(key: Column | str, shards: int) -> Column:
             yield pd.Series(jump(keys.to_numpy().view(np.uint64), shards).astype(np.int32))
 
     jump(np.zeros(0, np.uint64), shards)
-    return numbers(F.xxhash64(key))
+    return numbers(F.xxhash64(key.cast("string")))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Shard, place in the shard and the shard after growth by one, for each row.
 
     Returns the key, ``size`` (UTF-8 bytes of the text plus 1; null text: 1), ``text_crc32``,
-    ``law``, ``shard``, ``slot`` (gapless from 0 in each shard, by hash and key) and ``grown_shard``.
-    Rows of one key share a shard.  Only the key, two numbers and the shard are shuffled, in 64
-    parts of each shard, so no task holds a whole shard.  An empty table gives an empty result;
-    other columns are not looked at.
+    ``law``, ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard``.  Rows of one key
+    share a shard.  Only the key and a few numbers are shuffled, and a shard is numbered in parts, so
+    no task holds a whole one.  An empty table gives an empty result; other columns are not looked at.
     """
-    raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
+    raw = F.encode(F.coalesce(quoted(text), F.lit("")), "UTF-8")
     rows = docs.select(
-        F.col(key),
+        quoted(key),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(key, shards).alias("shard"),
-        shard_of(key, shards + 1).alias("grown_shard"),
-    )
-    return grouped_rank(written(rows, "shards"), ["shard"], [key, "text_crc32", "size"], "slot").select(
-        key, "size", "text_crc32", "law", "shard", "slot", "grown_shard"
+        shard_of(quoted(key), shards).alias("shard"),
+        shard_of(quoted(key), shards + 1).alias("grown_shard"),
     )
+    ranked = grouped_rank(numbered(rows, "shards"), ["shard"], "slot")
+    return ranked.select(quoted(key), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:
     """Write the rows with a folder for each shard."""
-    docs.withColumn("shard", shard_of(key, shards)).write.partitionBy("shard").mode("overwrite").parquet(path)
+    docs.withColumn("shard", shard_of(quoted(key), shards)).write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pairloom.llm import decontamination, packing, sharding, token_files, tokens
-from pairloom.llm.common import SPACED, Words, grouped_rank, text_slices
+from pairloom.llm.common import SPACED, Words, grouped_rank, numbered, text_slices
 
 DOCS = "doc_id long, text string, n_words string, shard string, length string"  # with names that operators use
 
@@ -113,10 +114,12 @@ def test_sharding(spark):
         assert slots == list(range(len(slots)))
     assert all(r["grown_shard"] in (r["shard"], 4) and r["law"] == "key" for r in got)
     assert len({r["shard"] for r in got if r["doc_id"] == 3}) == 1
+    ints = spark.range(50).select(sharding.shard_of(F.col("id"), 16).alias("a"), sharding.shard_of(F.col("id").cast("int"), 16).alias("b"))
+    assert ints.where("a <> b").count() == 0
 
 
 def test_shares_are_even(spark):
-    got = spark.range(20000).select(sharding.shard_of("id", 16).alias("s"), sharding.shard_of("id", 17).alias("t"))
+    got = spark.range(20000).select(sharding.shard_of(F.col("id"), 16).alias("s"), sharding.shard_of(F.col("id"), 17).alias("t"))
     sizes = Counter(r["s"] for r in got.collect())
     assert len(sizes) == 16 and max(sizes.values()) < 1.15 * 1250
     assert got.where("s <> t").count() < 1.15 * 20000 / 17
@@ -124,8 +127,8 @@ def test_shares_are_even(spark):
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_grouped_rank(spark, parts):
-    df = spark.range(500).selectExpr("id % 3 as g", "id % 7 as o")
-    rows = grouped_rank(df, ["g"], ["o"], "r", parts).collect()
+    df = numbered(spark.range(500).selectExpr("id % 3 as g", "id % 7 as o"), "rows")
+    rows = grouped_rank(df, ["g"], "r", 167 // parts).collect()
     for g in range(3):
         own = sorted(r["r"] for r in rows if r["g"] == g)
         assert own == list(range(len(own)))
