@@ -6,11 +6,16 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: The folder of the innermost ``temporary`` block.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -36,7 +41,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
     Only on one machine (a local master, as in tests) a temporary folder is set where that setting is missing.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = _FOLDER.get() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
@@ -46,38 +51,44 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet in the shared folder and read again: this cuts the lineage."""
-    path = shared_path(df.sparkSession, name)
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """The rows, written as Parquet and read again: this cuts the lineage."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-class Scratch:
-    """Tables in the shared folder that are deleted at the end of a ``with`` block.
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a fresh path in the shared folder and read again."""
+    return saved(df, shared_path(df.sparkSession, name))
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What is written to fresh paths inside the block is deleted at its end.
 
-    For steps whose result is written before the block ends, so nothing reads them later.
+    A result that is read later must be saved inside the block, at a path taken before it.
     """
+    folder = shared_path(spark, "temporary")
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        discard(spark, folder)
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
 
-    def __enter__(self) -> Scratch:
-        return self
+def _place(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def __exit__(self, *_) -> None:
-        for path in self.paths:
-            discard(self.spark, path)
 
-    def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a path, in whatever store it is."""
+    files, target = _place(spark, path)
+    return files.exists(target)
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of the shared folder, in whatever store it is."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Delete a path, if it is there."""
+    files, target = _place(spark, path)
+    files.delete(target, True)
