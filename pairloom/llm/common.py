@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.session import Scratch, shared_path, written  # noqa: F401  for the operators
+from pairloom.session import saved, shared_path, temporary, written  # noqa: F401  for the operators
 
 #: Bytes of text that the numpy steps look at together; a longer text is looked at alone.
 SLICE_BYTES = 1 << 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, written
+from pairloom.llm.common import saved, shared_path, temporary, written
 
 
 #: Edges that one task of a step handles; small graphs need few tasks.
@@ -28,8 +28,10 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    with Scratch(links.sparkSession) as scratch:
-        edges = scratch.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    spark = links.sparkSession
+    path = shared_path(spark, "components")
+    with temporary(spark):
+        edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
         now = state(edges)
         while True:
             tasks = 1 + 2 * now[0] // EDGES_A_TASK
@@ -38,9 +40,9 @@ def components(links: DataFrame) -> DataFrame:
             # small star: v < u for each edge (u, v); u and its smaller neighbours are tied to the least
             tied = _star(large).coalesce(tasks)
             small = tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(tied.select("u", F.col("m").alias("v")))
-            edges = scratch.written(small.where("u <> v").distinct().coalesce(tasks), "edges")
+            edges = written(small.where("u <> v").distinct().coalesce(tasks), "edges")
             before, now = now, state(edges)
             if now == before:
                 break
         found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        return written(found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(tasks)), "components")
+        return saved(found.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct().coalesce(tasks)), path)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import Scratch, as_batch, mix, quoted, text_slices, written
+from pairloom.llm.common import as_batch, mix, quoted, saved, shared_path, temporary, text_slices, written
 from pairloom.llm.components import components
 from pairloom.llm.sketches import SHINGLE, band_keys, fast_sketches, shingle_sets
 
@@ -145,8 +145,9 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
     sets_of = rows.where("n_shingles > 0").groupBy("digest").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = written(sets_of.select(F.monotonically_increasing_id().alias("node"), "digest", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
-    with Scratch(spark) as scratch:
-        final = written(_components_of(docs, nodes, scratch, least, shingle, text), "components")
+    path = shared_path(spark, "components")
+    with temporary(spark):
+        final = saved(_components_of(docs, nodes, least, shingle, text), path)
 
     # few nodes are linked; the others are components of their own
     least_ids = final.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -158,30 +159,30 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _components_of(docs: DataFrame, nodes: DataFrame, scratch: Scratch, least: int, shingle: int, text: str) -> DataFrame:
+def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
-    members = scratch.written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
+    members = written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
     large = members.where(F.col("members") > SMALL)
     similar = _similar_sizes(F.col("n"), F.col("first.n"), least) & (F.col("node") != F.col("first.node"))
     star = large.where(similar).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-    pairs = scratch.written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
-    wanted = scratch.written(_ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "doc_id", "key", "digest"), "node"), "wanted")
-    sets = scratch.written(_sets(docs, wanted, shingle, text), "sets")
+    pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
+    wanted = written(_ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "doc_id", "key", "digest"), "node"), "wanted")
+    sets = written(_sets(docs, wanted, shingle, text), "sets")
     if sets.count() > wanted.count():  # rows that repeat a doc_id and text
-        sets = scratch.written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = scratch.written(_verified(pairs, sets, least), "links")
+        sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    links = written(_verified(pairs, sets, least), "links")
 
-    first = scratch.written(components(links), "first")
+    first = written(components(links), "first")
     found = large.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # written, so that its size is known and a small table is broadcast without a shuffle by band
-    mixed = scratch.written(found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"), "mixed")
-    open_nodes = scratch.written(found.join(mixed, "band", "left_semi").select("node", "component").distinct(), "open")
-    rare = scratch.written(_prefixes(sets.join(open_nodes, "node", "left_semi"), least).join(open_nodes, "node"), "prefixes")
+    mixed = written(found.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band"), "mixed")
+    open_nodes = written(found.join(mixed, "band", "left_semi").select("node", "component").distinct(), "open")
+    rare = written(_prefixes(sets.join(open_nodes, "node", "left_semi"), least).join(open_nodes, "node"), "prefixes")
     more = _prefix_pairs(rare, least).distinct().join(pairs, ["a", "b"], "left_anti")
     # what is new ties whole components together
-    more = scratch.written(_verified(scratch.written(more, "pairs"), sets, least), "links")
+    more = written(_verified(written(more, "pairs"), sets, least), "links")
     for end in "ab":
         tied = first.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
         more = more.join(tied, end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
