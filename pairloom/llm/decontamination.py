@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import ALNUM, Words, as_batch, quoted, text_slices
+from pairloom.llm.common import ALNUM, Words, as_batch, quoted, text_slices, written
 
 #: Words of a window.
 WINDOW = 10
-#: Most bytes of distinct windows that are broadcast; with more, windows are joined by a shuffle.
+#: Most bytes of distinct windows, with their hashes and items, that are broadcast; with more, windows are joined.
 BROADCAST_BYTES = 64 << 20
 
 SCAN = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
@@ -38,7 +38,10 @@ def _key(words: Words, first: int, size: int) -> bytes:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "item_id", text: str = "text") -> DataFrame:
-    """(item, size, gram, words) of each distinct window of each item.  Items without an id, text or word have none."""
+    """(size, gram, words, items) of each distinct window; items are the ids of those that hold it, without null.
+
+    Items without a text or word have no window.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,34 +57,38 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, item: str = "i
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     kinds, names = (pa.string(), pa.int32(), pa.int64(), pa.binary()), ["item", "size", "gram", "words"]
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).dropna()
-    return rows.mapInArrow(cut, "item string, size int, gram long, words binary").distinct()
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
+    found = rows.mapInArrow(cut, "item string, size int, gram long, words binary")
+    return found.groupBy("size", "gram", "words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class _Index:
-    """Windows by their words, behind a hash filter; sent to each worker once."""
-
-    def __init__(self, rows: list):
-        self.items: dict[bytes, list[str]] = {}
-        grams: dict[int, set[int]] = {}
-        for r in rows:
-            self.items.setdefault(bytes(r["words"]), []).append(r["item"])
-            grams.setdefault(r["size"], set()).add(r["gram"])
-        self.grams = {n: np.sort(np.array(list(g), np.int64).view(np.uint64)) for n, g in grams.items()}
-        self.filters = {}
-        for n, g in self.grams.items():
-            self.filters[n] = np.zeros(1 << 22, bool)
-            self.filters[n][g & np.uint64((1 << 22) - 1)] = True
+    """Windows by their hash, with the words that verify a hit, in flat arrays; sent to each worker once."""
+
+    def __init__(self, windows: pa.Table):
+        """``windows``: size, gram, words and items of each window, sorted by size and gram."""
+        sizes, grams = windows["size"].to_numpy(), windows["gram"].to_numpy().view(np.uint64)
+        self.words, self.items = windows["words"].combine_chunks(), windows["items"].combine_chunks()
+        self.parts = {}
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            own = own[np.argsort(grams[own], kind="stable")]
+            places = 1 << max(10, min(24, int(16 * len(own)).bit_length()))
+            near = np.zeros(places, bool)
+            near[grams[own] & np.uint64(places - 1)] = True
+            self.parts[size] = (own, grams[own], near)
 
     def hits(self, words: Words) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, words, items) of each window that occurs."""
-        for size, known in self.grams.items():
+        for size, (own, known, filtered) in self.parts.items():
             first, grams = _own_grams(words, size)
-            near = np.flatnonzero(self.filters[size][grams & np.uint64((1 << 22) - 1)])
-            at = np.minimum(np.searchsorted(known, grams[near]), len(known) - 1)
-            for k in first[near[known[at] == grams[near]]]:
-                if found := self.items.get(_key(words, k, size)):
-                    yield int(k), size, found
+            near = np.flatnonzero(filtered[grams & np.uint64(len(filtered) - 1)])
+            low, high = np.searchsorted(known, grams[near], "left"), np.searchsorted(known, grams[near], "right")
+            for k, a, b in zip(first[near].tolist(), low.tolist(), high.tolist(), strict=True):
+                key = _key(words, k, size) if a < b else b""
+                for j in own[a:b].tolist():
+                    if self.words[j].as_py() == key:
+                        yield k, size, self.items[j].as_py()
 
 
 def _report(words: Words, flat: np.ndarray, at: np.ndarray, hits: list[tuple[int, int, list[str]]], clean: bool) -> dict[str, pa.Array]:
@@ -132,16 +139,19 @@ def decontaminate(
     """The ``keep`` columns (default: doc_id) and the columns of SCAN, one row for each document.
 
     ``n_hit`` counts words inside any window that occurs, ``items_sha256`` digests the sorted ids of
-    the items with such windows; with ``clean`` there is ``clean_text``, the text without the hit words.  A null or empty
-    text has no words; repeated rows are reported each; an empty benchmark hits nothing.
+    the items with such windows; with ``clean`` there is ``clean_text``, the text without the hit words.
+    A null or empty text has no words; an item without an id hits like others and counts in no
+    ``n_items``; repeated rows are reported each; an empty benchmark hits nothing.  A column of SCAN
+    whose name is among ``keep`` gets the prefix ``scan_``.
     Windows of at most ``broadcast_bytes`` in all are broadcast; a larger benchmark is joined with
     the documents' windows by hash, which gives the same rows.
     """
     keep = keep or ["doc_id"]
-    windows = benchmark_windows(benchmark, window)
-    if (windows.agg(F.sum(F.octet_length("words") + 80)).first()[0] or 0) > broadcast_bytes:
+    windows = written(benchmark_windows(benchmark, window), "windows")
+    held = F.octet_length("words") + 48 + F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 8)
+    if (windows.agg(F.sum(held)).first()[0] or 0) > broadcast_bytes:
         return _by_join(docs, windows, text, keep, clean)
-    index = docs.sparkSession.sparkContext.broadcast(_Index(windows.collect()))  # its size was checked
+    index = docs.sparkSession.sparkContext.broadcast(_Index(windows.toArrow()))  # its size was checked
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,33 +165,60 @@ def decontaminate(
 
 def _mapped(docs: DataFrame, text: str, keep: list[str], step, schema: str) -> DataFrame:
     """mapInArrow over the kept columns and the text, under names that can't clash."""
-    rows = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"))
+    return _named(docs.select(*_kept(keep), quoted(text).alias("__text")), keep, step, schema)
+
+
+def _kept(keep: list[str]) -> list[Column]:
+    return [quoted(c).alias(f"k{i}") for i, c in enumerate(keep)]
+
+
+def _named(rows: DataFrame, keep: list[str], step, schema: str) -> DataFrame:
     kinds = dict(rows.dtypes)
     out = rows.mapInArrow(step, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), schema]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    more = out.columns[len(keep) :]
+    return out.toDF(*keep, *[f"scan_{c}" if c in keep else c for c in more])
+
+
+#: Bits of the filter that the windows of texts pass before they are shuffled (8 MB).
+FILTER_BITS = 1 << 26
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """One bit for each hash of a window, in 64-bit words; at most FILTER_BITS / 64 rows reach the driver."""
+    place = F.col("gram").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = windows.select(F.shiftrightunsigned(place, 6).alias("at"), F.expr("shiftleft(1L, cast(gram & 63 as int))").alias("bit"))
+    found = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
 
 
 def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], clean: bool) -> DataFrame:
-    """The same for a benchmark that is too large to broadcast: windows meet by a shuffle on their hash.
+    """The same for a benchmark that is too large to broadcast: windows meet by a shuffle on their words.
 
-    Copies of a text are scanned once: rows meet again by the digest of their text.
+    Only windows that pass a filter of hashes are shuffled, those of copies once: rows meet their hits
+    again by the digest of their text.
     """
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most ``window`` numbers
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(windows))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for batch in batches:
             for row, _, flat, at in text_slices(batch.column(1), 1 << 20):
                 words = Words(flat, at, ALNUM)
                 base = np.concatenate([[0], np.cumsum(words.counts)])
                 for size in sizes:
                     first, grams = _own_grams(words, size)
-                    whose = words.row[first]
+                    place = grams & np.uint64(FILTER_BITS - 1)
+                    near = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                    first, whose = first[near], words.row[first[near]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(row + whose)),
                             pa.array(np.full(len(first), size, np.int32)),
                             pa.array(first - base[whose], pa.int64()),
-                            pa.array(grams.view(np.int64)),
+                            pa.array(grams[near].view(np.int64)),
                             pa.array([_key(words, k, size) for k in first], pa.binary()),
                         ],
                         ["sha", "size", "first", "gram", "words"],
@@ -193,20 +230,13 @@ def _by_join(docs: DataFrame, windows: DataFrame, text: str, keep: list[str], cl
             for row, end, flat, at in text_slices(batch.column(len(keep))):
                 words = Words(flat, at, ALNUM)
                 base = np.concatenate([[0], np.cumsum(words.counts)])
-                hits = [(int(base[i]) + h["first"], h["size"], [h["item"]]) for i in range(end - row) for h in found[row + i] or ()]
+                hits = [(int(base[i]) + h["first"], h["size"], h["items"]) for i in range(end - row) for h in found[row + i] or ()]
                 columns = _report(words, flat, at, hits, clean)
                 yield as_batch(batch.slice(row, end - row), [f"k{i}" for i in range(len(keep))], **columns)
 
-    sha = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    texts = docs.select(sha.alias("sha"), F.coalesce(F.col(text), F.lit("")).alias("text")).dropDuplicates(["sha"])
-    hits = (
-        texts.mapInArrow(cut, "sha string, size int, first long, gram long, words binary")
-        .join(windows, ["size", "gram", "words"])
-        .groupBy("sha")
-        .agg(F.collect_list(F.struct("first", "size", "item")).alias("hits"))
-    )
-    rows = docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("__text"), sha.alias("sha"))
-    rows = rows.join(hits, "sha", "left").drop("sha")
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(report, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(len(keep))), SCAN + ", clean_text string" * clean]))
-    return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})
+    own = F.coalesce(quoted(text), F.lit(""))
+    sha = F.sha2(own, 256)
+    near = docs.select(sha.alias("sha"), own.alias("text")).mapInArrow(cut, "sha string, size int, first long, gram long, words binary").distinct()
+    hits = near.join(windows, ["size", "gram", "words"]).groupBy("sha").agg(F.collect_list(F.struct("first", "size", "items")).alias("hits"))
+    rows = docs.select(*_kept(keep), quoted(text).alias("__text"), sha.alias("sha")).join(hits, "sha", "left").drop("sha")
+    return _named(rows, keep, report, SCAN + ", clean_text string" * clean)
