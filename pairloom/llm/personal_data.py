@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import let, quoted, written
+from pairloom.llm.common import let, plain_columns, quoted, written
 from pairloom.llm.spans import find_spans, joined
 from pairloom.llm.weak_supervision import fit, odds_of, probability
 
@@ -117,7 +117,7 @@ def _features(kind: str, found: Column) -> Column:
 
 def _marked(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
     """The kept columns and, for each kind, base spans and candidates with votes and features."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     return docs.select(*map(quoted, keep), *[let(_base(k, t), _both(k, t)).alias(f"__{k}") for k in KINDS])
 
 
@@ -204,8 +204,8 @@ def personal_data_report(docs: DataFrame) -> DataFrame:
 
 def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by its kind in brackets; a null text stays null."""
-    names = docs.columns
-    found = find_personal_data(docs, keep=names, text=text)
+    rows, text = plain_columns(docs, text)
+    found = find_personal_data(rows, keep=rows.columns, text=text)
     ordered = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def masked(spans: Column) -> Column:
@@ -223,4 +223,4 @@ def mask_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
         return let(ends, pieces)
 
     clean = F.when(F.size("__spans") == 0, F.col(text)).otherwise(let(ordered, masked))
-    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(*map(quoted, names))
+    return found.withColumn(text, F.when(F.col(text).isNotNull(), clean)).select(rows.columns).toDF(*docs.columns)

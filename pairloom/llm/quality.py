@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import let, written
+from pairloom.llm.common import let, plain_columns, quoted, written
 from pairloom.llm.weak_supervision import fit, odds_of, probability
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,29 +33,32 @@ def _repeated(words: Column) -> Column:
         added = F.transform(again, lambda p, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), p - F.get(again, k - 1))))
         return F.aggregate(added, F.lit(0), lambda a, x: a + x)
 
-    def places(windows: Column) -> Column:
-        # sorted, equal windows are neighbours
+    def places(w: Column, hashes: Column) -> Column:
+        # sorted by hash, equal windows are neighbours
         def again(s: Column) -> Column:
-            same = lambda k, d: F.coalesce(F.get(s, k)["w"] == F.get(s, k + d)["w"], F.lit(False))
+            def same(k: Column, d: int) -> Column:
+                x, y = F.get(s, k), F.get(s, k + d)
+                words = [F.get(w, x["at"] + j) == F.get(w, y["at"] + j) for j in range(3)]
+                return F.coalesce((x["h"] == y["h"]) & words[0] & words[1] & words[2], F.lit(False))
+
             marked = F.filter(s, lambda x, k: same(k, 1) | same(k, -1))
             return F.when(F.size(marked) == 0, 0).otherwise(let(F.sort_array(F.transform(marked, lambda x: x["at"])), covered))
 
-        return let(F.sort_array(F.transform(windows, lambda w, k: F.struct(w.alias("w"), k.alias("at")))), again)
+        return let(F.sort_array(F.transform(hashes, lambda h, k: F.struct(h.alias("h"), k.alias("at")))), again)
 
-    def windows(w: Column) -> Column:
-        return F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, k: F.concat_ws(" ", x, F.get(w, k + 1), F.get(w, k + 2)))
+    def hashes(w: Column) -> Column:
+        return F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, k: F.xxhash64(x, F.get(w, k + 1), F.get(w, k + 2)))
 
-    def some(g: Column) -> Column:
+    def some(w: Column, h: Column) -> Column:
         # most texts repeat no window: a hash set tells
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(places(g))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(places(w, h))
 
-    return let(words, lambda w: F.when(F.size(w) < 4, 0).otherwise(let(windows(w), some)))
+    return let(words, lambda w: F.when(F.size(w) < 4, 0).otherwise(let(hashes(w), lambda h: some(w, h))))
 
 
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with a struct ``q`` of counts: the base counts and those that only rules use."""
-    # the names of the input columns can't clash with those in the struct
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     plain = F.translate(t, SPACES, " " * len(SPACES))
     words = F.array_remove(F.split(plain, " ", -1), "")
     solid = _without(t, SPACES)
@@ -93,14 +96,13 @@ def votes() -> list[Column]:
         vote = F.when(bad, 1)
         return (vote if good is None else vote.when(good, -1)).otherwise(0)
 
-    # kinds of junk seldom go together, so the lack of one is no vote for good
+    # kinds of junk seldom go together, so the lack of one is no vote for good; what the base rules reject is not asked again
     mean = F.when(words > 0, chars / words).otherwise(0.0)
     return [
-        rule(words < 50, words >= 100),
+        rule(F.lit(False), words >= 100),
         rule((mean < 2.5) | (mean > 15), (mean > 3.5) & (mean < 11)),
         rule(5 * n("n_symbols") > words),
         rule(20 * n("n_symbols") > chars),
-        rule(2 * n("n_repeat_words") > words),
         rule(3 * n("n_dup_lines") > n("n_lines")),
         rule((words >= 50) & (5 * n("n_kinds") < words)),
         rule(n("n_upper") > n("n_lower")),
@@ -120,10 +122,13 @@ def score_quality(docs: DataFrame, text: str = "text", keep_from: float = KEEP_F
     """The rows with ``q`` (counts), ``quality`` (posterior probability) and ``kept``.
 
     A null or empty text has no words, so it fails the base rules.  Repeated rows count as often as
-    they occur.  An input column named q, quality or kept is replaced.  The counted rows are written
-    once and read for the estimation and for the decisions.
+    they occur; an empty table gives no rows.  If an input column has one of the three names, the new
+    one gets the prefix ``rules_``.  The counted rows are written once and read for the estimation
+    and for the decisions.
     """
-    return _scored(written(quality_counts(docs, text), "counted"), keep_from)
+    rows, t = plain_columns(docs, text)
+    scored = _scored(written(quality_counts(rows, t), "counted"), keep_from)
+    return scored.toDF(*docs.columns, *[f"rules_{c}" if c in docs.columns else c for c in ("q", "quality", "kept")])
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
