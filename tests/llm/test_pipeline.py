@@ -22,11 +22,10 @@ def votes(t):
     mean = chars / n if n else 0.0
     kinds = len(set(t.translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")) - {""})
     return (
-        1 if n < 50 else -1 if n >= 100 else 0,
+        -1 if n >= 100 else 0,
         1 if mean < 2.5 or mean > 15 else -1 if 3.5 < mean < 11 else 0,
         int(5 * symbols > n),
         int(20 * symbols > chars),
-        int(2 * repeat > n),
         int(3 * dup > lines),
         int(n >= 50 and 5 * kinds < n),
         int(upper > lower),
@@ -128,6 +127,20 @@ def test_stages_keep_the_columns(spark, tmp_path):
             out.collect()
 
 
+def test_clashing_columns(spark, tmp_path):
+    """Every stage gives all columns back as they were, whatever their names."""
+    names = ["doc_id", "text", "q", "quality", "kept", "rules_kept", "n_words", "contaminated", "band", "component_id", "k0", "__row", "__text", "spans", "a.b", "x`y"]
+    r = random.Random(2)
+    prose = [" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120)) for _ in range(6)]
+    rows = [(i, t, *[f"{i} {c}" for c in names[2:]]) for i, t in enumerate(prose)]
+    docs = spark.createDataFrame(rows, ", ".join(["`doc_id` long", "`text` string", *[f"`{c.replace('`', '``')}` string" for c in names[2:]]]))
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names and sorted(map(tuple, out.collect())) == rows, name
+    assert corpus_pipeline.packing(spark, docs, str(tmp_path)).count() == 6
+
+
 def test_null_and_repeated_keys(spark, tmp_path):
     r = random.Random(4)
     a, b, c, d, e, leak = (" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(100)) for _ in range(6))

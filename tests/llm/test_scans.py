@@ -58,7 +58,7 @@ def brute_decontamination(rows, items, n=10):
                 for k in range(len(words) - len(cut) + 1):
                     if tuple(words[k : k + len(cut)]) == cut:
                         hit |= set(range(k, k + len(cut)))
-                        names.add(str(item))
+                        names |= set() if item is None else {str(item)}
         sha = hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
         out.append((i, len(words), len(hit), len(names), sha, bool(hit)))
     return sorted(out, key=str)
@@ -68,10 +68,13 @@ def brute_decontamination(rows, items, n=10):
 def test_decontamination(spark, limit):
     texts = odd_texts()
     rows = list(enumerate(texts))
-    items = [(1, " ".join((texts[2] or "").split()[3:20])), (20, texts[4]), (3, "Üß üß"), (4, ""), (5, None), (6, "x X"), (7, "x,x")]
+    items = [(1, " ".join((texts[2] or "").split()[3:20])), (20, texts[4]), (3, "Üß üß"), (4, ""), (5, None), (6, "x X"), (7, "x,x"), (None, "a-b the"), (None, texts[7]), (None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.decontaminate(docs(spark, rows), bench, clean=True, broadcast_bytes=limit).collect()
     assert sorted([tuple(r)[:6] for r in got], key=str) == brute_decontamination(rows, items)
+    kept = decontamination.decontaminate(docs(spark, rows), bench, keep=["n_words", "doc_id"], broadcast_bytes=limit)
+    assert kept.columns == ["n_words", "doc_id", "scan_n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert {r["n_words"] for r in kept.collect()} == {"x"}
     clean = {r["doc_id"]: r["clean_text"] for r in got}
     assert clean[0] is not None and all(clean[r["doc_id"]] == (texts[r["doc_id"]] or "") for r in got if not r["contaminated"])
     assert words_of(clean[4]) == []
@@ -194,10 +197,12 @@ def test_fullest_is_the_best_subset():
         assert all(n <= counts[k] for k, n in chosen.items())
 
 
-@pytest.mark.parametrize("bits", [False, True])
-def test_token_files(spark, bits, tmp_path):
-    rows = [*enumerate(odd_texts()), (None, "zz"), (7, "b"), (7, "a"), (-5, "neg")]
-    token_files.write_tokens(docs(spark, rows), str(tmp_path / "t"), bits=bits)
+@pytest.mark.parametrize("bits,file_bytes", [(False, 1 << 27), (True, 1 << 27), (False, 500)])
+def test_token_files(spark, monkeypatch, bits, file_bytes, tmp_path):
+    rows = [*enumerate(odd_texts()), (None, "zz"), (7, "b"), (7, "a"), (-5, "neg"), *[(9, "same")] * 30]
+    token_files.write_tokens(docs(spark, rows), str(tmp_path / "t"), bits=bits, file_bytes=file_bytes)
+    if file_bytes == 500:  # many files; the rows of one doc_id are in several
+        assert spark.read.text(str(tmp_path / "t/kind=parts")).count() > 20
     got = token_files.read_tokens(spark, str(tmp_path / "t"), ids=True).orderBy("start").collect()
     assert Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u4"))) for r in got) == Counter((i, tuple(ids_of(t))) for i, t in rows)
     order = [r["doc_id"] for r in got]
@@ -211,8 +216,8 @@ def test_token_files(spark, bits, tmp_path):
 def test_planes_round_trip():
     ids = np.random.default_rng(4).integers(0, 2**32, 70001, np.uint64).astype("<u4")
     for bits in (False, True):
-        data = token_files.segment(3, [1, None], [70000, 1], ids, bits) + b"\n"
-        ((part, doc_ids, counts, back),) = token_files.segments(memoryview(data))
-        assert (part, doc_ids, counts.tolist()) == (3, [1, None], [70000, 1]) and (back == ids).all()
+        data = token_files.segment(3, 12, [1, None], [70000, 1], ids, bits) + b"\n"
+        ((part, first, doc_ids, counts, back),) = token_files.segments(memoryview(data))
+        assert (part, first, doc_ids, counts.tolist()) == (3, 12, [1, None], [70000, 1]) and (back == ids).all()
     with pytest.raises(ValueError):
         list(token_files.segments(b"x" * 100))
