@@ -9,19 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import written
+from pairloom.llm.common import plain_columns, written
 from pairloom.llm.decontamination import decontaminate
 from pairloom.llm.near_duplicates import near_duplicates
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.personal_data import mask_personal_data
 from pairloom.llm.quality import score_quality
-from pairloom.session import ship
+from pairloom.session import discard, saved, shared_path, ship, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the weakly supervised quality rules reject."""
     ship(spark)
-    return score_quality(docs).where("kept").select(docs.columns)
+    rows, text = plain_columns(docs)
+    return score_quality(rows, text).where("kept").select(rows.columns).toDF(*docs.columns)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,21 +31,21 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are told apart by a number of their own, so null and repeated doc_ids lose and hide nothing.
     """
     ship(spark)
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    plain, text = plain_columns(docs)
+    doc_id = F.col(plain.columns[docs.columns.index("doc_id")])
+    rows = written(plain.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("__row"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
-    best = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
-    return rows.join(best.select("best.__row"), "__row", "left_semi").select(docs.columns)
+    best = found.join(rows.select("__row", doc_id.alias("doc_id")), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
+    return rows.join(best.select("best.__row"), "__row", "left_semi").select(plain.columns).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold a window of a benchmark item."""
     ship(spark)
-    # which item is hit doesn't matter here, and items without an id count too
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.lit("").alias("item_id"), "text")
-    names = [c for c in docs.columns if c != "text"]
-    scanned = decontaminate(docs, benchmark, keep=[*names, "text"])
-    return scanned.where("not contaminated").select(docs.columns)
+    rows, text = plain_columns(docs)
+    scanned = decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text=text, keep=rows.columns)
+    return scanned.where("not contaminated").select(rows.columns).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,8 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to the documents; each result is written and read again, and deleted when the next is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = shared_path(spark, name.replace(" ", "_"))
+        with temporary(spark):  # what a stage writes on its way goes when its result is written
+            docs = saved(stage(spark, docs, sf_dir), path)
+        if before:
+            discard(spark, before)
+        before = path
     return docs
