@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pairloom.llm.common import let, plain_columns, quoted, written
 from pairloom.llm.weak_supervision import fit, odds_of, probability
 
-SPACES = " \t\n\x0b\x0c\r"
+# classes of characters in regular expressions
+SPACES = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
 #: A row is kept if its posterior probability of quality is at least this.
 KEEP_FROM = 0.5
@@ -21,8 +22,9 @@ KEEP_FROM = 0.5
 PRIOR_BAD = 0.15
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count(text: Column, characters: str) -> Column:
+    """How many characters of a regular expression's class the text has."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{characters}]+", ""))).cast("long")
 
 
 def _repeated(words: Column) -> Column:
@@ -59,23 +61,20 @@ def _repeated(words: Column) -> Column:
 def quality_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with a struct ``q`` of counts: the base counts and those that only rules use."""
     t = F.coalesce(quoted(text), F.lit(""))
-    plain = F.translate(t, SPACES, " " * len(SPACES))
-    words = F.array_remove(F.split(plain, " ", -1), "")
-    solid = _without(t, SPACES)
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(_without(x, SPACES)) > 0)
-    ascii_upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.array_remove(F.split(t, f"[{SPACES}]+", -1), "")
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(f"[^{SPACES}]"))
     q = let(
         words,
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(solid).cast("long").alias("word_chars"),
-            (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long").alias("n_symbols"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _count(t, SYMBOLS).alias("n_symbols"),
             let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             let(lines, F.size).cast("long").alias("n_lines"),
             _repeated(w).cast("long").alias("n_repeat_words"),
-            (F.length(t) - F.length(_without(t, ascii_upper))).cast("long").alias("n_upper"),
-            (F.length(t) - F.length(_without(t, ascii_upper.lower()))).cast("long").alias("n_lower"),
-            (F.length(t) - F.length(_without(t, "!"))).cast("long").alias("n_cries"),
+            _count(t, "A-Z").alias("n_upper"),
+            _count(t, "a-z").alias("n_lower"),
+            _count(t, "!").alias("n_cries"),
             F.size(F.array_distinct(w)).cast("long").alias("n_kinds"),
         ),
     )
