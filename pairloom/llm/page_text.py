@@ -44,21 +44,27 @@ LINKS = 0.6
 BROADCAST_TOKENS = 1_000_000
 #: Distinct pages with copies that are broadcast; with more, they are joined by host and digest.
 BROADCAST_COPIES = 1_000_000
+#: Templates that a task keeps ready.
+KNOWN_HOSTS = 64
 #: Slots' paths and template texts.
 TEMPLATE = "array<struct<token:bigint,kind:int>>"
 PATH, LINK_SLOT, TEXT = 0, 1, 2
 
 # Elements by what they do to text.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "canvas", "object"}
+#: Those of them that may hold others of their kind, and those that last to the end of the page if they are left open.
+NESTING, TO_THE_END = {"template", "svg", "canvas", "object"}, {"script", "style", "textarea"}
 SKIPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "label", "datalist", "map", "audio", "video"}
 STRUCTURE = SKIPPED | {"html", "body", "article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "figure", "details"}
 BLOCKS = STRUCTURE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "address", "hr", "figcaption", "summary", "center", "title"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|alert|sidebar|side|widget|menu|nav\w*|breadcrumbs?|"
-    r"comments?|respond|disqus|reply|replies|footer|foot|header|masthead|topbar|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
-    r"popup|modal|overlay|search|toolbar|pagination|pager|tags|copyright|legal|skip)(?:$|[\s_-])"
+    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|alert|sidebar|(?:left|right)[_-]?side|widget|menu|nav\w*|"
+    r"breadcrumbs?|comments?|respond|disqus|reply|replies|footer|foot|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
+    r"popup|modal|overlay|search|toolbar|pagination|pager|tags|copyright|legal|skip)(?:$|[\s_-])|(?<![\w-])side(?![\w-])"
 )
+# these are boilerplate outside of articles only
+HEADERS = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
 # a quote without a second one is a sign like others
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*+"|'[^']*+'|["'])*+)>""")
 # if the quotes swallow the end of the tag: quotes are signs like others
@@ -71,9 +77,37 @@ def _names(attributes: str) -> str:
     return " ".join(m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes) if m[1] and m[1].lower() in ("class", "id", "role"))
 
 
+class _Ends:
+    """Where the elements of RAW end in a page; each page is searched once for each kind."""
+
+    def __init__(self, html: str):
+        self.html, self.open, self.nested = html, set(), {}
+
+    def behind(self, name: str, start: int, at: int) -> int:
+        """The place behind the end tag of an element whose tag goes from ``start`` to ``at``."""
+        if name in NESTING:
+            return self._pairs(name, start).get(start, at)
+        end = None if name in self.open else re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(self.html, at)
+        if end:
+            return end.end()
+        self.open.add(name)  # nor is there an end tag behind later ones
+        return len(self.html) if name in TO_THE_END else at
+
+    def _pairs(self, name: str, start: int) -> dict[int, int]:
+        if name not in self.nested:
+            self.nested[name], stack = {}, []
+            for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*>", re.I).finditer(self.html, start):
+                if not m[1]:
+                    if not m[0].endswith("/>"):
+                        stack.append(m.start())
+                elif stack:
+                    self.nested[name][stack.pop()] = m.end()
+        return self.nested[name]
+
+
 def _events(html: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", element, names) and ("close", element, "") in page order."""
-    at, held = 0, []
+    at, held, ends = 0, [], _Ends(html)
     while at < len(html):
         lt = html.find("<", at)
         if lt < 0:
@@ -101,8 +135,7 @@ def _events(html: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
         elif name in RAW:
             if not tag[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                at = max(at, ends.behind(name, lt, at))
         else:
             yield "open", name, _names(tag[3]) if tag[3] and name in STRUCTURE else ""
     if any(held):
@@ -146,11 +179,11 @@ def page_blocks(html: str, opened: Counter | None = None) -> Iterator[tuple[tupl
         if value in STRUCTURE:
             if kind == "open":
                 if value == "body":  # what isn't closed before it was left open by mistake
-                    stay = [k for k, x in enumerate(path) if not _leaves([x])]
+                    stay = [k for k, x in enumerate(path) if not _apart(x)]
                     path, at_event = [path[k] for k in stay], [at_event[k] for k in stay]
-                elif value in ("article", "main") and _leaves(path):
+                elif value in ("article", "main") and any(map(_apart, path)):
                     unclosed, wrappers = given_up = given_up or _given_up(events)
-                    stay = [k for k, x in enumerate(path) if not (_leaves([x]) and at_event[k][1] in unclosed)]
+                    stay = [k for k, x in enumerate(path) if not (_apart(x) and at_event[k][1] in unclosed)]
                     path, at_event = [path[k] for k in stay], [at_event[k] for k in stay]
                     path = [("div", "") if e[1] in wrappers else x for x, e in zip(path, at_event, strict=True)]
                 path.append((value, names))
@@ -185,7 +218,7 @@ def _given_up(events: list[tuple[str, str, str]]) -> tuple[set[int], set[int]]:
             while events[k := stack.pop()][1] != value:
                 pass
             ends[k] = i
-    leaving = {k for own in around.values() for k in own if _leaves([events[k][1:]])}
+    leaving = {k for own in around.values() for k in own if _apart(events[k][1:])}
     unclosed = {k for k in leaving if k not in ends}
     loose = {k for k in leaving - unclosed if events[k][1] == "form" or events[k][1] not in SKIPPED}
     wrappers = {k for k in loose if k < title < ends[k]}
@@ -195,8 +228,13 @@ def _given_up(events: list[tuple[str, str, str]]) -> tuple[set[int], set[int]]:
     return unclosed, wrappers
 
 
-def _leaves(path: list[tuple[str, str]]) -> bool:
-    """Whether any element of a path is boilerplate by its kind or names."""
+def _apart(element: tuple[str, str]) -> bool:
+    """Whether an element around an article is boilerplate by its kind or names."""
+    return element[0] == "header" or element[1] and HEADERS.search(element[1]) is not None or _leaves([element])
+
+
+def _leaves(path) -> bool:
+    """Whether any element of a path is boilerplate by its kind or names wherever it stands."""
     return any(e in SKIPPED or names and NAMES.search(names) is not None for e, names in path)
 
 
@@ -204,11 +242,11 @@ def _in_article(path) -> bool:
     return any(e in ("article", "main") for e, _ in path)
 
 
-def _skipped(path: list[tuple[str, str]]) -> bool:
+def _skipped(path) -> bool:
     if _leaves(path):
         return True
     # a header of the page, not one inside the article
-    return any(e == "header" and not _in_article(path[:k]) for k, (e, _) in enumerate(path))
+    return any((e == "header" or HEADERS.search(names) is not None) and not _in_article(path[:k]) for k, (e, names) in enumerate(path))
 
 
 def _name(*parts) -> int:
@@ -244,7 +282,7 @@ def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES)
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root = _name("page")
+        root = _slot(())[0]
         for batch in batches:
             for host, page, html, copies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 opened, texts, chars, link_chars = Counter(), Counter(), Counter(), Counter()
@@ -253,7 +291,7 @@ def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES)
                     chars[slot] += len(text)
                     link_chars[slot] += linked
                     texts[slot, text] += 1
-                own = [(root, PATH, 0, chars[_slot(())[0]], link_chars[_slot(())[0]], 1)]
+                own = [(root, PATH, 0, chars[root], link_chars[root], 1)]
                 for path, n in opened.items():
                     slot = _slot(path)[0]
                     own.append((slot, PATH, _slot(path[:-1])[0], chars[slot], link_chars[slot], n))
@@ -279,7 +317,7 @@ def nested(tokens: list[dict]) -> list[dict]:
     """The template of a host, as TEMPLATE, from its frequent tokens (token, kind, parent, pages, chars, links, vector)."""
     size = Counter(t["vector"] for t in tokens)
     elements = {t["token"]: t for t in tokens if t["kind"] == PATH}
-    root = elements[_name("page")]
+    root = elements[_slot(())[0]]
     out = []
     for t in tokens:
         if size[t["vector"]] < 2:
@@ -306,7 +344,7 @@ def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> Dat
     )
     # weights of copies don't add up to whole numbers exactly
     often = written(tokens.where(F.col("pages") >= LEAST_PAGES - 1e-6), "tokens")  # read twice below
-    hosts = often.where(F.col("token") == _name("page")).select("host", F.col("pages").alias("all"))
+    hosts = often.where(F.col("token") == _slot(())[0]).select("host", F.col("pages").alias("all"))
     often = often.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all") - 1e-6)
     own = F.struct("token", "kind", "parent", "pages", "chars", "links", F.col("vector").cast("string").alias("vector"))
 
@@ -340,21 +378,28 @@ def _main_text(html: str | None, known: dict[int, int]) -> str:
 def extract_pages(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """(page_id, url, text, n_chars) of each page.
 
-    Null or empty html gives an empty text; a null url is a host of its own; repeated rows are read
-    each; an empty table gives no rows; other columns are not looked at.  Templates are broadcast if
-    they have at most ``broadcast_tokens`` tokens in all, and else joined by host.
+    Null or empty html gives an empty text, however long html is read whole; a null url is a host of
+    its own; a null page_id is kept; repeated rows are read each; an empty table gives no rows; other
+    columns are not looked at.  Templates are broadcast if they have at most ``broadcast_tokens``
+    tokens in all, and else joined by host.
     """
     found = written(templates(pages), "templates")
     small = (found.agg(F.sum(F.size("template") + 1)).first()[0] or 0) <= broadcast_tokens
     rows = pages.select("page_id", "url", "html", _host(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(found) if small else found, "host", "left").select("page_id", "url", "html", "template")
+    rows = rows.join(F.broadcast(found) if small else found, "host", "left").select("page_id", "url", "html", "host", "template")
     kinds = dict(rows.dtypes)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[int, int]] = {}  # of the hosts met last
         for batch in batches:
             for k in range(0, len(batch), 256):
-                part = batch.slice(k, 256)
-                texts = [main_text(h.as_py(), t.as_py()) for h, t in zip(part.column(2), part.column(3), strict=True)]
+                part, texts = batch.slice(k, 256), []
+                for html, host, template in zip(part.column(2), part.column(3).to_pylist(), part.column(4), strict=True):
+                    if host not in known:
+                        if len(known) >= KNOWN_HOSTS:
+                            known.clear()
+                        known[host] = {t["token"]: t["kind"] for t in template.as_py() or ()}
+                    texts.append(_main_text(html.as_py(), known[host]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(np.array([len(t) for t in texts], np.int64))],
                     ["page_id", "url", "text", "n_chars"],

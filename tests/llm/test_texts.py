@@ -213,6 +213,13 @@ def test_articles_in_boilerplate(html, want):
         ("<p title=\"open>a</p><p class=\"x\">b</p>c<i", "b\nc<i"),  # as browsers read it
         ("<p title=\"open>a<b x=\"y<z\">c", "ac"),
         ("<div class = side>x</div><div data-id=side>y</div>", "y"),
+        ("<div data-id='comments'>a</div><div class='left-side'>b</div>", "a"),
+        ("<article><div class='entry-header'><h1>Title</h1></div><div class='side-by-side'><p>Body</p></div><div class='entry-footer'>x</div></article>", "Title\nBody"),
+        ("<div class='site-header'>Site</div><p>Body</p>", "Body"),
+        ("<div class='header'>left open<article><p>Body</p></article>", "Body"),
+        ("<p>a<script>x</script foo><p>b<script>y</scripts></script\n><p>c", "a\nb\nc"),
+        ("<p>a<svg><svg><text>x</text></svg><text>y</text></svg>b<svg/>c", "abc"),
+        ("<p>a<svg>left open<p>b<object><object>x</object></object>c<style>rest", "aleft open\nbc"),
     ],
 )
 def test_quoted_values(html, want):
@@ -220,5 +227,86 @@ def test_quoted_values(html, want):
 
 
 def test_long_quotes_take_linear_time():
-    for part in ("<a \"", "<a '\"", "<a \"'<b ", "<a x=\"<\" "):
+    for part in ("<a \"", "<a '\"", "<a \"'<b ", "<a x=\"<\" ", "<svg>", "<noscript>", "<svg></object>", "<div class=ad>"):
         assert page_text.main_text(part * 50_000, None) is not None
+
+
+def random_pages(r, hosts):
+    """Pages of each host from its own skeleton: shared texts and link lists in any place, main texts of their own, copies."""
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    pages = []
+    for h in range(hosts):
+        shared = [line(3) for _ in range(8)]
+
+        def node(depth, k, shared=shared):
+            kind = r.choice(["own", "own", "shared", "links", "box", "box"] if depth < 3 else ["own", "shared"])
+            if kind == "box":
+                e = r.choice(["div", "section", "div class='x'", "article", "aside", "div class='promo'", "main"])
+                parts = [node(depth + 1, k) for _ in range(r.randint(1, 3))]
+                return lambda: f"<{e}>" + "".join(p() for p in parts) + f"</{e.split()[0]}>"
+            if kind == "links":
+                return lambda: "<ul>" + "".join(f"<li><a href=/>{line(2)}</a>" for _ in range(r.randint(1, 4))) + "</ul>"
+            text, often = r.choice(shared), r.choice([0.5, 0.85, 1.0])
+            return (lambda: f"<p>{line(r.randint(4, 9))}</p>") if kind == "own" else (lambda: f"<p>{text}</p>" if r.random() < often else "")
+
+        skeleton = [node(0, h) for _ in range(5)]
+        made = ["<body>" + "".join(p() for p in skeleton) for _ in range(r.randint(2, 15))]
+        made += [r.choice(made) for _ in range(r.randint(0, 6))]
+        pages += [(f"http://h{h}.example/{k}", html) for k, html in enumerate(made)]
+    return [(k, *p) for k, p in enumerate(pages)]
+
+
+def brute_templates(pages):
+    """{host: {token: kind}}, with all pages of a host in memory and whole occurrence vectors."""
+    out = {}
+    for host in {u.split("/")[2] for _, u, _ in pages}:
+        own = [html for _, u, html in pages if u.split("/")[2] == host]
+        seen, parent, chars, links = {}, {}, Counter(), Counter()
+        root = page_text._slot(())[0]
+        for k, html in enumerate(own):
+            opened = Counter()
+            for path, _, text, linked in page_text.page_blocks(html, opened):
+                slot = page_text._slot(path)[0]
+                token = page_text._text_name(slot, text)
+                seen.setdefault((token, page_text.TEXT), [0] * len(own))[k] += 1
+                parent[token] = slot
+                chars[slot] += len(text)
+                links[slot] += linked
+            for path, n in opened.items():
+                seen.setdefault((page_text._slot(path)[0], page_text.PATH), [0] * len(own))[k] += n
+                parent[page_text._slot(path)[0]] = page_text._slot(path[:-1])[0]
+        seen[root, page_text.PATH] = [1] * len(own)
+        on = {t: len({own[k] for k, n in enumerate(v) if n}) for t, v in seen.items()}
+        often = {t: tuple(v) for t, v in seen.items() if on[t] >= max(page_text.LEAST_PAGES, page_text.SHARE * len(set(own)))}
+        size = Counter(often.values())
+        valid = {t for t, v in often.items() if size[v] >= 2}
+        out[host] = {}
+        for token, kind in valid:
+            if kind == page_text.PATH:
+                out[host][token] = page_text.LINK_SLOT if links[token] > page_text.LINKS * chars[token] else kind
+                continue
+            around = parent[token]
+            while around != root and (around, page_text.PATH) not in valid:
+                around = parent.get(around, root)
+            if on[token, kind] >= page_text.TEXT_SHARE * on[around, page_text.PATH]:
+                out[host][token] = kind
+    return out
+
+
+def test_templates_against_whole_hosts(spark):
+    pages = random_pages(random.Random(11), 25)
+    df = spark.createDataFrame([*pages, (None, None, pages[0][2])], "page_id long, url string, html string").repartition(7)
+    want = brute_templates(pages)
+    got = {r["host"]: {t["token"]: t["kind"] for t in r["template"]} for r in page_text.templates(df).collect()}
+    assert {h: t for h, t in got.items() if t} == {h: t for h, t in want.items() if t}
+    texts = {r["page_id"]: r["text"] for r in page_text.extract_pages(df).collect()}
+    assert all(texts[k] == page_text._main_text(html, want[url.split("/")[2]]) for k, url, html in pages)
+    assert sum(texts[k] != page_text.main_text(html, None) for k, _, html in pages) > len(pages) / 3
+    twice = page_text.extract_pages(df.union(df)).groupBy("page_id", "text").count()
+    assert twice.where("count <> 2").count() == 0
+
+
+def test_very_long_page():
+    html = "<nav>Menu</nav><article>" + "<p>One more <b>line</b> of text.</p>" * 60_000 + "</article>"
+    assert len(page_text.main_text(html, None).split("\n")) == 60_000
