@@ -57,7 +57,7 @@ def residues(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
-    text = F.when(F.col("event_type") == "error", "  ").otherwise(F.col("event_type"))
+    text = F.when(F.col("event_type") == "error", "\t \r\n").otherwise(F.concat(F.lit("\n"), "event_type", F.lit("\t ")))
     return table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("user_id").alias("id"), text.alias("text"))
 
 
@@ -71,7 +71,7 @@ SQL = {
     "v_scored": "SELECT CAST(doc_id % 5 AS INT) AS fold, quality AS label, CAST((n_chars % 1000) / 1000.0 AS DOUBLE) AS prob FROM documents JOIN labels USING (doc_id)",
     "v_epochs": "SELECT CAST(user_id % 10 AS INT) AS fold, CAST(event_id % 100 AS INT) AS epoch, round(avg(value), 0) AS metric FROM events GROUP BY 1, 2",
     "v_residues": "SELECT vec_id // 25 AS id, CAST(vec_id % 25 AS INT) AS pos, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings WHERE vec_id % 25 < 4 + (vec_id // 25) % 22",
-    "v_entities": "SELECT event_id AS ord, user_id AS id, CASE WHEN event_type = 'error' THEN '  ' ELSE event_type END AS text FROM events",
+    "v_entities": "SELECT event_id AS ord, user_id AS id, CASE WHEN event_type = 'error' THEN chr(9) || ' ' || chr(13) || chr(10) ELSE chr(10) || event_type || chr(9) || ' ' END AS text FROM events",
     # folds of the pairs over nodes
     "v_folds": """SELECT left_idx, right_idx, CAST(CASE WHEN r < m * (q + 1) THEN 1 + r // (q + 1) ELSE 1 + m + (r - m * (q + 1)) // q END AS INT) AS test_fold FROM (
         SELECT left_idx, right_idx, n // least(10, n) AS q, n % least(10, n) AS m, row_number() OVER (ORDER BY md5(concat_ws('|', left_idx, right_idx, 7777)), left_idx, right_idx) - 1 AS r
@@ -82,11 +82,10 @@ SQL = {
     "v_similar": "SELECT src, dst, score, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9) DESC, dst) AS r FROM v_cosine) WHERE r <= 10",
     "v_dissimilar": """SELECT src AS left_idx, dst AS neighbor_idx, score, CAST(r AS INT) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(score, 9), dst) AS r FROM v_cosine, v_size WHERE src < nl AND dst < nl) WHERE r <= 10""",
-    # the graph of the first two folds
     "v_graph": """SELECT fold, src, dst FROM (
-        SELECT fold, left_idx AS src, right_idx + nl AS dst FROM v_expanded, v_size WHERE split = 'train' AND fold <= 2
-        UNION SELECT fold, right_idx + nl, left_idx FROM v_expanded, v_size WHERE split = 'train' AND fold <= 2
-        UNION SELECT f.fold, src, dst FROM v_similar, (SELECT unnest([1, 2])::INT AS fold) f) WHERE src <> dst""",
+        SELECT fold, left_idx AS src, right_idx + nl AS dst FROM v_expanded, v_size WHERE split = 'train'
+        UNION SELECT fold, right_idx + nl, left_idx FROM v_expanded, v_size WHERE split = 'train'
+        UNION SELECT f.fold, src, dst FROM v_similar, (SELECT DISTINCT fold FROM v_expanded) f) WHERE src <> dst""",
     "v_undirected": "SELECT DISTINCT fold, least(src, dst) AS a, greatest(src, dst) AS b FROM v_graph",
     "v_c3": "SELECT x.fold, x.a AS m1, x.b AS m2, y.b AS m3 FROM v_undirected x JOIN v_undirected y ON x.fold = y.fold AND x.b = y.a JOIN v_undirected z ON z.fold = x.fold AND z.a = x.a AND z.b = y.b",
     "v_c4": "SELECT c.*, y.b AS m4 FROM v_c3 c JOIN v_undirected y ON y.fold = c.fold AND y.a = m3 JOIN v_undirected p ON p.fold = c.fold AND p.a = m1 AND p.b = y.b JOIN v_undirected q ON q.fold = c.fold AND q.a = m2 AND q.b = y.b",

@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def embed_batches(df: DataFrame, encode: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int = 64, text: str = "text") -> tuple[DataFrame, DataFrame]:
+def embed_batches(
+    df: DataFrame, encode: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int = 64, text: str = "text", width: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(rows (id, features) that were encoded, rows (id, error) that were not).
 
-    A batch that fails, or gives another number of vectors, is tried row by row.
+    A batch that fails, or gives another number of vectors or vectors of different widths, is tried row
+    by row.  With ``width`` every vector must have that width; without it vectors of an encoder whose
+    width changes from batch to batch are not told apart.
     """
     if batch_size < 1:
         raise ValueError(f"batch_size must be at least 1, not {batch_size}")
@@ -22,6 +26,9 @@ def embed_batches(df: DataFrame, encode: Callable[[list[str]], Sequence[Sequence
             vectors = [[float(x) for x in v] for v in encode(texts)]
             if len(vectors) != len(texts):
                 raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+            widths = {len(v) for v in vectors}
+            if len(widths) > 1 or widths != {width or len(vectors[0])}:
+                raise ValueError(f"vectors of width {', '.join(map(str, sorted(widths)))}" + (f" instead of {width}" if width else ""))
             return [(v, None) for v in vectors]
         except Exception as e:  # noqa: BLE001  what an encoder raises is unknown
             return [(None, f"{type(e).__name__}: {e}")] if len(texts) == 1 else [t for x in texts for t in tried([x])]

@@ -59,11 +59,20 @@ def interaction_graph(train: DataFrame, num_left: int, num_right: int, self_loop
     return merged_graph(train, None, num_left, num_right, self_loops, by)
 
 
-def edge_stats(graph: DataFrame, num_left: int, by: list[str] = ("fold",)) -> DataFrame:
-    """Unique edges of each group: all, between left nodes, between right nodes and mixed."""
+def edge_stats(graph: DataFrame, num_left: int, by: list[str] = ("fold",), train: DataFrame | None = None, similar: DataFrame | None = None) -> DataFrame:
+    """Unique edges of each group: all, between left nodes, between right nodes and mixed.
+
+    With the pairs and similarity edges that the graph was made of, also their directed edges before the union.
+    """
     a, b = F.col("src") < num_left, F.col("dst") < num_left
     count = lambda c, name: F.count_if(c).cast("long").alias(name)
-    return graph.groupBy(*by).agg(F.count("*").alias("edges"), count(a & b, "left_left"), count(~a & ~b, "right_right"), count(a != b, "mixed"))
+    out = graph.groupBy(*by).agg(F.count("*").alias("edges"), count(a & b, "left_left"), count(~a & ~b, "right_right"), count(a != b, "mixed"))
+    if train is not None:
+        directed = bipartite_edges(train.select(*by, "left_idx", "right_idx").distinct(), num_left, by)
+        counts = directed.groupBy(*by).agg(F.count("*").alias("interaction_edges"))
+        out = out.join(counts, list(by)) if by else out.crossJoin(counts)  # one row each
+        out = out.withColumn("similarity_edges", F.lit(similar.count() if similar is not None else 0).cast("long"))
+    return out
 
 
 def out_degrees(graph: DataFrame, by: list[str] = ("fold",)) -> DataFrame:

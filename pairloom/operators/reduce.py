@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import padded
-from pairloom.session import written
+from pairloom.session import shared_path, written
 
 
 def _width(df: DataFrame) -> int:
@@ -69,26 +72,37 @@ def safe_project(df: DataFrame, output_dim: int = 128) -> DataFrame:
 def tfidf_svd(weights: DataFrame, dim: int = 128) -> DataFrame:
     """(id, features): U times S of the truncated, uncentred decomposition of (id, gram, weight) rows.
 
-    min(dim, ids - 1, grams - 1) places; none if that isn't positive.
+    min(dim, ids - 1, grams - 1) places; none if that isn't positive.  The right singular vectors, grams x
+    places, meet on the driver, as the decomposition itself has it; rows are then projected on them.
     """
-    from pyspark.mllib.linalg import SparseVector, VectorUDT
+    from pyspark.mllib.linalg import VectorUDT
     from pyspark.mllib.linalg.distributed import IndexedRowMatrix
     from pyspark.sql.types import LongType, StructField, StructType
 
     from pairloom.operators.folds import dense_index
 
-    grams = weights.select("gram").distinct()
-    numbered = grams.select("gram", F.xxhash64("gram").alias("h"))
-    places = dense_index(numbered, [], "h", "place").join(numbered, "h").select("gram", "place")
-    rows = weights.join(places, "gram").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("v"))
+    grams = written(weights.select("gram", F.xxhash64("gram").alias("h")).distinct(), "grams")
+    places = dense_index(grams, [], "h", "place").join(grams, "h").select("gram", F.col("place").cast("int").alias("place"))
+    entries = F.array_sort(F.collect_list(F.struct("place", "weight")))
+    lists = weights.join(places, "gram").groupBy("id").agg(entries.alias("e")).select("id", F.col("e.place").alias("places"), F.col("e.weight").alias("weights"))
+    rows = written(lists, "rows")  # the rounds of the decomposition and the projection read them
     n_ids, n_grams = rows.count(), grams.count()
     d = min(dim, n_ids - 1, n_grams - 1)
     if d <= 0:
         return rows.select("id", F.array().cast("array<double>").alias("features"))
-    vectors = rows.rdd.map(lambda r: (r["id"], SparseVector(n_grams, [(p["place"], p["weight"]) for p in r["v"]])))
-    # written, so that the rounds of the decomposition read finished vectors
-    indexed = written(vectors.toDF(StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])), "vectors")
-    svd = IndexedRowMatrix(indexed, numCols=n_grams).computeSVD(d, computeU=True)
-    sign = np.where(np.take_along_axis(svd.V.toArray(), np.abs(svd.V.toArray()).argmax(0)[None, :], 0)[0] < 0, -1.0, 1.0)
-    scale = (svd.s.toArray() * sign).tolist()
-    return svd.U.rows.map(lambda r: (r.index, [float(a * b) for a, b in zip(r.vector, scale)])).toDF("id long, features array<double>")
+    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(n_grams).alias("size"), F.col("places").alias("indices"), F.col("weights").alias("values"))
+    spark, path = weights.sparkSession, shared_path(weights.sparkSession, "vectors")
+    rows.select(F.monotonically_increasing_id().alias("index"), sparse.alias("vector")).write.parquet(path)
+    vectors = spark.read.schema(StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).parquet(path)
+    matrix = IndexedRowMatrix(vectors, numCols=n_grams)
+    shared = spark.sparkContext.broadcast(_signed(matrix.computeSVD(d).V.toArray()))
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        for batch in batches:
+            out = [w.values.to_numpy() @ v[p.values.to_numpy()] for p, w in zip(batch.column(1), batch.column(2), strict=True)]
+            flat = pa.array(np.concatenate(out) if out else np.zeros(0))
+            at = pa.array((np.arange(len(out) + 1) * d).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat)], ["id", "features"])
+
+    return rows.mapInArrow(project, f"id {dict(rows.dtypes)['id']}, features array<double>")

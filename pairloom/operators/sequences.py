@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import written
+
 # Amino acids in the order of the composition, letters of a clean sequence, classes of letters.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
 CLEAN = "ACDEFGHIKLMNPQRSTVWYX"
+BLANKS = r"\x09-\x0D\x1C-\x20\x85\p{Z}"  # in a class of a regular expression
 CLASSES = {"aromatic": "FWYH", "polar": "STNQC", "positive": "KRH", "negative": "DE", "aliphatic": "AVILM", "gly_pro": "GP", "cysteine": "C"}
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+
+
 def first_non_empty(df: DataFrame, id: str, text: str, order: str, trim: bool = True, drop_empty: bool = True) -> DataFrame:
     """(id, text): the first text of each id by ``order``.
 
@@ -18,7 +30,7 @@ def first_non_empty(df: DataFrame, id: str, text: str, order: str, trim: bool =
     have an empty one.  A null text is an empty one.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    value = F.trim(value) if trim else value
+    value = stripped(value) if trim else value
     best = df.groupBy(F.col(id).alias("id")).agg(F.min_by(value, F.when(value != "", F.col(order))).alias("text"))
     best = best.select("id", F.coalesce("text", F.lit("")).alias("text"))
     return best.where("text <> ''") if drop_empty else best
@@ -92,19 +104,80 @@ def dipeptide_vectors(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFr
     return rows.select("id", F.transform(names, lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0.0))).alias("features"))
 
 
-def trigram_tfidf(df: DataFrame, id: str = "id", text: str = "text", size: int = 3) -> DataFrame:
-    """(id, gram, tf, df, weight): character grams, raw counts times ln((1 + n) / (1 + df)) + 1, at length 1 for each id.
+#: Grams whose weights are broadcast; with more, they are joined.
+BROADCAST_GRAMS = 2_000_000
+#: Bits of a code point.
+POINT = 21
+
+
+def _gram_counts(rows: DataFrame) -> DataFrame:
+    """(id, codes, counts) of the grams of three characters of each text (id, t); a code is the row of code points."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, counts = [], []
+            for t in batch.column(1):
+                x = np.frombuffer((t.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                own, n = np.unique(x[:-2] << 2 * POINT | x[1:-1] << POINT | x[2:], return_counts=True) if len(x) > 2 else (x[:0], x[:0])
+                codes.append(own)
+                counts.append(n)
+            at = pa.array(np.cumsum([0, *map(len, codes)]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(v).astype(np.int64))) for v in (codes, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["id", "codes", "counts"])
+
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, codes array<long>, counts array<long>")
+
+
+def _named_grams(often: DataFrame) -> DataFrame:
+    """(code, gram, df)."""
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column(0).to_pylist()
+            grams = [chr(c >> 2 * POINT) + chr(c >> POINT & (1 << POINT) - 1) + chr(c & (1 << POINT) - 1) for c in codes]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.string()), batch.column(1)], ["code", "gram", "df"])
+
+    return often.mapInArrow(name, "code long, gram string, df long")
+
+
+def trigram_tfidf(df: DataFrame, id: str = "id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
+    """(id, gram, tf, df, weight): grams of three characters, raw counts times ln((1 + n) / (1 + df)) + 1, at length 1 for each id.
 
-    Case is kept and runs of two or more white space characters become one space.
+    Case is kept and runs of two or more white space characters become one space.  Ids are distinct.
+    Grams are counted where their text is; only the table of distinct grams is shuffled, and broadcast
+    if it has at most ``broadcast_grams`` rows.
     """
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s\s+", " ")
-    rows = df.select(F.col(id).alias("id"), t.alias("t"))
-    grams = rows.select("id", F.explode(character_grams(F.col("t"), size)).alias("gram"))
-    counts = grams.groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    often = counts.groupBy("gram").agg(F.count("*").alias("df"))
-    n = df.select(F.count("*").alias("n")).first()[0]
+    counts = written(_gram_counts(df.select(F.col(id).alias("id"), t.alias("t"))), "grams")
+    often = counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
+    often, n = written(_named_grams(often), "vocabulary"), counts.count()
+    if often.count() > broadcast_grams:
+        return _joined_weights(counts, often, n)
+    table = often.toArrow().sort_by("code")
+    spark, kind = df.sparkSession, dict(counts.dtypes)["id"]
+    shared = spark.sparkContext.broadcast((table["code"].to_numpy(), table["gram"].combine_chunks(), table["df"].to_numpy()))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, grams, often = shared.value
+        idf = np.log((1.0 + n) / (1 + often)) + 1
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                place = np.searchsorted(codes, part.column(1).flatten().to_numpy())
+                tf, size = part.column(2).flatten().to_numpy(), part.column(1).value_lengths().to_numpy()
+                whose = np.repeat(np.arange(len(part)), size)
+                w = tf * idf[place]
+                w /= np.sqrt(np.bincount(whose, w * w, len(part)))[whose]
+                cols = [part.column(0).take(pa.array(whose)), grams.take(pa.array(place)), pa.array(tf), pa.array(often[place]), pa.array(w)]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "gram", "tf", "df", "weight"])
+
+    return counts.mapInArrow(weigh, f"id {kind}, gram string, tf long, df long, weight double")
+
+
+def _joined_weights(counts: DataFrame, often: DataFrame, n: int) -> DataFrame:
+    long = counts.select("id", F.explode(F.arrays_zip("codes", "counts")).alias("c")).select("id", F.col("c.codes").alias("code"), F.col("c.counts").alias("tf"))
     idf = F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1
-    raw = counts.join(often, "gram").select("id", "gram", "tf", "df", (F.col("tf") * idf).alias("w"))
+    raw = long.join(often, "code").select("id", "gram", "tf", "df", (F.col("tf") * idf).alias("w"))
     norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, "id").select("id", "gram", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
 

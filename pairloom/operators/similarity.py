@@ -1,24 +1,41 @@
-"""Most and least similar nodes by cosine, all against all in blocks.
+"""Most and least similar nodes by cosine, all against all in tiles.
 
-Vectors are dealt into blocks of about ``block_rows`` rows.  Each pair of blocks is one small matrix
-product in numpy, of which only the best k of each row leave; these k rows for each block are ranked
-again for each node.  Nothing of the n x n matrix is shuffled.
+Vectors are dealt into tiles of about ``tile_rows`` rows.  Each pair of tiles meets in one group, where a
+strip of rows at a time is one small matrix product in numpy; only the best k of each row and column
+leave, and these are ranked again for each node.  A row goes to as many groups as there are tiles;
+nothing of the n x n matrix is shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.operators.folds import ranked_by
 
+TILE_ROWS = 8192
+#: Rows of a tile that are multiplied at once.
+STRIP = 512
 
-def _best(features: DataFrame, k: int, largest: bool, block_rows: int) -> DataFrame:
+
+def _first(key: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the k least finite values of each row, ties by the smaller column."""
+    if key.shape[1] > k:
+        edge = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
+        picked = key <= edge
+        many = np.flatnonzero(picked.sum(1) > k)
+        below, ties = key[many] < edge[many], key[many] == edge[many]
+        picked[many] = below | ties & (ties.cumsum(1) <= k - below.sum(1, keepdims=True))
+    else:
+        picked = np.ones(key.shape, bool)
+    return np.nonzero(picked & (key < np.inf))
+
+
+def _best(features: DataFrame, k: int, largest: bool, tile_rows: int) -> DataFrame:
     """(src, dst, score, rank): for each node the k others with the most or least cosine.
 
     Scores are ranked after rounding to 9 places, ties by the smaller id; the node itself is left out.
@@ -28,47 +45,50 @@ def _best(features: DataFrame, k: int, largest: bool, block_rows: int) -> DataFr
     if k <= 0 or n <= 1:
         return features.sparkSession.createDataFrame([], kinds)
     k = min(k, n - 1)
-    blocks = max(1, math.ceil(n / block_rows))
+    tiles = math.ceil(n / tile_rows)
     rows = features.select(F.col("node").cast("long").alias("node"), F.col("features").cast("array<double>").alias("x"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
-    packed = rows.groupBy("block").agg(F.collect_list(F.struct("node", "x")).alias("rows"))  # a block is bounded
-    one = packed.select(F.col("rows").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = one.join(packed.select("block", F.col("rows").alias("b")), "block").select("a", "b")
-
-    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
-        x = np.array([r["x"] for r in rows], np.float64)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), F.lit(tiles)).cast("int"))
+    met = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    rows = rows.withColumn("other", met).withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).drop("other")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node, tile, flat = table["node"].to_numpy(), table["tile"].to_numpy(), table["x"].combine_chunks().flatten().to_numpy()
+        x = flat.reshape(len(node), -1)
         length = np.sqrt((x * x).sum(1))
-        return np.array([r["node"] for r in rows], np.int64), x / np.where(length == 0, 1, length)[:, None]
-
-    def multiply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for a, b in zip(frame["a"], frame["b"], strict=True):
-                (na, x), (nb, y) = unit(a), unit(b)
-                order = np.argsort(nb)
-                nb, y = nb[order], y[order]
-                score = x @ y.T
-                key = np.round(-score if largest else score, 9)
-                key[na[:, None] == nb[None, :]] = np.inf
-                first = np.argsort(key, axis=1, kind="stable")[:, :k]
-                kept = np.take_along_axis(key, first, 1) < np.inf
-                src = np.repeat(na, first.shape[1]).reshape(first.shape)
-                out = {"src": src[kept], "dst": nb[first][kept], "score": np.take_along_axis(score, first, 1)[kept]}
-                yield pd.DataFrame(out)
-
-    near = pairs.repartition(max(1, blocks * blocks)).mapInPandas(multiply, "src long, dst long, score double")
+        x = x / np.where(length == 0, 1, length)[:, None]
+        one, two = (np.flatnonzero(tile == t) for t in (tile.min(), tile.max()))
+        out = []
+
+        def keep(score: np.ndarray, src: np.ndarray, dst: np.ndarray) -> None:
+            key = np.round(-score if largest else score, 9)
+            key[src[:, None] == dst[None, :]] = np.inf
+            r, c = _first(key, k)
+            out.append((src[r], dst[c], score[r, c]))
+
+        for at in range(0, len(one), STRIP):
+            own = one[at : at + STRIP]
+            score = x[own] @ x[two].T
+            keep(score, node[own], node[two])
+            if tile.min() != tile.max():
+                keep(score.T, node[two], node[own])
+        src, dst, score = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"src": src, "dst": dst, "score": score})
+
+    near = rows.groupBy("a", "b").applyInArrow(multiply, "src long, dst long, score double")
     score = F.round("score", 9)
     return ranked_by(near, ["src"], [score.desc() if largest else score.asc(), "dst"], k).select("src", "dst", "score", F.col("rank").cast("int").alias("rank"))
 
 
-def similarity_edges(features: DataFrame, k: int = 10, min_sim: float | None = None, block_rows: int = 2048) -> DataFrame:
+def similarity_edges(features: DataFrame, k: int = 10, min_sim: float | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Directed edges from each node (``node``, ``features``) to its k most similar ones, of at least ``min_sim``."""
-    edges = _best(features, k, True, block_rows)
+    edges = _best(features, k, True, tile_rows)
     return edges if min_sim is None else edges.where(F.col("score") >= min_sim)
 
 
-def dissimilar_neighbors(features: DataFrame, k: int = 10, block_rows: int = 2048) -> DataFrame:
+def dissimilar_neighbors(features: DataFrame, k: int = 10, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(left_idx, neighbor_idx, score, rank): the k least similar nodes of each node; k is at least 1."""
-    edges = _best(features, max(1, k), False, block_rows)
+    edges = _best(features, max(1, k), False, tile_rows)
     return edges.select(F.col("src").alias("left_idx"), F.col("dst").alias("neighbor_idx"), "score", "rank")
 
 

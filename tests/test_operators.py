@@ -99,14 +99,16 @@ def test_best_epochs(spark):
 # --- similarity and negatives ---
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_similarity_against_numpy(spark, block):
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_similarity_against_numpy(spark, tile, monkeypatch):
+    monkeypatch.setattr(SI, "STRIP", 2)
     x = np.random.default_rng(1).normal(size=(23, 5))
     x[3], x[4] = x[5], 0
+    x[10:16] = x[5]  # more ties than k
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>").repartition(6)
     unit = x / np.where((n := np.linalg.norm(x, axis=1)) == 0, 1, n)[:, None]
     cos = np.round(unit @ unit.T, 9)
-    for f, sign in ((SI.similarity_edges(df, 4, block_rows=block), -1), (SI.dissimilar_neighbors(df, 4, block_rows=block), 1)):
+    for f, sign in ((SI.similarity_edges(df, 4, tile_rows=tile), -1), (SI.dissimilar_neighbors(df, 4, tile_rows=tile), 1)):
         got = {(r[0], r["rank"]): r[1] for r in f.collect()}
         for i in range(23):
             want = sorted((j for j in range(23) if j != i), key=lambda j: (sign * cos[i, j], j))[:4]
