@@ -304,10 +304,14 @@ def _orders_sql(rounds: int) -> str:
     return one + two
 
 
-@query("g9_operator_summary", _orders_sql(STEPS) + f""", w AS (SELECT fold, 1 AS o, weight FROM s{STEPS} UNION ALL SELECT fold, ord, weight FROM c_s{STEPS // 2})
+#: SQL takes minutes for more steps of all orders and folds.
+SUMMARY_STEPS = 20
+
+
+@query("g9_operator_summary", _orders_sql(SUMMARY_STEPS) + f""", w AS (SELECT fold, 1 AS o, weight FROM s{SUMMARY_STEPS} UNION ALL SELECT fold, ord, weight FROM c_s{SUMMARY_STEPS // 2})
  SELECT fold, CAST(o AS INT) AS "order", count(*) AS nnz, round(sum(weight), 4) AS total FROM w WHERE weight > 0 GROUP BY 1, 2""", "v_graph", "v_incidence")
 def operator_summary(spark, d):
-    rows = build_operators(_train(spark, d), X.nodes(spark, d), *X.sizes(spark, d), prune=0.0)
+    rows = build_operators(_train(spark, d), X.nodes(spark, d), *X.sizes(spark, d), steps=SUMMARY_STEPS, prune=0.0)
     return T.operator_summary(rows).select("fold", "order", "nnz", F.round("total", 4).alias("total"))
 
 

@@ -76,32 +76,36 @@ def physico_chemical(seq: Column) -> Column:
     return F.array(n.cast("double"), *[F.coalesce(_of(seq, c) / F.nullif(n, F.lit(0)), F.lit(0.0)) for c in CLASSES.values()])
 
 
-def character_grams(text: Column, size: int) -> Column:
-    """All runs of ``size`` characters, overlapping; the text is cut into characters once."""
-
-    def grams(chars: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.length(text) - size), lambda k: F.concat(*[F.get(chars, k + j) for j in range(size)])
-        )
+def dipeptide_vectors(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
+    """(id, features): the 400 fractions of the overlapping pairs of valid letters of each row, zeros if there is no pair.
 
-    # a transform over one value computes it once for all runs
-    cut = F.array(F.split(text, "(?!^)", -1))
-    return F.when(F.length(text) >= size, F.element_at(F.transform(cut, grams), 1)).otherwise(F.array().cast("array<string>"))
+    Pairs are counted where the sequence is; nothing is shuffled.
+    """
+    places = np.full(128, -1)
+    places[[ord(a) for a in AMINO_ACIDS]] = range(len(AMINO_ACIDS))
+    size = len(AMINO_ACIDS)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
+                out = np.zeros((len(part), size * size))
+                for i, t in enumerate(part.column(1)):
+                    x = places[np.frombuffer((t.as_py() or "").encode(), np.uint8)]
+                    if len(x) > 1:
+                        out[i] = np.bincount(size * x[:-1] + x[1:], minlength=size * size) / (len(x) - 1)
+                at = pa.array((np.arange(len(part) + 1) * size * size).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], ["id", "features"])
 
-def dipeptides(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
-    """(id, pair, fraction) of the overlapping pairs of valid letters that occur: the sparse long form."""
-    rows = df.select(F.col(id).alias("id"), F.regexp_replace(seq, f"[^{AMINO_ACIDS}]", "").alias("s")).where(F.length("s") >= 2)
-    pairs = rows.select("id", (F.length("s") - 1).alias("n"), F.explode(character_grams(F.col("s"), 2)).alias("pair"))
-    return pairs.groupBy("id", "pair", "n").agg(F.count("*").alias("c")).select("id", "pair", (F.col("c") / F.col("n")).alias("fraction"))
+    rows = df.select(F.col(id).alias("id"), F.regexp_replace(seq, f"[^{AMINO_ACIDS}]", "").alias("s"))
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, features array<double>")
 
 
-def dipeptide_vectors(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
-    """(id, features): 400 fractions of each id, zeros where there is no pair."""
+def dipeptides(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
+    """(id, pair, fraction) of the pairs that occur: the sparse long form."""
     names = F.array(*[F.lit(a + b) for a in AMINO_ACIDS for b in AMINO_ACIDS])
-    found = dipeptides(df, id, seq).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pair", "fraction"))).alias("m"))
-    rows = df.select(F.col(id).alias("id")).join(found, "id", "left")
-    return rows.select("id", F.transform(names, lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0.0))).alias("features"))
+    long = dipeptide_vectors(df, id, seq).select("id", F.posexplode("features").alias("k", "fraction")).where("fraction > 0")
+    return long.select("id", F.get(names, F.col("k")).alias("pair"), "fraction")
 
 
 #: Grams whose weights are broadcast; with more, they are joined.

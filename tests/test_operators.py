@@ -181,6 +181,8 @@ def test_walks_against_numpy(spark):
     for r in W.restart_scores(g, alpha, steps).collect():
         got[r["src"], r["dst"]] = r["weight"]
     assert np.allclose(got, want) and np.allclose(got.sum(1), 1 - (1 - alpha) ** (steps + 1))
+    joined = {(r["src"], r["dst"]): r["weight"] for r in W.restart_scores(g, alpha, steps, broadcast_moves=0).collect()}
+    assert all(math.isclose(joined.get((s, d), 0), want[s, d], abs_tol=1e-7) for s in range(5) for d in range(5))
     only = W.restart_scores(g, alpha, steps, sources=spark.createDataFrame([(2,)], "node long")).select("src").distinct()
     assert rows(only) == [(2,)]
     loop = spark.createDataFrame([(1, 7, 7), (1, 1, 2), (1, 2, 1)], "fold int, src long, dst long")
@@ -293,9 +295,17 @@ def test_tfidf(spark):
     assert math.isclose(sum(r["weight"] ** 2 for k, r in got.items() if k[0] == 2), 1)
 
 
+def test_tfidf_by_join(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["ab  c", "ab cd é中😀", "x", None, "aaaa" * 50])], "id long, text string")
+    one, two = (sorted((r["id"], r["gram"], r["tf"], r["df"], round(r["weight"], 9)) for r in S.trigram_tfidf(df, broadcast_grams=n).collect()) for n in (99, 0))
+    assert one == two and (1, "é中😀", 1, 1) in {r[:4] for r in one}
+
+
 def test_first_texts(spark):
     df = spark.createDataFrame([(1, 7, "  "), (2, 7, " b "), (3, 7, "c"), (4, 8, None), (5, 9, "")], "ord long, id long, text string")
     assert rows(S.first_non_empty(df, "id", "text", "ord")) == [(7, "b")]
+    odd = spark.createDataFrame([(1, 7, "\t\n"), (2, 7, "\u00a0b\r\n"), (3, 7, "c")], "ord long, id long, text string")
+    assert rows(S.first_non_empty(odd, "id", "text", "ord")) == [(7, "b")]
     assert rows(S.first_non_empty(df, "id", "text", "ord", trim=False, drop_empty=False)) == [(7, "  "), (8, ""), (9, "")]
 
 
@@ -350,6 +360,10 @@ def test_encoders(spark):
     good, failed = E.embed_batches(df, encode, 3)
     assert rows(good) == [(0, [1.0]), (2, [3.0]), (3, [2.0])]
     assert E.failure_report(good, failed) == (1, ["RuntimeError: no"])
+    ragged, wrong = E.embed_batches(df, lambda ts: [[1.0] * len(t) for t in ts], 4, width=1)
+    assert rows(ragged) == [(0, [1.0])] and E.failure_report(ragged, wrong)[0] == 3
+    mixed, none = E.embed_batches(df, lambda ts: [[1.0] * (1 + (len(ts) > 1 and t == "bad")) for t in ts], 4)
+    assert mixed.count() == 4 and none.count() == 0  # a batch of two widths is tried row by row
     with pytest.raises(ValueError):
         E.failure_report(*E.embed_batches(df.where("id = 1"), encode))
     with pytest.raises(ValueError):
@@ -380,6 +394,15 @@ def test_roots(spark, tmp_path):
     assert got == [("a/dti", 1, 2, 1), ("a/dti", 1, 3, 0), ("a/dti", 2, 2, 0), ("c/dti", 5, 6, 1)]
     one = T.read_table(spark, str(root / "a/dti.csv"), {"left": T.LEFT_IDS, "right": T.RIGHT_IDS})
     assert one.columns == ["left", "right"]
+    named = T.read_table(spark, str(root / "a/dti.csv"), {"left": T.LEFT_IDS}, {"left": "target_id", "mark": "label"})
+    assert named.columns == ["left", "mark"] and named.first()["left"] == "2"
+    with pytest.raises(ValueError, match="nothing"):
+        T.read_table(spark, str(root / "a/dti.csv"), {}, {"x": "nothing"})
+    (root / "DTI_Lists").mkdir()
+    (root / "DTI_Lists/z.csv").write_text("drug_id,protein_id\n5,6\n")
+    (root / "d").mkdir()
+    (root / "d/dti.CSV").write_text("drug_id,protein_id\n7,8\n")
+    assert rows(T.read_interaction_root(spark, str(root))) == [*got, ("d/dti", 7, 8, 1)]
 
 
 def test_writing(spark, tmp_path):
@@ -413,6 +436,68 @@ def test_feature_tables(spark):
         T.clean_edges(spark.createDataFrame([], "drug_idx int, target_idx int"), required=True)
 
 
+def test_node_features(spark, tmp_path):
+    one = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "idx long, features array<double>")
+    paths = [str(tmp_path / f"{c}.parquet") for c in "abc"]
+    one.write.parquet(paths[0])
+    one.limit(1).write.parquet(paths[1])
+    one.withColumnRenamed("idx", "node").write.parquet(paths[2])
+    both = T.read_node_features(spark, (paths[0], paths[1]), 2, 1)
+    assert [r[:2] for r in rows(both)] == [(0, "left"), (1, "left"), (2, "right")]
+    assert rows(T.read_node_features(spark, paths[2], 1, 1)) == [(0, "left", [1.0]), (1, "right", [2.0])]
+    for bad in (lambda: T.read_node_features(spark, (paths[0], paths[1]), 1, 2), lambda: T.read_node_features(spark, paths[2], 2, 2)):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_merged_sets(spark, tmp_path):
+    make = lambda sets: spark.createDataFrame([(d, i, [float(i)] * w) for d, n, w in sets for i in range(n)], "dataset string, idx long, features array<double>")
+    out = str(tmp_path / "sets")
+    got = T.merge_feature_sets(make([("A", 2, 3), ("b", 1, 1), ("only", 1, 1)]), make([("a", 1, 3)]), out)
+    assert rows(got) == [("a", 2, 1, 3, False)]
+    got = T.merge_feature_sets(make([("A", 9, 3), ("b", 1, 1)]), make([("a", 1, 3), ("B", 2, 1)]), out)
+    assert rows(got) == [("a", 9, 1, 3, True), ("b", 1, 2, 1, False)]
+    have = rows(spark.read.parquet(out).select("dataset", "node", "side"))
+    assert have == [("a", 0, "left"), ("a", 1, "left"), ("a", 2, "right"), ("b", 0, "left"), ("b", 1, "right"), ("b", 2, "right")]
+    with pytest.raises(ValueError, match="widths"):
+        T.merge_feature_sets(make([("a", 1, 2)]), make([("a", 1, 3)]), out)
+    T.write_summary(got, str(tmp_path / "summary"), {"k": 10, "seed": 7777})
+    assert {(r["dataset"], r["config_seed"]) for r in spark.read.json(str(tmp_path / "summary")).collect()} == {("a", 7777), ("b", 7777)}
+
+
+def test_encode_against_numpy(spark):
+    """Branches of all orders, one behind the other, for each fold."""
+    r = np.random.default_rng(12)
+    x, ops = r.normal(size=(6, 3)), {(f, o): r.random((6, 6)) * (r.random((6, 6)) < 0.5) for f in (1, 2) for o in (1, 2)}
+    entries = [(f, o, i, j, float(m[i, j])) for (f, o), m in ops.items() for i in range(6) for j in range(6) if m[i, j]]
+    feats = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>")
+    got = P.encode(spark.createDataFrame(entries, "fold int, order int, src long, dst long, weight double"), feats, 2, 3, 0.2)
+    w = P.polynomial_weights(3, 0.2)
+    for row in got.collect():
+        want = [sum(c * np.linalg.matrix_power(ops[row["fold"], o], k) @ x for k, c in enumerate(w))[row["node"]] for o in (1, 2)]
+        assert np.allclose(row["features"], np.concatenate(want))
+    assert got.count() == 12
+
+
+def test_evaluation_of_folds(spark):
+    from pairloom.jobs.link_prediction import evaluate_folds
+
+    r = np.random.default_rng(13)
+    data = [(f, int(y), float(p)) for f in (1, 2) for y, p in zip(r.integers(0, 2, 60), r.integers(0, 9, 60) / 8)]
+    for row in evaluate_folds(spark.createDataFrame(data, "fold int, label int, prob double")).collect():
+        own = [(y, p) for f, y, p in data if f == row["fold"]]
+        assert math.isclose(row["roc_auc"], brute_auc(*zip(*own)))
+        hit = sum((p >= 0.5) == (y == 1) for y, p in own) / 60
+        assert math.isclose(row["accuracy"], hit) and row["tp"] + row["fn"] == sum(y for y, _ in own)
+
+
+def test_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(P, "SIDE_BY_SIDE", 2)
+    op = spark.createDataFrame([(1, 0, 1, 0.5), (1, 1, 0, 1.0)], "fold int, src long, dst long, weight double")
+    feats = spark.createDataFrame([(1, 0, [1.0, 2.0, 3.0]), (1, 1, [4.0, 5.0, 6.0])], "fold int, node long, features array<double>")
+    assert rows(P.apply_operator(op, feats, 3, ["fold"])) == [(1, 0, [2.0, 2.5, 3.0]), (1, 1, [1.0, 2.0, 3.0])]
+
+
 def test_queries_take_all_folds(spark, tmp_path, monkeypatch):
     from pairloom.jobs import queries
 
