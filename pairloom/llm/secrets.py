@@ -3,7 +3,7 @@
 Two character models, one of random strings and one of ordinary words and identifiers, give each long
 token a log-likelihood ratio; tokens over a threshold are added.  The models are bigram tables, trained
 on labelled samples from the texts themselves: the values of base matches are random strings; other
-long tokens without digits, and a word of each text, are ordinary.  Built-in functions only.
+long tokens that are built like identifiers (words or short numbers, tied by signs or capitals), and a word of each text, are ordinary.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import let, written
+from pairloom.llm.common import let, quoted, written
 from pairloom.llm.spans import find_spans, joined
 
 KINDS = ("assign", "access", "hex")
@@ -25,6 +25,8 @@ LEAST_CHARS = 20
 ADD_FROM = 0.35
 #: At most so many labelled values of each class train the models (a sample by hash); all tokens are scored.
 SAMPLE = 200_000
+#: Pairs seen after a character weigh as much as this many of characters alone.
+BACK_OFF = 8
 
 BASE = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)""",
@@ -32,7 +34,9 @@ BASE = {
     "hex": r"[0-9a-f]++",
 }
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
-WORD = r"^[A-Za-z_-]+$"
+#: Long tokens that count as ordinary in training.
+_PART = r"(?:(?:[A-Z]?[a-z]{2,14}+|[A-Z]{2,14}+)++[0-9]{0,4}+|[0-9]{1,4}+|[A-Za-z])"
+PLAIN = rf"^{_PART}(?:[_/=+-]++{_PART})*+[_/=+-]*+$"
 # The symbols that the models tell apart; what is none of them shares the last place.
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 N = len(SYMBOLS) + 1
@@ -100,11 +104,11 @@ def _bigrams(value: Column) -> Column:
 def train(marked: DataFrame) -> list[float]:
     """The log-likelihood ratio of each pair of characters, random against ordinary; N * N numbers.
 
-    Each table is smoothed with a third of a count for every pair.  Without samples of either class
-    every ratio is 0, so nothing is added.
+    Pairs that are rare in the samples are judged by their second character.  Without samples of either
+    class every ratio is 0, so nothing is added.
     """
     secret = marked.select(F.explode("base.value").alias("v"), F.lit(True).alias("random"))
-    plain = marked.select(F.explode("tokens.found").alias("v"), F.lit(False).alias("random")).where(F.col("v").rlike(WORD))
+    plain = marked.select(F.explode("tokens.found").alias("v"), F.lit(False).alias("random")).where(F.col("v").rlike(PLAIN))
     words = marked.select(F.explode("words").alias("v"), F.lit(False).alias("random"))
     values = secret.unionByName(plain).unionByName(words).distinct()
     sizes = {r["random"]: r["n"] for r in values.groupBy("random").agg(F.count("*").alias("n")).collect()}
@@ -113,14 +117,21 @@ def train(marked: DataFrame) -> list[float]:
     share = F.when(F.col("random"), SAMPLE / sizes[True]).otherwise(SAMPLE / sizes[False])
     sample = values.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share * (1 << 30))
     counts = sample.select("random", F.explode(_bigrams(F.col("v"))).alias("pair")).groupBy("random", "pair").count().collect()
-    tables = {c: [1 / 3] * (N * N) for c in (True, False)}
+    tables = {c: [0] * (N * N) for c in (True, False)}
     for r in counts:
-        tables[r["random"]][r["pair"]] += r["count"]
+        tables[r["random"]][r["pair"]] = r["count"]
+    chances = {c: _chances(t) for c, t in tables.items()}
+    return [math.log(x / y) for x, y in zip(chances[True], chances[False], strict=True)]
+
+
+def _chances(pairs: list[int]) -> list[float]:
+    """The chance of each next character after each character, drawn towards that of the next one alone."""
+    alone = [sum(pairs[b::N]) + 1 / 3 for b in range(N)]
+    alone = [n / sum(alone) for n in alone]
     out = []
     for a in range(N):
-        rows = {c: tables[c][a * N : a * N + N] for c in tables}
-        totals = {c: sum(rows[c]) for c in rows}
-        out += [math.log(x / totals[True]) - math.log(y / totals[False]) for x, y in zip(rows[True], rows[False], strict=True)]
+        row = pairs[a * N : a * N + N]
+        out += [(n + BACK_OFF * p) / (sum(row) + BACK_OFF) for n, p in zip(row, alone, strict=True)]
     return out
 
 
@@ -131,18 +142,18 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
     judged each; an empty table gives no rows.  The marked rows are written once.
     """
     keep = keep or ["doc_id"]
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(quoted(text), F.lit(""))
     both = let(_spans(t), lambda b: F.struct(b.alias("base"), _tokens(t, b).alias("tokens")))
     # besides long tokens, each text gives one ordinary word of eight letters or more as a sample
-    word = F.regexp_extract(t, "(?<![A-Za-z])[A-Za-z]{8,40}(?![A-Za-z0-9=_-])", 0)
+    word = F.regexp_extract(t, "(?<![A-Za-z])[A-Z]?[a-z]{7,18}(?![A-Za-z0-9=_-])", 0)
     words = F.when(word != "", F.array(word)).otherwise(F.array().cast("array<string>"))
-    marked = written(docs.select(*keep, both.alias("__m"), words.alias("words")), "secrets")
+    marked = written(docs.select(*map(quoted, keep), both.alias("__m"), words.alias("words")), "secrets")
     ratios = train(marked.select("__m.base", "__m.tokens", "words"))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
     def random(s: Column) -> Column:
         total = F.aggregate(_bigrams(s["found"]), F.lit(0.0), lambda a, k: a + F.get(table, k))
-        return (total >= ADD_FROM * F.length(s["found"])) & s["found"].rlike("[0-9]")
+        return total >= ADD_FROM * F.length(s["found"])
 
     plain = lambda s: F.struct(s["start"], s["order"], s["kind"], s["end"])
     base = F.transform("__m.base", plain)
@@ -150,7 +161,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
         F.filter("__m.tokens", random),
         lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), F.lit(ADDED).alias("kind"), s["end"].alias("end")),
     )
-    return marked.select(*keep, base.alias("__base"), F.sort_array(F.concat(base, added)).alias("__spans"))
+    return marked.select(*map(quoted, keep), base.alias("__base"), F.sort_array(F.concat(base, added)).alias("__spans"))
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:
