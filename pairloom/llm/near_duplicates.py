@@ -34,9 +34,9 @@ LEAST = 75
 
 
 def signatures(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
-    """(doc_id, key, n_shingles, digest, bands) of each row; without words the bands are empty.
+    """(doc_id, key, n_shingles, node, check, bands) of each row; without words the bands are empty.
 
-    The key is a hash of the text: with the doc_id it leads from a set back to a text that has it.
+    The key is a hash of doc_id and text, by which a text is found again; node and check name the set.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,25 +49,28 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> D
                     batch.slice(row, end - row),
                     ["doc_id", "key"],
                     n_shingles=pa.array(numbers, pa.int64()),
-                    digest=pa.array(_digests(elements, numbers), pa.binary()),
+                    node=pa.array(_names(elements, numbers, NODE)),
+                    check=pa.array(_names(elements, numbers, CHECK)),
                     bands=pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                 )
 
-    return _keyed(docs, text).mapInArrow(sign, "doc_id long, key long, n_shingles long, digest binary, bands array<long>")
+    return _keyed(docs, text).mapInArrow(sign, "doc_id long, key long, n_shingles long, node long, check long, bands array<long>")
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), quoted(text).alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, quoted(text)).alias("key"), quoted(text).alias("text"))
 
 
-def _digests(elements: np.ndarray, numbers: np.ndarray) -> list[bytes]:
-    """Sixteen bytes that name each set."""
-    some, out = np.flatnonzero(numbers), np.zeros((len(numbers), 2), np.uint64)
+#: Two 64-bit names of a set tell sets apart; links name it by the first alone.
+NODE, CHECK = 0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5
+
+
+def _names(elements: np.ndarray, numbers: np.ndarray, salt: int) -> np.ndarray:
+    some, out = np.flatnonzero(numbers), np.zeros(len(numbers), np.uint64)
     if len(some):
-        starts = (np.cumsum(numbers) - numbers)[some]
-        for k, salt in enumerate((0x8BB84B93962EACC9, 0x2D358DCCAA6C78A5)):
-            out[some, k] = np.add.reduceat(mix(elements ^ np.uint64(salt)), starts)
-    return [d.tobytes() for d in out]
+        out[some] = np.add.reduceat(mix(elements ^ np.uint64(salt)), (np.cumsum(numbers) - numbers)[some])
+    return out.view(np.int64)
 
 
 def _similar_sizes(a: Column, b: Column, least: int) -> Column:
@@ -75,21 +78,17 @@ def _similar_sizes(a: Column, b: Column, least: int) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, text: str) -> DataFrame:
-    """(node, shingles) of the wanted nodes (node, doc_id, key, digest), from a text of each."""
+    """(node, shingles) of the texts with the wanted keys."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, flat, at in text_slices(batch.column(2)):
+            for _, _, flat, at in text_slices(batch.column(0)):
                 elements, numbers = shingle_sets(flat, at, shingle)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(numbers)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(elements.view(np.int64)))
-                # another text of the same hash has another set
-                same = pa.array([a == b for a, b in zip(_digests(elements, numbers), batch.column(1).slice(row, end - row).to_pylist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], ["node", "shingles"]).filter(same)
+                yield pa.RecordBatch.from_arrays([pa.array(_names(elements, numbers, NODE)), lists], ["node", "shingles"])
 
-    rows, w = _keyed(docs, text), wanted.withColumnsRenamed({"doc_id": "__doc", "key": "__key"})
-    found = rows.join(w, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")))
-    return found.select("node", "digest", "text").mapInArrow(cut, "node long, shingles array<long>")
+    return _keyed(docs, text).join(wanted, "key", "left_semi").select("text").mapInArrow(cut, "node long, shingles array<long>")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -143,8 +142,8 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     rows = written(signatures(docs, shingle, text), "signatures")
     # a text that stands for its set: of the least doc_id, so that few rows have the same doc_id and text
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
-    sets_of = rows.where("n_shingles > 0").groupBy("digest").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(sets_of.select(F.monotonically_increasing_id().alias("node"), "digest", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
+    sets_of = rows.where("n_shingles > 0").groupBy("node", "check").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(sets_of.select("node", "check", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
     path = shared_path(spark, "components")
     with temporary(spark):
         final = saved(_components_of(docs, nodes, least, shingle, text), path)
@@ -152,9 +151,9 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     # few nodes are linked; the others are components of their own
     least_ids = final.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = final.join(least_ids, "component").select("node", F.lit(True).alias("linked"), "component_id")
-    own = nodes.select("digest", "node", "doc_id").join(linked, "node", "left")
-    named = own.select("digest", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    own = nodes.select("node", "check", "doc_id").join(linked, "node", "left")
+    named = own.select("node", "check", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "node", "check").join(named, ["node", "check"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -162,13 +161,13 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
 def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("first")).where("members > 1")
+    buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
     members = written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
     large = members.where(F.col("members") > SMALL)
-    similar = _similar_sizes(F.col("n"), F.col("first.n"), least) & (F.col("node") != F.col("first.node"))
-    star = large.where(similar).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    star = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
-    wanted = written(_ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "doc_id", "key", "digest"), "node"), "wanted")
+    needed = _ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "key"), "node")
+    wanted = written(needed.select("key").distinct(), "wanted")  # keys alone, so that a table of many is still broadcast
     sets = written(_sets(docs, wanted, shingle, text), "sets")
     if sets.count() > wanted.count():  # rows that repeat a doc_id and text
         sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
