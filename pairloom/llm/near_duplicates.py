@@ -100,7 +100,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
+    # a table of pairs that fits is not broadcast either: the plan is the same at every size
+    joined = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("any"))
     return joined.where(100 * F.col("both") >= least * F.col("any")).select("a", "b").distinct()
 
 
@@ -160,9 +161,10 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
 
 def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
-    entries = nodes.select("node", "n", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min("node").alias("first")).where("members > 1")
-    members = written(entries.join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
+    entries = nodes.select("node", "n", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("age"), F.explode("bands").alias("band"))
+    # the text of the least doc_id: copies are more like the text that they were made from than like each other
+    buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min_by("node", "age").alias("first")).where("members > 1")
+    members = written(entries.drop("age").join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
     large = members.where(F.col("members") > SMALL)
     star = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
