@@ -88,7 +88,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, text: str) -> DataFr
                 lists = pa.ListArray.from_arrays(offsets, pa.array(elements.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(_names(elements, numbers, NODE)), lists], ["node", "shingles"])
 
-    return _keyed(docs, text).join(wanted, "key", "left_semi").select("text").mapInArrow(cut, "node long, shingles array<long>")
+    # the texts are shuffled whether the keys fit in a broadcast or not: the plan is the same at every size
+    return _keyed(docs, text).join(wanted.hint("merge"), "key", "left_semi").select("text").mapInArrow(cut, "node long, shingles array<long>")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int,
     star = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
     needed = _ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "key"), "node")
-    wanted = written(needed.select("key").distinct(), "wanted")  # keys alone, so that a table of many is still broadcast
+    wanted = written(needed.select("key").distinct(), "wanted")  # keys alone: copies of a text have one row here
     sets = written(_sets(docs, wanted, shingle, text), "sets")
     if sets.count() > wanted.count():  # rows that repeat a doc_id and text
         sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
