@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom.session import saved, shared_path, temporary, written  # noqa: F401  for the operators
 
 #: Bytes of text that the numpy steps look at together; a longer text is looked at alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+#: Rows of an Arrow batch where texts go to Python, unless the session asks for fewer.
+BATCH_ROWS = 1000
 
 
 def quoted(name: str) -> Column:
@@ -34,6 +37,19 @@ def plain_columns(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     return docs.toDF(*names), names[docs.columns.index(text)]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs inside the block sends at most ``BATCH_ROWS`` rows to Python at once, to bound the memory of both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows that a task of a rank numbers.
 ROWS_A_PART = 50_000
 

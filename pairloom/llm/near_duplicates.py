@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.common import as_batch, mix, quoted, saved, shared_path, temporary, text_slices, written
+from pairloom.llm.common import as_batch, mix, quoted, saved, shared_path, small_batches, temporary, text_slices, written
 from pairloom.llm.components import components
 from pairloom.llm.sketches import SHINGLE, band_keys, fast_sketches, shingle_sets
 
@@ -141,13 +141,14 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = written(signatures(docs, shingle, text), "signatures")
+    with small_batches(spark):
+        rows = written(signatures(docs, shingle, text), "signatures")
     # a text that stands for its set: of the least doc_id, so that few rows have the same doc_id and text
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
     sets_of = rows.where("n_shingles > 0").groupBy("node", "check").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = written(sets_of.select("node", "check", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
     path = shared_path(spark, "components")
-    with temporary(spark):
+    with temporary(spark), small_batches(spark):
         final = saved(_components_of(docs, nodes, least, shingle, text), path)
 
     # few nodes are linked; the others are components of their own
