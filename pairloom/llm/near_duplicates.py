@@ -3,8 +3,8 @@
 1. Each text gets its set of word shingles, a digest of the set and a sketch, cut into bands.
 2. Copies (equal sets) become one node, so no group of copies is compared with itself.
 3. Nodes that share a band form a bucket.  In a bucket of at most ``SMALL`` nodes all pairs are
-   verified; in a larger one every node is verified against the first: as many pairs as members.
-   The links found join nodes into components.
+   verified; in a larger one every node is verified against the one that meets the most nodes in all
+   large buckets: as many pairs as members.  The links found join nodes into components.
 4. What a large bucket may still hide are links between its components.  Nodes of large buckets that
    hold several components are searched exactly: two sets that similar share one of their rarest
    shingles (prefix filter), so pairs of different components that share one are verified.
@@ -163,12 +163,15 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
 
 def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
-    entries = nodes.select("node", "n", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("age"), F.explode("bands").alias("band"))
-    # the text of the least doc_id: copies are more like the text that they were made from than like each other
-    buckets = entries.groupBy("band").agg(F.count("*").alias("members"), F.min_by("node", "age").alias("first")).where("members > 1")
-    members = written(entries.drop("age").join(buckets, "band").select("band", "members", "node", "n", "first"), "members")
+    entries = nodes.select("node", "n", F.explode("bands").alias("band"))
+    buckets = entries.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    members = written(entries.join(buckets, "band").select("band", "members", "node", "n"), "members")
     large = members.where(F.col("members") > SMALL)
-    star = large.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    # copies are more like the text that they were made from than like each other, so that text meets the most nodes
+    reach = large.groupBy("node").agg(F.sum("members").alias("reach"))
+    hub = F.max_by("node", F.struct("reach", "node")).alias("hub")
+    hubs = written(large.join(reach, "node").groupBy("band").agg(hub), "hubs")
+    star = large.join(hubs, "band").where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b"))
     pairs = written(_pairs(members.where(F.col("members") <= SMALL), "band", least).union(star).distinct(), "pairs")
     needed = _ends(pairs).union(large.select("node")).distinct().join(nodes.select("node", "key"), "node")
     wanted = written(needed.select("key").distinct(), "wanted")  # keys alone: copies of a text have one row here
