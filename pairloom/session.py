@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_SHIPPING = threading.Lock()
 #: The folder of the innermost ``temporary`` block.
 _FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
 
@@ -25,14 +27,15 @@ def ship(spark: SparkSession) -> SparkSession:
     ``addPyFile``, which Spark serves to them.
     """
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parent
-        target = os.path.join(tempfile.mkdtemp(prefix="pairloom-"), "pairloom.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        spark.sparkContext.addPyFile(target)
-        _SHIPPED.add(app)
+    with _SHIPPING:  # queries may be started from several threads
+        if app not in _SHIPPED:
+            root = Path(__file__).resolve().parent
+            target = os.path.join(tempfile.mkdtemp(prefix="pairloom-"), "pairloom.zip")
+            with zipfile.ZipFile(target, "w") as z:
+                for p in sorted(root.rglob("*.py")):
+                    z.write(p, p.relative_to(root.parent))
+            spark.sparkContext.addPyFile(target)
+            _SHIPPED.add(app)
     return spark
 
 
