@@ -19,5 +19,19 @@ named AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS item
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c USING (rid) LEFT JOIN named n USING (rid)
+""",
+    "op13_systematic_mix": r"""
+WITH d AS (SELECT doc_id, source, source IS NULL AS none, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT none, source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY none, source) - 1) % 3] AS weight FROM d GROUP BY 1, 2),
+v AS (SELECT *, (3 * source_size)::DOUBLE / weight AS level FROM s),
+h AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY level, none, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+  / sum(weight) OVER (ORDER BY level, none, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM v),
+t AS (SELECT none, source, source_size, least(3.0::DOUBLE * source_size, coalesce((SELECT share FROM h WHERE level > share ORDER BY level, none, source LIMIT 1) * weight, 3.0::DOUBLE * source_size)) AS target,
+  (CAST('0x' || substr(md5(concat_ws('|', 0, source)), 1, 4) AS BIGINT) + 0.5::DOUBLE) / 65536 AS first FROM h),
+c AS (SELECT *, CASE WHEN size < 64 THEN size ELSE 32 * (length(format('{:b}', size)) - 6) + (size >> (length(format('{:b}', size)) - 6)) END AS class FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY none, source ORDER BY class, md5(concat_ws('|', doc_id, size)), doc_id) - 1 AS k FROM c),
+r AS (SELECT p.doc_id, p.size, source_size, target, p.source, first, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio
+  FROM p JOIN t ON p.none = t.none AND coalesce(p.source, '') = coalesce(t.source, ''))
+SELECT doc_id, size, source_size, target, CAST(size * (floor(first + ratio * (k + 1)) - floor(first + ratio * k)) AS BIGINT) AS taken, source, CAST(floor(first + ratio * (k + 1)) - floor(first + ratio * k) AS INT) AS copies FROM r
 """,
 }

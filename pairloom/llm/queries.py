@@ -71,6 +71,12 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"))
 
 
+def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.mixing import sample_copies
+
+    return sample_copies(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_weakly_supervised_personal_data": op2_weakly_supervised_personal_data,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_fast_similarity_sketching": op9_fast_similarity_sketching,
     "op10_bit_plane_files": op10_bit_plane_files,
+    "op13_systematic_mix": op13_systematic_mix,
 }
