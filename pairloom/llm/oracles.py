@@ -33,5 +33,24 @@ p AS (SELECT *, row_number() OVER (PARTITION BY none, source ORDER BY class, md5
 r AS (SELECT p.doc_id, p.size, source_size, target, p.source, first, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio
   FROM p JOIN t ON p.none = t.none AND coalesce(p.source, '') = coalesce(t.source, ''))
 SELECT doc_id, size, source_size, target, CAST(size * (floor(first + ratio * (k + 1)) - floor(first + ratio * k)) AS BIGINT) AS taken, source, CAST(floor(first + ratio * (k + 1)) - floor(first + ratio * k) AS INT) AS copies FROM r
+""",
+    "op12_prefix_trie": r"""
+WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+f AS (SELECT conv_id, (4294967295 - list_reduce(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT),
+  lambda x, b: list_reduce(range(8), lambda y, z: xor(y >> 1, 3988292384::BIGINT * (y & 1)), xor(x, b)), 4294967295::BIGINT)) % 4 AS h FROM (SELECT DISTINCT conv_id FROM c)),
+b AS (SELECT f.conv_id, c.k, role, text FROM f JOIN c ON c.conv_id = f.conv_id - f.conv_id % 20 AND c.k < f.h),
+n AS (SELECT f.conv_id, h, count(b.k) AS m FROM f LEFT JOIN b USING (conv_id) GROUP BY 1, 2),
+t AS (SELECT * FROM b UNION ALL SELECT c.conv_id, c.k + m - h, role, text FROM c JOIN n USING (conv_id) WHERE c.k >= h),
+l AS (SELECT n.conv_id, count(t.k) AS length FROM n LEFT JOIN t USING (conv_id) GROUP BY 1),
+r AS (SELECT conv_id, k + 1 AS depth, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY conv_id ORDER BY k) AS name, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM t
+  UNION ALL SELECT conv_id, 0, '', 0 FROM l),
+g AS (SELECT depth, name, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) * (count(*) - 1) AS own FROM r GROUP BY 1, 2),
+k AS (SELECT depth - 1 AS depth, substr(name, 1, 64 * (CAST(depth AS BIGINT) - 1)) AS name, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1, 2),
+a AS (SELECT g.*, coalesce(k.n, 0) AS n_children FROM g LEFT JOIN k USING (depth, name)),
+s AS (SELECT r.depth, r.name, sum(a.own) AS saved, count(*) FILTER (a.n_children = 0) AS leaves FROM a JOIN r ON r.conv_id = a.conv_id AND r.depth <= a.depth GROUP BY 1, 2),
+e AS (SELECT depth, name, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM r JOIN l USING (conv_id) WHERE depth = length GROUP BY 1, 2)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM a JOIN s USING (depth, name) LEFT JOIN e USING (depth, name) LEFT JOIN g p ON p.depth = a.depth - 1 AND p.name = substr(a.name, 1, 64 * (CAST(a.depth AS BIGINT) - 1))
 """,
 }

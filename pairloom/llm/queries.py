@@ -71,6 +71,18 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(_table(spark, sf_dir, "documents"))
 
 
+def op11_threshold_seeded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.search import ranked_search
+
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pairloom.llm.prefix_trie import conversation_trie, rebuilt_turns
+
+    return conversation_trie(rebuilt_turns(_table(spark, sf_dir, "conversations")))
+
+
 def op13_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pairloom.llm.mixing import sample_copies
 
@@ -88,5 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minimum_bin_slack": op8_minimum_bin_slack,
     "op9_fast_similarity_sketching": op9_fast_similarity_sketching,
     "op10_bit_plane_files": op10_bit_plane_files,
+    "op11_threshold_seeded_search": op11_threshold_seeded_search,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_systematic_mix": op13_systematic_mix,
 }
