@@ -52,5 +52,14 @@ s AS (SELECT r.depth, r.name, sum(a.own) AS saved, count(*) FILTER (a.n_children
 e AS (SELECT depth, name, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM r JOIN l USING (conv_id) WHERE depth = length GROUP BY 1, 2)
 SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, a.n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM a JOIN s USING (depth, name) LEFT JOIN e USING (depth, name) LEFT JOIN g p ON p.depth = a.depth - 1 AND p.name = substr(a.name, 1, 64 * (CAST(a.depth AS BIGINT) - 1))
+""",
+    "op11_threshold_seeded_search": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE text IS NOT NULL),
+z AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT rid, doc_id, term, len(w) AS n, count(*) AS tf FROM (SELECT *, unnest(w) AS term FROM d) GROUP BY rid, doc_id, term, n),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS weight FROM p, z WHERE term IN (SELECT term FROM i) GROUP BY term, n_docs),
+s AS (SELECT item, item_id, rid, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS score FROM i JOIN f USING (term) JOIN p USING (term), z GROUP BY 1, 2, 3, 4)
+SELECT item_id, CAST(r AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id, rid) AS r FROM s WHERE score > 0) WHERE r <= 10
 """,
 }
