@@ -234,14 +234,40 @@ MOVES = ", moves AS (SELECT g.fold, g.src, g.dst, 1.0::DOUBLE / n AS p FROM v_gr
 TRIPS = ", moves AS (SELECT a.fold, a.ord, a.node AS src, b.node AS dst, sum(1.0::DOUBLE / (n * k)) AS p FROM v_incidence a JOIN v_incidence b USING (fold, ord, clique_id) JOIN (SELECT fold, ord, node, count(*) AS n FROM v_incidence GROUP BY 1, 2, 3) x ON x.fold = a.fold AND x.ord = a.ord AND x.node = a.node JOIN (SELECT fold, ord, clique_id, count(*) AS k FROM v_incidence GROUP BY 1, 2, 3) USING (fold, ord, clique_id) GROUP BY 1, 2, 3, 4)"
 
 
-#: The operators' own number of steps, and no pruning, so that the rows are exact.
-STEPS = 60
+@query("g5_restart_scores")
+def restart_scores(spark, d):
+    return W.restart_scores(_graph(spark, d)[0])
 
 
-@query("g5_restart_scores", _walk_sql(MOVES, "fold", 0.15, 0.85, STEPS) + f" SELECT fold, src, dst, round(weight + 3e-10, 6) AS weight FROM s{STEPS}", "v_graph")
-def restart_scores(spark, d):
-    # a small shift takes scores off the border between two last places
-    return W.restart_scores(_graph(spark, d)[0], 0.15, STEPS, 0.0).select("fold", "src", "dst", F.round(F.col("weight") + 3e-10, 6).alias("weight"))
+def _sums_sql(rounds: int, places: int) -> str:
+    """For each source how many nodes its walks reach, and its scores times features: the walk of a few vectors, and what is reached hop by hop."""
+    v = range(1, places + 1)
+    out = MOVES + f""", near AS (SELECT fold, src, src AS dst FROM moves UNION SELECT n.fold, n.src, m.dst FROM near n JOIN moves m ON m.fold = n.fold AND m.src = n.dst),
+     ends AS (SELECT f.fold, node, {", ".join(f"0.15::DOUBLE * features[{k}] AS v{k}" for k in v)} FROM v_nodes, (SELECT DISTINCT fold FROM v_graph) f), x0 AS (SELECT * FROM ends)"""
+    for k in range(1, rounds + 1):
+        sums = ", ".join(f"e.v{j} + 0.85 * coalesce(s.v{j}, 0) AS v{j}" for j in v)
+        moved = ", ".join(f"sum(p * v{j}) AS v{j}" for j in v)
+        out += f", x{k} AS (SELECT e.fold, e.node, {sums} FROM ends e LEFT JOIN (SELECT m.fold, m.src AS node, {moved} FROM moves m JOIN x{k - 1} x ON x.fold = m.fold AND x.node = m.dst GROUP BY 1, 2) s USING (fold, node))"
+    return out + f" SELECT fold, src, n AS reached, {', '.join(f'round(v{k} + 3e-10, 6) + 0.0 AS v{k}' for k in v)} FROM (SELECT fold, src, count(*) AS n FROM near GROUP BY 1, 2) JOIN x{rounds} x USING (fold) WHERE x.node = src"
+
+
+#: After so many steps the rest of a walk is below 1e-9.
+WHOLE = 128
+
+
+@query("g5_score_sums", _sums_sql(WHOLE, 3), "v_graph", "v_nodes")
+def score_sums(spark, d):
+    ends = X.nodes(spark, d).select(F.col("node").alias("dst"), *[F.get("features", F.lit(k - 1)).alias(f"v{k}") for k in (1, 2, 3)])
+    found = W.restart_scores(_graph(spark, d)[0], prune=0.0).join(ends, "dst")
+    # a small shift takes sums off the border between two last places
+    sums = [(F.round(F.sum(F.col("weight") * F.col(f"v{k}")) + 3e-10, 6) + 0.0).alias(f"v{k}") for k in (1, 2, 3)]
+    return found.groupBy("fold", "src").agg(F.count("*").alias("reached"), *sums)
+
+
+ORACLES["g5_score_sums"] = ORACLES["g5_score_sums"].replace("WITH", "WITH RECURSIVE", 1)
+
+#: Steps of the clique walks whose rows are compared, without pruning, so that they are exact.
+STEPS = 60
 
 
 @query("g6_clique_restart_scores", _walk_sql(TRIPS, "fold, ord", 0.15, 0.85**2, STEPS // 2) + f" SELECT fold, CAST(ord AS INT) AS \"order\", src, dst, round(weight + 3e-10, 6) AS weight FROM s{STEPS // 2}", "v_incidence")

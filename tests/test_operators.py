@@ -190,6 +190,49 @@ def test_walks_against_numpy(spark):
     assert W.restart_scores(g, alpha, steps, prune=0.05).agg(F.min("weight")).first()[0] >= 0.05
 
 
+def walk_of_random_edges(n, degree, seed):
+    r = np.random.default_rng(seed)
+    src, dst = r.integers(0, n, n * degree), r.integers(0, n, n * degree)
+    src, dst = np.unique(np.stack([src, dst], 1)[src % 7 != 3], axis=0).T  # some nodes have no way out
+    return W.Walk.on_graph(src * 10, dst * 10, 1 / np.bincount(src)[src], 0.15)
+
+
+def test_ways_of_walking_agree():
+    for walk in (walk_of_random_edges(120, 3, 1), W.Walk.on_cliques(*np.unique(np.random.default_rng(2).integers(0, 40, (2, 90)), axis=1), 0.15)):
+        p, sources = walk.matrix(), walk.nodes[::3]
+        assert np.isclose(p.sum(1).max(), 1)
+        exact = term = 0.15 * np.eye(len(p))
+        for _ in range(400):
+            term = term @ p * walk.keep
+            exact = exact + term
+        for eps in (1e-2, 1e-5, 1e-8):
+            for way in (walk.pushed, walk.doubled):
+                left = exact[::3] - way(sources, None, eps)
+                assert (left > -1e-12).all() and left.sum(1).max() <= eps  # the bound, for each source
+        for rounds in (0, 1, 2, 7, 30):
+            want = sum(0.15 * walk.keep**j * np.linalg.matrix_power(p, j) for j in range(rounds + 1))[::3]
+            for got in (walk.doubled(sources, rounds, 0), walk.pushed(sources, rounds, 0)):
+                assert np.allclose(got, want, atol=1e-13) and ((got > 0) == (want > 0)).all()
+
+
+def test_walks_by_tasks_blocks_and_joins(spark):
+    r = np.random.default_rng(5)
+    edges = {(f, int(a), int(b)) for f, n in ((1, 30), (2, 50)) for a, b in r.integers(0, n, (3 * n, 2))}
+    g = spark.createDataFrame(sorted(edges), "fold int, src long, dst long")
+    key = lambda df: {(x["fold"], x["src"], x["dst"]): x["weight"] for x in df.collect()}
+    want = key(W.restart_scores(g, prune=0.0))
+    for other in (W.restart_scores(g, prune=1e-12, dense_nodes=0, eps=1e-10), W.restart_scores(g, prune=1e-12, dense_nodes=40, eps=1e-10)):
+        got = key(other)
+        assert got.keys() <= want.keys() and all(math.isclose(got.get(k, 0), v, abs_tol=1e-9) for k, v in want.items())
+    found = C.incidence(C.cliques(g, 3))
+    key = lambda df: {(x["fold"], x["order"], x["src"], x["dst"]): x["weight"] for x in df.collect()}
+    want = key(W.clique_restart_scores(found, steps=6, prune=0.0))
+    for other in ({"dense_nodes": 0}, {"broadcast_moves": 0}):
+        got = key(W.clique_restart_scores(found, steps=6, prune=0.0, **other))
+        assert got.keys() == want.keys() and all(math.isclose(got[k], v, abs_tol=1e-12) for k, v in want.items())
+    assert W.restart_scores(g.limit(0)).count() == W.clique_restart_scores(found.limit(0)).count() == 0
+
+
 def test_clique_walk_mass(spark):
     g = graph(spark, [(a, b) for a in range(4) for b in range(a)] + [(3, 4), (4, 5), (5, 3)])
     found = C.incidence(C.cliques(g, 3))
