@@ -19,7 +19,7 @@ WEIGHTS = (5, 2, 1)
 #: Most copies of a document, and the most that a target is of its source's words.
 CAP = 3
 #: Documents that a task puts in order.
-ROWS_A_PART = 200_000
+ROWS_A_PART = 50_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -72,7 +72,8 @@ def _placed(sizes: DataFrame, rows_a_part: int) -> DataFrame:
     group = ["none", "source", "class"]
     counts = groups.groupBy(*group).agg((1 + F.floor(F.count("*") / rows_a_part)).alias("parts"))
     part = F.shiftrightunsigned(F.conv(F.substring("name", 1, 8), 16, 10).cast("long") * F.col("parts"), 32)
-    dealt = groups.join(counts, group).withColumn("part", part)
+    # dealt by parts before the windows, which would else run where the join has put whole classes
+    dealt = groups.join(counts, group).withColumn("part", part).repartition(*group, "part")
     own = Window.partitionBy(*group, "part").orderBy("name", "key").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy(*group, "part").agg(F.sum("n").alias("held"))
     before = Window.partitionBy("none", "source").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
