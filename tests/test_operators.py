@@ -21,6 +21,7 @@ from pairloom.operators import sequences as S
 from pairloom.operators import similarity as SI
 from pairloom.operators import spectral as SP
 from pairloom.operators import walks as W
+from pairloom.session import written
 from pairloom.sources import tables as T
 
 
@@ -260,6 +261,40 @@ def test_propagation_equals_operator(spark):
     assert direct[0]["features"] == joined[0]["features"]
 
 
+def test_propagation_of_wide_vectors_and_many_rounds(spark):
+    r = np.random.default_rng(8)
+    m = np.where(r.random((6, 6)) < 0.5, r.random((6, 6)), 0) / 3
+    op = spark.createDataFrame([(1, int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "fold int, src long, dst long, weight double")
+    for width in (2, P.SIDE_BY_SIDE + 3):
+        x = r.normal(size=(6, width))
+        feats = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "fold int, node long, features array<double>")
+        want = sum(c * np.linalg.matrix_power(m, k) @ x for k, c in enumerate(P.polynomial_weights(7, 0.1)))
+        for entries in (P.BROADCAST_ENTRIES, 0):
+            got = P.propagate(op, feats, 7, 0.1, broadcast_entries=entries).orderBy("node").collect()
+            assert np.allclose([g["features"] for g in got], want)
+            some = P.propagate(op, feats.where("node < 2"), 2, 0.1, broadcast_entries=entries).select("node").collect()
+            reached = (np.eye(6) + (m > 0) + (m > 0) @ (m > 0))[:, :2].sum(1) > 0
+            assert sorted(r["node"] for r in some) == np.flatnonzero(reached).tolist()
+    assert P.propagate(op, feats.limit(0)).count() == 0
+
+
+def test_a_round_of_propagation_shuffles_its_sums_only(spark):
+    r = np.random.default_rng(8)
+    edges = [(1, int(a), int(b), 0.5) for a, b in r.integers(0, 50, (200, 2))]
+    op = written(spark.createDataFrame(edges, "fold int, src long, dst long, weight double"), "operator")
+    feats = spark.createDataFrame([(1, i, [1.0, 2.0]) for i in range(50)], "fold int, node long, features array<double>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows its exchanges only when it has run
+    try:
+        plan = P.propagate(op, feats, 4, broadcast_entries=0)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert plan.count("SortMergeJoin") == 4 and len(exchanges) <= 4 + 3, plan  # the sums of 4 rounds, the first state, the operator
+
+
 def test_no_test_pair_leaks(spark):
     pairs = spark.createDataFrame([(l, r) for l in range(6) for r in range(5) if (l * r) % 2], "left_idx long, right_idx long")
     expanded = FO.expand_folds(FO.assign_folds(pairs, 3))
