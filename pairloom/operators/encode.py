@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.session import written
+
 
 def embed_batches(
     df: DataFrame, encode: Callable[[list[str]], Sequence[Sequence[float]]], batch_size: int = 64, text: str = "text", width: int | None = None
@@ -15,7 +17,8 @@ def embed_batches(
     """(rows (id, features) that were encoded, rows (id, error) that were not).
 
     A batch that fails, or gives another number of vectors or vectors of different widths, is tried row
-    by row.  With ``width`` every vector must have that width; without it vectors of an encoder whose
+    by row.  The encoder is called once for each batch that is well: what it gives is written, and both
+    results read that.  With ``width`` every vector must have that width; without it vectors of an encoder whose
     width changes from batch to batch are not told apart.
     """
     if batch_size < 1:
@@ -41,6 +44,7 @@ def embed_batches(
                 yield pd.DataFrame({"id": part["id"], "features": [v for v, _ in found], "error": [e for _, e in found]})
 
     rows = df.select("id", F.col(text).alias("text")).mapInPandas(run, f"id {dict(df.dtypes)['id']}, features array<double>, error string")
+    rows = written(rows, "encoded")
     return rows.where("error is null").drop("error"), rows.where("error is not null").drop("features")
 
 

@@ -35,10 +35,9 @@ def standardize(df: DataFrame) -> DataFrame:
     return df.withColumn("features", F.zip_with(F.zip_with("features", mean, lambda x, m: x - m), std, lambda x, s: x / s))
 
 
-def _signed(components: np.ndarray) -> np.ndarray:
-    """Each column with its loading of greatest magnitude made positive."""
-    top = components[np.abs(components).argmax(0), np.arange(components.shape[1])]
-    return components * np.where(top < 0, -1.0, 1.0)
+def _signs(components: np.ndarray) -> np.ndarray:
+    """-1 for each column whose loading of greatest magnitude is negative, else 1."""
+    return np.where(components[np.abs(components).argmax(0), np.arange(components.shape[1])] < 0, -1.0, 1.0)
 
 
 def pca_pad(df: DataFrame, target_dim: int = 128) -> DataFrame:
@@ -56,9 +55,8 @@ def pca_pad(df: DataFrame, target_dim: int = 128) -> DataFrame:
     mean = F.array(*[F.lit(means[k]) for k in range(width)])
     centred = df.select("id", array_to_vector(F.zip_with(F.col("features").cast("array<double>"), mean, lambda x, m: x - m)).alias("x"))
     model = PCA(k=d, inputCol="x", outputCol="y").fit(centred)
-    loadings = _signed(model.pc.toArray())
-    dots = [F.aggregate(F.zip_with("x", F.array(*map(F.lit, loadings[:, k].tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) for k in range(d)]
-    return centred.select("id", vector_to_array("x").alias("x")).select("id", padded(F.array(*dots), target_dim).alias("features"))
+    signs = F.array(*map(F.lit, _signs(model.pc.toArray()).tolist()))
+    return model.transform(centred).select("id", padded(F.zip_with(vector_to_array("y"), signs, lambda y, s: y * s), target_dim).alias("features"))
 
 
 def safe_project(df: DataFrame, output_dim: int = 128) -> DataFrame:
@@ -69,11 +67,34 @@ def safe_project(df: DataFrame, output_dim: int = 128) -> DataFrame:
     return scaled.select("id", padded(F.col("features"), output_dim).alias("features"))
 
 
-def tfidf_svd(weights: DataFrame, dim: int = 128) -> DataFrame:
+#: Most bytes of right singular vectors that are sent to each worker.
+BROADCAST_BYTES = 64 << 20
+
+
+def _joined_projection(rows: DataFrame, v: np.ndarray) -> DataFrame:
+    """The projection of (id, places, weights) on right vectors that are too large for each worker, by a join of places.
+
+    The vectors leave the driver in slices; a row's sums are made before they are shuffled.
+    """
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "right")
+    d, step = v.shape[1], max(1, (16 << 20) // (8 * v.shape[1]))
+    for first in range(0, len(v), step):
+        part = v[first : first + step]
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(part.reshape(-1)))
+        spark.createDataFrame(pa.table({"place": np.arange(first, first + len(part)), "v": flat})).write.mode("append").parquet(path)
+    entries = rows.select("id", F.explode(F.arrays_zip("places", "weights")).alias("e")).select("id", F.col("e.places").cast("long").alias("place"), F.col("e.weights").alias("w"))
+    moved = entries.join(spark.read.parquet(path), "place")
+    sums = moved.groupBy("id").agg(*[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"f{k}") for k in range(d)])
+    return rows.select("id").join(sums, "id", "left").select("id", F.array(*[F.coalesce(f"f{k}", F.lit(0.0)) for k in range(d)]).alias("features"))
+
+
+def tfidf_svd(weights: DataFrame, dim: int = 128, ids: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, features): U times S of the truncated, uncentred decomposition of (id, gram, weight) rows.
 
-    min(dim, ids - 1, grams - 1) places; none if that isn't positive.  The right singular vectors, grams x
-    places, meet on the driver, as the decomposition itself has it; rows are then projected on them.
+    ``ids`` are all rows, those without a gram among them, whose features are zeros; without it they are
+    those of ``weights``.  min(dim, ids - 1, grams - 1) places; none if that isn't positive.  The right
+    singular vectors, grams x places, meet on the driver, as the decomposition itself has it; rows are
+    then projected on them where they fit ``BROADCAST_BYTES``, else joined with them by gram.
     """
     from pyspark.mllib.linalg import VectorUDT
     from pyspark.mllib.linalg.distributed import IndexedRowMatrix
@@ -85,6 +106,9 @@ def tfidf_svd(weights: DataFrame, dim: int = 128) -> DataFrame:
     places = dense_index(grams, [], "h", "place").join(grams, "h").select("gram", F.col("place").cast("int").alias("place"))
     entries = F.array_sort(F.collect_list(F.struct("place", "weight")))
     lists = weights.join(places, "gram").groupBy("id").agg(entries.alias("e")).select("id", F.col("e.place").alias("places"), F.col("e.weight").alias("weights"))
+    if ids is not None:
+        none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("places", "array<int>"), ("weights", "array<double>"))]
+        lists = ids.select("id").distinct().join(lists, "id", "left").select("id", *none)
     rows = written(lists, "rows")  # the rounds of the decomposition and the projection read them
     n_ids, n_grams = rows.count(), grams.count()
     d = min(dim, n_ids - 1, n_grams - 1)
@@ -95,7 +119,11 @@ def tfidf_svd(weights: DataFrame, dim: int = 128) -> DataFrame:
     rows.select(F.monotonically_increasing_id().alias("index"), sparse.alias("vector")).write.parquet(path)
     vectors = spark.read.schema(StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).parquet(path)
     matrix = IndexedRowMatrix(vectors, numCols=n_grams)
-    shared = spark.sparkContext.broadcast(_signed(matrix.computeSVD(d).V.toArray()))
+    v = matrix.computeSVD(d).V.toArray()
+    v = v * _signs(v)
+    if v.nbytes > broadcast_bytes:
+        return _joined_projection(rows, v)
+    shared = spark.sparkContext.broadcast(v)
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value

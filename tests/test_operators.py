@@ -407,6 +407,24 @@ def test_projections(spark):
     assert np.allclose(np.sqrt((u**2).sum(0)), np.linalg.svd(np.abs(x), compute_uv=False)[:2])
 
 
+def test_svd_has_a_row_for_every_text(spark):
+    texts = ["abcabcabd", "", "bcdbcd", "xy", "cdabcd ab", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    weights = S.trigram_tfidf(df).select("id", "gram", "weight")
+    grams = sorted({r["gram"] for r in weights.collect()})
+    a = np.zeros((6, len(grams)))
+    for r in weights.collect():
+        a[r["id"], grams.index(r["gram"])] = r["weight"]
+    for held in (R.BROADCAST_BYTES, 0):
+        got = R.tfidf_svd(weights, 128, df, broadcast_bytes=held).orderBy("id").collect()
+        u = np.array([r["features"] for r in got])
+        d = min(128, 5, len(grams) - 1)
+        assert [r["id"] for r in got] == list(range(6)) and u.shape == (6, d) and not u[[1, 3, 5]].any()
+        s = np.linalg.svd(a, compute_uv=False)
+        assert np.allclose(np.sqrt((u**2).sum(0)), s[:d], atol=1e-6) and np.allclose(u @ u.T, a @ a.T, atol=1e-6)
+    assert len(R.tfidf_svd(weights).collect()) == 3  # those of the weights alone
+
+
 def test_spectra(spark):
     r = np.random.default_rng(7)
     data = {1: r.normal(size=(13, 5)), 2: r.normal(size=(3, 5)), 3: r.normal(size=(4, 5))}
@@ -428,7 +446,7 @@ def test_spectra(spark):
     assert not {x["id"]: x for x in SP.mean_pool(df).collect()}[1]["truncated"]
 
 
-def test_encoders(spark):
+def test_encoders(spark, tmp_path):
     def encode(texts):
         if "bad" in texts:
             raise RuntimeError("no")
@@ -446,6 +464,17 @@ def test_encoders(spark):
         E.failure_report(*E.embed_batches(df.where("id = 1"), encode))
     with pytest.raises(ValueError):
         E.embed_batches(df, encode, 0)
+    calls = tmp_path / "calls"
+
+    def counted(texts):
+        with open(calls, "a") as f:
+            f.write("".join(f"{t} " for t in texts))
+        return [[1.0] for _ in texts]
+
+    many = spark.range(300).select("id", F.col("id").cast("string").alias("text")).repartition(3)
+    good, failed = E.embed_batches(many, counted, 7)
+    assert good.count() == 300 and failed.count() == 0 and good.count() == 300
+    assert sorted(map(int, calls.read_text().split())) == list(range(300))  # each row once, whoever reads
     seqs = df.select("id", F.col("text").alias("seq"))
     assert E.embed_sequences(seqs, lambda ts: [[[1.0]] * len(t) for t in ts]).count() == 4
     with pytest.raises(Exception, match="vectors for"):
