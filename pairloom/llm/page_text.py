@@ -11,9 +11,12 @@
    the page.  That tree is the host's template, and what stands between its tokens are slots.  A text
    token is fixed if it is on most of the pages that have the element it lies in.  A slot is
    boilerplate if most of its text on all pages is links.
-4. Fixed texts and link slots are dropped on every page, inside article and main too.  Elements and
-   names tell of the other slots which are navigation, comments and the like: these differ from page
-   to page as the main text does.  If an article or main element keeps any text, its slots are taken.
+4. The main slot of a host is the innermost element of its template that holds most of the text that is
+   neither fixed nor links, step by step from the page.  Slots outside of it are boilerplate, with all
+   rare elements in them.
+5. Fixed texts, link slots and outer slots are dropped on every page, the first two inside article and
+   main too.  Elements and names tell of the slots that are left which are comments and the like.  If an
+   article or main element keeps any text, its slots are taken.
 
 A host with too few pages has no template; its pages are judged by elements, names and their own links.
 """
@@ -40,6 +43,8 @@ SHARE, LEAST_PAGES = 0.5, 4
 TEXT_SHARE = 0.8
 #: A slot with a larger share of link text is boilerplate.
 LINKS = 0.6
+#: An element holds most of the text of the one around it with this share.
+MAIN_SHARE = 0.8
 #: Most template tokens that are broadcast to all pages; with more, pages and templates are joined by host.
 BROADCAST_TOKENS = 1_000_000
 #: Distinct pages with copies that are broadcast; with more, they are joined by host and digest.
@@ -48,7 +53,7 @@ BROADCAST_COPIES = 1_000_000
 KNOWN_HOSTS = 64
 #: Slots' paths and template texts.
 TEMPLATE = "array<struct<token:bigint,kind:int>>"
-PATH, LINK_SLOT, TEXT = 0, 1, 2
+PATH, LINK_SLOT, TEXT, OUTER = 0, 1, 2, 3
 
 # Elements by what they do to text.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "canvas", "object"}
@@ -58,13 +63,20 @@ SKIPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button",
 STRUCTURE = SKIPPED | {"html", "body", "article", "main", "section", "div", "header", "ul", "ol", "dl", "table", "figure", "details"}
 BLOCKS = STRUCTURE | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "blockquote", "pre", "address", "hr", "figcaption", "summary", "center", "title"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
-NAMES = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|alert|sidebar|(?:left|right)[_-]?side|widget|menu|nav\w*|"
-    r"breadcrumbs?|comments?|respond|disqus|reply|replies|footer|foot|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|"
-    r"popup|modal|overlay|search|toolbar|pagination|pager|tags|copyright|legal|skip)(?:$|[\s_-])|(?<![\w-])side(?![\w-])"
+# words that name boilerplate; those of headers do so outside of articles only
+NAMES = set(
+    "ad ads adsense advert adverts advertisement advertisements advertising advertorial banner banners promo promos promoted sponsor sponsors sponsored cookie cookies consent gdpr notice "
+    "alert alerts sidebar sidebars leftside rightside widget widgets menu menus nav navs navbar navigation navmenu breadcrumb breadcrumbs comment comments respond disqus reply replies "
+    "footer footers foot share sharing social related recommend recommended recommendation recommendations newsletter subscribe signup login popup modal overlay search toolbar pagination "
+    "pager tags copyright legal skip".split()
+)
+HEADERS = {"header", "masthead", "topbar"}
+# words that may stand beside those in a name with hyphens; with any other word a name is that of a subject
+BESIDE = set(
+    "site page pages main post posts entry entries article articles story stories blog single global top bottom left right center upper lower primary secondary sub mobile desktop user "
+    "block section area box bar panel wrap wrapper container content contents list lists item items link links icon icons button buttons btn group holder inner outer row col column "
+    "columns unit slot frame text title heading label toggle form field header head body dropdown collapse trail line message fixed sticky floating wp js id".split()
 )
-# these are boilerplate outside of articles only
-HEADERS = re.compile(r"(?i)(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])")
 # a quote without a second one is a sign like others
 _TAG = re.compile(r"""<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*+"|'[^']*+'|["'])*+)>""")
 # if the quotes swallow the end of the tag: quotes are signs like others
@@ -228,14 +240,26 @@ def _given_up(events: list[tuple[str, str, str]]) -> tuple[set[int], set[int]]:
     return unclosed, wrappers
 
 
+@lru_cache(1 << 14)
+def _named(names: str) -> tuple[bool, bool]:
+    """Whether names tell of boilerplate, and of a header: whole names, or such with common words and numbers beside them."""
+    found = [False, False]
+    for name in names.lower().split():
+        parts = {p for p in re.split("[_-]+", name) if p and not p.isdigit()}
+        for k, words in enumerate((NAMES, HEADERS)):
+            found[k] |= not parts.isdisjoint(words) and parts <= words | BESIDE
+        found[0] |= "side" in parts and parts <= {"side", "left", "right"}
+    return found[0], found[1]
+
+
 def _apart(element: tuple[str, str]) -> bool:
     """Whether an element around an article is boilerplate by its kind or names."""
-    return element[0] == "header" or element[1] and HEADERS.search(element[1]) is not None or _leaves([element])
+    return element[0] == "header" or _named(element[1])[1] or _leaves([element])
 
 
 def _leaves(path) -> bool:
     """Whether any element of a path is boilerplate by its kind or names wherever it stands."""
-    return any(e in SKIPPED or names and NAMES.search(names) is not None for e, names in path)
+    return any(e in SKIPPED or names and _named(names)[0] for e, names in path)
 
 
 def _in_article(path) -> bool:
@@ -246,7 +270,7 @@ def _skipped(path) -> bool:
     if _leaves(path):
         return True
     # a header of the page, not one inside the article
-    return any((e == "header" or HEADERS.search(names) is not None) and not _in_article(path[:k]) for k, (e, names) in enumerate(path))
+    return any((e == "header" or _named(names)[1]) and not _in_article(path[:k]) for k, (e, names) in enumerate(path))
 
 
 def _name(*parts) -> int:
@@ -274,28 +298,33 @@ def _copies(pages: DataFrame) -> DataFrame:
     return rows.groupBy("host", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
 
 
-def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
-    """(host, token, kind, parent, text characters, link characters, times, page, weight) of each token of each page.
+def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES, by_names: bool = True) -> DataFrame:
+    """(host, token, kind, parent, text characters, link characters, held, times, page, weight) of each token of each page.
 
-    The parent of a text is its slot, the parent of an element the one around it.  Copies of a page
-    weigh one together.
+    The parent of a text is its slot, the parent of an element the one around it.  ``held`` are the
+    characters of an element and all in it that are no links; what elements and names tell to be
+    boilerplate doesn't count in it, unless ``by_names`` is false.  Copies of a page weigh one together.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = _slot(())[0]
         for batch in batches:
             for host, page, html, copies in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                opened, texts, chars, link_chars = Counter(), Counter(), Counter(), Counter()
-                for path, _, text, linked in page_blocks(html or "", opened):
+                opened, texts, chars, link_chars, held = Counter(), Counter(), Counter(), Counter(), Counter()
+                for path, skipped, text, linked in page_blocks(html or "", opened):
                     slot = _slot(path)[0]
+                    if not (skipped and by_names):
+                        held[slot, text] += len(text)
+                        for k in range(len(path) + 1):
+                            held[path[:k]] += len(text) - linked
                     chars[slot] += len(text)
                     link_chars[slot] += linked
                     texts[slot, text] += 1
-                own = [(root, PATH, 0, chars[root], link_chars[root], 1)]
+                own = [(root, PATH, 0, chars[root], link_chars[root], held[()], 1)]
                 for path, n in opened.items():
                     slot = _slot(path)[0]
-                    own.append((slot, PATH, _slot(path[:-1])[0], chars[slot], link_chars[slot], n))
-                own += [(_text_name(slot, text), TEXT, slot, 0, 0, n) for (slot, text), n in texts.items()]
+                    own.append((slot, PATH, _slot(path[:-1])[0], chars[slot], link_chars[slot], held[path], n))
+                own += [(_text_name(slot, text), TEXT, slot, 0, 0, held[slot, text], n) for (slot, text), n in texts.items()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([host] * len(own)),
@@ -303,22 +332,22 @@ def template_tokens(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES)
                         pa.array([page] * len(own), pa.int64()),
                         pa.array([1 / (copies or 1)] * len(own), pa.float64()),
                     ],
-                    ["host", "token", "kind", "parent", "chars", "links", "times", "page", "weight"],
+                    ["host", "token", "kind", "parent", "chars", "links", "held", "times", "page", "weight"],
                 )
 
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
     copies = written(_copies(pages), "copies")
     rows = pages.select(_host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), "html", F.xxhash64("html").alias("digest"))
     rows = rows.join(F.broadcast(copies) if copies.count() <= broadcast_copies else copies, ["host", "digest"], "left").select("host", "page", "html", "copies")
-    return rows.mapInArrow(read, "host string, token long, kind int, parent long, chars long, links long, times long, page long, weight double")
+    return rows.mapInArrow(read, "host string, token long, kind int, parent long, chars long, links long, held long, times long, page long, weight double")
 
 
 def nested(tokens: list[dict]) -> list[dict]:
-    """The template of a host, as TEMPLATE, from its frequent tokens (token, kind, parent, pages, chars, links, vector)."""
+    """The template of a host, as TEMPLATE, from its frequent tokens (token, kind, parent, pages, chars, links, held, vector)."""
     size = Counter(t["vector"] for t in tokens)
     elements = {t["token"]: t for t in tokens if t["kind"] == PATH}
     root = elements[_slot(())[0]]
-    out = []
+    out, fixed = [], []
     for t in tokens:
         if size[t["vector"]] < 2:
             continue
@@ -329,24 +358,53 @@ def nested(tokens: list[dict]) -> list[dict]:
             out.append({"token": t["token"], "kind": LINK_SLOT if t["links"] > LINKS * t["chars"] else PATH})
         elif t["pages"] >= TEXT_SHARE * around["pages"] - 1e-6:
             out.append({"token": t["token"], "kind": TEXT})
-    return out
-
-
-def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> DataFrame:
-    """(host, template): the paths, link slots and fixed texts in the nested classes of each host."""
-    tokens = template_tokens(pages, broadcast_copies).groupBy("host", "token", "kind").agg(
+            fixed.append(t)
+    outer = _outer(elements, fixed, root["token"])
+    return [t | {"kind": OUTER} if t["token"] in outer else t for t in out]
+
+
+def _outer(elements: dict[int, dict], fixed: list[dict], root: int) -> set[int]:
+    """The elements that are neither around the main slot nor in it."""
+    held = {k: t["held"] for k, t in elements.items()}
+    for t in fixed:
+        at = t["parent"]
+        while at in held:
+            held[at] -= t["held"]
+            at = elements[at]["parent"]
+    inside: dict[int, list[int]] = {}
+    for k, t in elements.items():
+        inside.setdefault(t["parent"], []).append(k)
+    main, around = root, {root}
+    while inside.get(main):
+        most = max(inside[main], key=lambda k: (held[k], k))
+        if held[most] <= 0 or held[most] < MAIN_SHARE * held[main]:
+            break
+        main = most
+        around.add(main)
+    todo = [main]
+    while todo:
+        own = inside.get(todo.pop(), [])
+        around.update(own)
+        todo += own
+    return elements.keys() - around
+
+
+def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES, by_names: bool = True) -> DataFrame:
+    """(host, template): the paths, link slots, outer slots and fixed texts in the nested classes of each host."""
+    tokens = template_tokens(pages, broadcast_copies, by_names).groupBy("host", "token", "kind").agg(
         F.sum("weight").alias("pages"),
         # equal for equal occurrence vectors, whatever the order of pages
         F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).alias("vector"),
         F.min("parent").alias("parent"),
         F.sum("chars").alias("chars"),
         F.sum("links").alias("links"),
+        F.sum("held").alias("held"),
     )
     # weights of copies don't add up to whole numbers exactly
     often = written(tokens.where(F.col("pages") >= LEAST_PAGES - 1e-6), "tokens")  # read twice below
     hosts = often.where(F.col("token") == _slot(())[0]).select("host", F.col("pages").alias("all"))
     often = often.join(hosts, "host").where(F.col("pages") >= SHARE * F.col("all") - 1e-6)
-    own = F.struct("token", "kind", "parent", "pages", "chars", "links", F.col("vector").cast("string").alias("vector"))
+    own = F.struct("token", "kind", "parent", "pages", "chars", "links", "held", F.col("vector").cast("string").alias("vector"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("token", pa.int64()), ("kind", pa.int32())]))
@@ -357,22 +415,33 @@ def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES) -> Dat
     return often.groupBy("host").agg(F.collect_list(own).alias("own")).mapInArrow(nest, f"host string, template {TEMPLATE}")
 
 
-def main_text(html: str | None, template: list[dict] | None) -> str:
-    """The main text of a page under the template of its host."""
-    return _main_text(html, {t["token"]: t["kind"] for t in template or ()})
+def main_text(html: str | None, template: list[dict] | None, by_names: bool = True) -> str:
+    """The main text of a page under the template of its host; without ``by_names`` by the template alone."""
+    return _main_text(html, {t["token"]: t["kind"] for t in template or ()}, by_names)
+
+
+def _is_outer(path: tuple, known: dict[int, int]) -> bool:
+    """Whether the innermost element of a path that the template knows is outside of the main slot."""
+    for k in range(len(path), -1, -1):
+        kind = known.get(_slot(path[:k])[0])
+        if kind is not None:
+            return kind == OUTER
+    return False
 
 
-def _main_text(html: str | None, known: dict[int, int]) -> str:
+def _main_text(html: str | None, known: dict[int, int], by_names: bool = True) -> str:
     chars, links, left = Counter(), Counter(), []
     for path, skipped, text, linked in page_blocks(html or ""):
         chars[path] += len(text)
         links[path] += linked
         slot, _, inside = _slot(path)
-        if not skipped and not (known and (known.get(slot) == LINK_SLOT or _text_name(slot, text) in known)):
+        if not (skipped and by_names) and not (known and (known.get(slot) == LINK_SLOT or _text_name(slot, text) in known)):
             left.append((path, slot in known, inside, text))
-    if any(inside for _, _, inside, _ in left):
+    if by_names and any(inside for _, _, inside, _ in left):
         return "\n".join(text for _, _, inside, text in left if inside)
-    return "\n".join(text for path, slot, _, text in left if slot or links[path] <= LINKS * chars[path])
+    inner = [x for x in left if not _is_outer(x[0], known)] if known else left
+    # a page of another layout than its host's others may have all of its text outside
+    return "\n".join(text for path, slot, _, text in inner or left if slot or links[path] <= LINKS * chars[path])
 
 
 def extract_pages(pages: DataFrame, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:

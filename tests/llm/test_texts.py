@@ -267,6 +267,8 @@ def test_articles_in_boilerplate(html, want):
         ("<div data-id='comments'>a</div><div class='left-side'>b</div>", "a"),
         ("<article><div class='entry-header'><h1>Title</h1></div><div class='side-by-side'><p>Body</p></div><div class='entry-footer'>x</div></article>", "Title\nBody"),
         ("<div class='site-header'>Site</div><p>Body</p>", "Body"),
+        *((f"<article><section {n}><p>Kept</p></section><p>Body</p></article>", "Kept\nBody") for n in ("id='related-work'", "class='legal-analysis'", "class='search-algorithms'", "class='promotion-history'", "id=share-of-voice", "class='header-less design'")),
+        *((f"<article><div {n}><p>Gone</p></div><p>Body</p></article>", "Body") for n in ("class='related-posts'", "id=comment-list-12", "class='x share_buttons'", "class='legal-notice'", "class='ad-slot-3'", "id='cookie-banner'", "class='Search-Form'", "class='main-menu'")),
         ("<div class='header'>left open<article><p>Body</p></article>", "Body"),
         ("<p>a<script>x</script foo><p>b<script>y</scripts></script\n><p>c", "a\nb\nc"),
         ("<p>a<svg><svg><text>x</text></svg><text>y</text></svg>b<svg/>c", "abc"),
@@ -314,7 +316,7 @@ def brute_templates(pages):
     for host in {u.split("/")[2] for _, u, _ in pages}:
         own = [html for _, u, html in pages if u.split("/")[2] == host]
         seen, parent, chars, links = {}, {}, Counter(), Counter()
-        root = page_text._slot(())[0]
+        root, blocks, paths = page_text._slot(())[0], [], {()}
         for k, html in enumerate(own):
             opened = Counter()
             for path, _, text, linked in page_text.page_blocks(html, opened):
@@ -324,7 +326,10 @@ def brute_templates(pages):
                 parent[token] = slot
                 chars[slot] += len(text)
                 links[slot] += linked
+                if not page_text._skipped(path):
+                    blocks.append((path, token, len(text), linked))
             for path, n in opened.items():
+                paths.add(path)
                 seen.setdefault((page_text._slot(path)[0], page_text.PATH), [0] * len(own))[k] += n
                 parent[page_text._slot(path)[0]] = page_text._slot(path[:-1])[0]
         seen[root, page_text.PATH] = [1] * len(own)
@@ -342,9 +347,41 @@ def brute_templates(pages):
                 around = parent.get(around, root)
             if on[token, kind] >= page_text.TEXT_SHARE * on[around, page_text.PATH]:
                 out[host][token] = kind
+        fixed = {t for t, kind in out[host].items() if kind == page_text.TEXT}
+        token = lambda path: page_text._slot(path)[0]
+        # as it is in the code: a fixed text is taken off whole, another without its links
+        held = lambda path: sum((0 if t in fixed else n) - linked for p, t, n, linked in blocks if p[: len(path)] == path)
+        often_paths = [p for p in paths if (token(p), page_text.PATH) in often]
+        main = ()
+        while True:
+            best = max(((held(p), token(p), p) for p in often_paths if p[:-1] == main and p != ()), default=None)
+            if best is None or best[0] <= 0 or best[0] < page_text.MAIN_SHARE * held(main):
+                break
+            main = best[2]
+        for p in often_paths:
+            if token(p) in out[host] and p[: len(main)] != main and main[: len(p)] != p:
+                out[host][token(p)] = page_text.OUTER
     return out
 
 
+def test_templates_alone(spark):
+    """Without names, elements or articles: the template of a host tells its main text."""
+    r, pages = random.Random(3), []
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    for k in range(12):
+        body = "".join(f"<p>{line(30)}</p>" for _ in range(3))
+        nav = "".join(f"<div><a href=/{j}>{line(1)}</a></div>" for j in range(3))
+        html = f"<div class=p><div class=q>{nav}</div><div class=r>{line(3)}</div><div class=s><div><h2>{line(2)}</h2>{body}</div></div><div class=t>Contact us {line(2)}</div><div class=u>Fixed words</div></div>"
+        pages.append((k, f"http://a.example/{k}", html, body.replace("<p>", "").replace("</p>", "\n").strip()))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    template = page_text.templates(df, by_names=False).first()["template"]
+    for _, _, html, body in pages:
+        assert page_text.main_text(html, template, by_names=False).split("\n")[1:] == body.split("\n")
+        assert "Contact us" in page_text.main_text(html, None)
+    other = "<section><p>A page of another layout</p></section>"
+    assert page_text.main_text(other, template, by_names=False) == "A page of another layout"
+
+
 def test_templates_against_whole_hosts(spark):
     pages = random_pages(random.Random(11), 25)
     df = spark.createDataFrame([*pages, (None, None, pages[0][2])], "page_id long, url string, html string").repartition(7)
