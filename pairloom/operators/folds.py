@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.operators.ranking import global_rank, range_of
+from pairloom.operators.ranking import ROWS_A_PART, ordered_rank
 from pairloom.session import written
 
 
@@ -20,49 +20,49 @@ def positive_pairs(df: DataFrame, by: list[str] = (), label: str | None = "label
     return out
 
 
-def dense_index(ids: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
-    """(by, id, index): places of the sorted distinct ids from 0."""
-    distinct = written(ids.select(*by, column).where(F.col(column).isNotNull()).distinct(), "ids")  # read for the ranges, their sizes and the ranks
-    return global_rank(distinct, list(by), [F.col(column)], range_of(distinct, column), out)
+def dense_index(ids: DataFrame, by: list[str], column: str, out: str, rows: int | None = None, rows_a_part: int = ROWS_A_PART) -> DataFrame:
+    """(by, id, index): places of the sorted distinct ids from 0; ``rows`` is how many ids there are at most."""
+    rows = ids.count() if rows is None else rows
+    distinct = ids.select(*by, column).where(F.col(column).isNotNull()).distinct()
+    return ordered_rank(distinct, list(by), [column], rows, out, rows_a_part)
 
 
-def index_entities(pairs: DataFrame, by: list[str] = (), left: DataFrame | None = None, right: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def index_entities(pairs: DataFrame, by: list[str] = (), left: DataFrame | None = None, right: DataFrame | None = None, rows_a_part: int = ROWS_A_PART) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(edges with left_idx and right_idx, left mapping, right mapping).
 
-    The ids of the pairs are the universe, unless tables of entities are given.  Pairs and mappings are
-    written once, since each is read by several jobs.
+    The ids of the pairs are the universe, unless tables of entities are given.  The pairs are written
+    once, since each result reads them.
     """
     by, pairs = list(by), written(pairs, "pairs")
-    lefts = written(dense_index(left if left is not None else pairs, by, "left_id", "left_idx"), "left")
-    rights = written(dense_index(right if right is not None else pairs, by, "right_id", "right_idx"), "right")
+    n = pairs.count()
+    lefts = dense_index(left if left is not None else pairs, by, "left_id", "left_idx", n if left is None else None, rows_a_part)
+    rights = dense_index(right if right is not None else pairs, by, "right_id", "right_idx", n if right is None else None, rows_a_part)
     edges = pairs.join(lefts, [*by, "left_id"]).join(rights, [*by, "right_id"])
     return edges.select(*by, "left_id", "right_id", "left_idx", "right_idx"), lefts, rights
 
 
-def assign_folds(edges: DataFrame, k: int = 10, seed: int = 7777, by: list[str] = ()) -> DataFrame:
+def assign_folds(edges: DataFrame, k: int = 10, seed: int = 7777, by: list[str] = (), rows_a_part: int = ROWS_A_PART) -> DataFrame:
     """The edges with ``test_fold`` from 1; the first n mod k folds get one edge more.
 
     The order is that of md5(left_idx|right_idx|seed), so it depends on nothing but the pairs and the
-    seed; hashes are spread evenly, so their first digits are the ranges of the rank.  The keyed edges
-    and the result are written: ranks, sizes and whatever follows read them.
+    seed.  The keyed edges and the result are written: ranks, sizes and whatever follows read them.
     """
     if k < 2:
         raise ValueError(f"k must be at least 2, not {k}")
     by = list(by)
     key = F.md5(F.concat_ws("|", "left_idx", "right_idx", F.lit(seed)).cast("binary"))
     keyed = written(edges.withColumn("__key", key), "keyed")
-    part = F.conv(F.substring("__key", 1, 2), 16, 10).cast("int")
-    ranked = global_rank(keyed, by, [F.col("__key"), F.col("left_idx"), F.col("right_idx")], part, "__rank")
-    sizes = keyed.groupBy(*by).agg(F.count("*").alias("__n"))
+    n = keyed.count()
+    ranked = ordered_rank(keyed, by, ["__key", "left_idx", "right_idx"], n, "__rank", rows_a_part)
     if by:
+        sizes = keyed.groupBy(*by).agg(F.count("*").alias("__n"))
         if not sizes.where("__n < 2").isEmpty():
             raise ValueError("folds need at least two positive pairs")
         ranked = ranked.join(sizes, by)
     else:
-        n = sizes.first()[0]
         if n < 2:
             raise ValueError("folds need at least two positive pairs")
-        ranked = ranked.withColumn("__n", F.lit(n))
+        ranked = ranked.withColumn("__n", F.lit(n).cast("long"))
     used = F.least(F.lit(k), F.col("__n"))
     q, m = F.floor(F.col("__n") / used), F.col("__n") % used
     long, r = m * (q + 1), F.col("__rank")
@@ -74,8 +74,8 @@ def expand_folds(assigned: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, fold, split, left_idx, right_idx): each pair is in test of its fold and in train of all others."""
     by = list(by)
     folds = assigned.groupBy(*by).agg(F.max("test_fold").alias("__k"))
-    rows = assigned.join(F.broadcast(folds), by) if by else assigned.withColumn("__k", F.lit(folds.first()[0] or 1))  # one row for each dataset
-    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.col("__k"))))
+    rows = assigned.join(F.broadcast(folds), by) if by else assigned.crossJoin(F.broadcast(folds))  # one row for each dataset
+    rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(1), F.coalesce("__k", F.lit(1)))))
     split = F.when(F.col("fold") == F.col("test_fold"), "test").otherwise("train")
     return rows.select(*by, "fold", split.alias("split"), "left_idx", "right_idx")
 

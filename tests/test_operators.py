@@ -91,6 +91,26 @@ def test_ranks_and_sums(spark, parts):
     assert RK.global_rank(df.limit(0), ["g"], [F.col("v")], RK.range_of(df.limit(0), "v"), "r").count() == 0
 
 
+@pytest.mark.parametrize("a_part", [1000, 40, 7])
+def test_ordered_ranks(spark, a_part):
+    df = spark.range(300).select((F.col("id") * F.col("id") % 3).alias("g"), (F.col("id") * 37 % 301).alias("v"), F.lit(2).alias("w")).repartition(5)
+    for by in ([], ["g"]):
+        ranked = RK.ordered_rank(df, by, ["v"], 300, "r", a_part).collect()
+        for g in {tuple(r[c] for c in by) for r in ranked}:
+            own = sorted((r["v"], r["r"]) for r in ranked if tuple(r[c] for c in by) == g)
+            assert [r for _, r in own] == list(range(len(own)))
+        assert len(ranked) == 300 and RK.ordered_rank(df.limit(0), by, ["v"], 0, "r", a_part).count() == 0
+
+
+def test_folds_in_parts(spark):
+    """Indices and folds are the same however many ranges they are made in."""
+    pairs = spark.createDataFrame([(f"l{k * 7 % 23}", k * 5 % 31, k % 2) for k in range(200)], "left_id string, right_id long, dataset long").distinct()
+    for by in ([], ["dataset"]):
+        own = pairs.select("left_id", "right_id", *by).distinct()
+        want = rows(FO.assign_folds(FO.index_entities(own, by)[0], 3, by=by))
+        assert rows(FO.assign_folds(FO.index_entities(own, by, rows_a_part=6)[0], 3, by=by, rows_a_part=20)) == want
+
+
 def test_best_epochs(spark):
     nan = float("nan")
     df = spark.createDataFrame([(1, 2, 0.5), (1, 1, 0.5), (1, 3, 0.1), (2, 1, nan), (2, 2, None), (3, 1, nan), (3, 2, 0.0)], "fold int, epoch int, metric double")
