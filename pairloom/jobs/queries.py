@@ -359,6 +359,14 @@ def fit_score(spark, d):
     return fit_score_folds(rows, _start(spark, d), X.sizes(spark, d)[0])
 
 
+@query("m1_fit_score_propagated")
+def fit_score_propagated(spark, d):
+    """The classifier on features that were spread along the graph of each fold."""
+    rows = N.labelled_pairs(*_negatives(spark, d))
+    z = written(P.propagate(_moves(spark, d), _start(spark, d), 10, 0.1), "propagated")
+    return fit_score_folds(rows, z, X.sizes(spark, d)[0])
+
+
 @query("m2_evaluate_folds")
 def evaluate(spark, d):
     return evaluate_folds(written(fit_score(spark, d), "scored"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
-from pairloom.jobs.link_prediction import build_operators
+from pairloom.jobs.link_prediction import build_operators, fit_score_folds
 from pairloom.operators import cliques as C
 from pairloom.operators import encode as E
 from pairloom.operators import folds as FO
@@ -427,6 +427,35 @@ def test_projections(spark):
     assert np.allclose(np.sqrt((u**2).sum(0)), np.linalg.svd(np.abs(x), compute_uv=False)[:2])
 
 
+def test_folds_fitted_together(spark):
+    """One fit of all folds gives the scores of a fit for each."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    r = np.random.default_rng(6)
+    vectors = r.normal(size=(40, 3)) * [1, 5, 0.1] + [0, 2, 1]
+    z = spark.createDataFrame([(f, i, (v * f).tolist()) for f in (1, 2, 5) for i, v in enumerate(vectors)], "fold int, node long, features array<double>")
+    pairs = []
+    for f in (1, 2, 5):
+        for k in range(150 * f):
+            a, b = (int(x) for x in r.integers(0, 20, 2))
+            chance = 1 / (1 + math.exp(-(vectors[a, 0] - vectors[20 + b, 1] / 5 + f - 2)))
+            pairs.append((f, "train" if k % 3 else "test", a, b, int(r.random() < chance)))
+    df = spark.createDataFrame(pairs, "fold int, split string, left_idx long, right_idx long, label int")
+    got = fit_score_folds(df, z, 20, max_iter=100)
+    assert got.columns == ["fold", "left_idx", "right_idx", "label", "prob"] and got.count() == sum(p[1] == "test" for p in pairs)
+    joined = P.pair_features(df, z, 20).withColumn("x", array_to_vector("features"))
+    auc = {x["fold"]: x["roc_auc"] for x in M.roc_auc(got).collect()}
+    for f in (1, 2, 5):
+        own = joined.where(F.col("fold") == f)
+        model = LogisticRegression(featuresCol="x", maxIter=200, regParam=1e-3, tol=1e-9).fit(own.where("split = 'train'"))
+        alone = model.transform(own.where("split = 'test'")).select("fold", "left_idx", "right_idx", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("prob"))
+        assert math.isclose(M.roc_auc(alone).first()["roc_auc"], auc[f], abs_tol=1e-3)
+        both = alone.distinct().join(got.withColumnRenamed("prob", "other").distinct(), ["fold", "left_idx", "right_idx", "label"])
+        assert both.agg(F.max(F.abs(F.col("prob") - F.col("other")))).first()[0] < 0.01
+    assert fit_score_folds(df.limit(0), z, 20).count() == 0
+
+
 def test_svd_has_a_row_for_every_text(spark):
     texts = ["abcabcabd", "", "bcdbcd", "xy", "cdabcd ab", None]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
