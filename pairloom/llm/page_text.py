@@ -364,7 +364,7 @@ def nested(tokens: list[dict]) -> list[dict]:
 
 
 def _outer(elements: dict[int, dict], fixed: list[dict], root: int) -> set[int]:
-    """The elements that are neither around the main slot nor in it."""
+    """The elements that are neither around the main slot nor in it; one in an element that isn't known is neither."""
     held = {k: t["held"] for k, t in elements.items()}
     for t in fixed:
         at = t["parent"]
@@ -381,12 +381,16 @@ def _outer(elements: dict[int, dict], fixed: list[dict], root: int) -> set[int]:
             break
         main = most
         around.add(main)
-    todo = [main]
-    while todo:
-        own = inside.get(todo.pop(), [])
-        around.update(own)
-        todo += own
-    return elements.keys() - around
+
+    def below(top: int) -> set[int]:
+        found, todo = {top}, [top]
+        while todo:
+            own = inside.get(todo.pop(), [])
+            found.update(own)
+            todo += own
+        return found
+
+    return below(root) - below(main) - around
 
 
 def templates(pages: DataFrame, broadcast_copies: int = BROADCAST_COPIES, by_names: bool = True) -> DataFrame:

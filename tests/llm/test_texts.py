@@ -359,7 +359,8 @@ def brute_templates(pages):
                 break
             main = best[2]
         for p in often_paths:
-            if token(p) in out[host] and p[: len(main)] != main and main[: len(p)] != p:
+            known = all(p[:k] in often_paths for k in range(1, len(p)))  # not in an element that only wraps
+            if token(p) in out[host] and known and p[: len(main)] != main and main[: len(p)] != p:
                 out[host][token(p)] = page_text.OUTER
     return out
 
