@@ -289,10 +289,10 @@ def test_propagation_of_wide_vectors_and_many_rounds(spark):
         x = r.normal(size=(6, width))
         feats = spark.createDataFrame([(1, i, v.tolist()) for i, v in enumerate(x)], "fold int, node long, features array<double>")
         want = sum(c * np.linalg.matrix_power(m, k) @ x for k, c in enumerate(P.polynomial_weights(7, 0.1)))
-        for entries in (P.BROADCAST_ENTRIES, 0):
-            got = P.propagate(op, feats, 7, 0.1, broadcast_entries=entries).orderBy("node").collect()
+        for entries, group in ((P.BROADCAST_ENTRIES, 0), (0, P.BROADCAST_ENTRIES), (0, 0)):
+            got = P.propagate(op, feats, 7, 0.1, broadcast_entries=entries, group_entries=group).orderBy("node").collect()
             assert np.allclose([g["features"] for g in got], want)
-            some = P.propagate(op, feats.where("node < 2"), 2, 0.1, broadcast_entries=entries).select("node").collect()
+            some = P.propagate(op, feats.where("node < 2"), 2, 0.1, broadcast_entries=entries, group_entries=group).select("node").collect()
             reached = (np.eye(6) + (m > 0) + (m > 0) @ (m > 0))[:, :2].sum(1) > 0
             assert sorted(r["node"] for r in some) == np.flatnonzero(reached).tolist()
     assert P.propagate(op, feats.limit(0)).count() == 0
@@ -307,7 +307,7 @@ def test_a_round_of_propagation_shuffles_its_sums_only(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan shows its exchanges only when it has run
     try:
-        plan = P.propagate(op, feats, 4, broadcast_entries=0)._jdf.queryExecution().executedPlan().toString()
+        plan = P.propagate(op, feats, 4, broadcast_entries=0, group_entries=0)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("spark.sql.adaptive.enabled")
