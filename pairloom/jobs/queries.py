@@ -584,6 +584,30 @@ def spectral_features(spark, d):
     return SP.spectral_features(X.residues(spark, d))
 
 
+BAND_STATISTICS = ["coeff_energy", "coeff_energy_ratio", "fro_norm", "l1_over_l2", "max_abs", "mean_abs", "std", "sum_singular_sq"]
+
+
+@query("r5_band_statistics", """, s AS (SELECT id, count(*) AS n FROM v_residues GROUP BY 1), w AS (SELECT n, k, pos, cos(pi() * (2 * pos + 1) * k / (2 * n)) * sqrt((CASE WHEN k = 0 THEN 1 ELSE 2 END) / n::DOUBLE) AS w
+ FROM (SELECT DISTINCT n FROM s), (SELECT unnest(range(0, 25)) AS k), (SELECT unnest(range(0, 25)) AS pos) WHERE k < n AND pos < n),
+ e AS (SELECT id, s.n, k, d, sum(vec[d] * w) AS c FROM v_residues r JOIN s USING (id) JOIN w ON w.n = s.n AND w.pos = r.pos, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1, 2, 3, 4),
+ b AS (SELECT *, greatest(1, n // 8) AS lo, least(n, greatest(greatest(1, n // 8) + 1, n // 2)) AS mi FROM e), g AS (SELECT *, CASE WHEN k < lo THEN 'low' WHEN k < mi THEN 'mid' ELSE 'high' END AS band FROM b),
+ p AS (SELECT id, band, d, pos, sum(c * w) AS x FROM g JOIN w USING (n, k) GROUP BY 1, 2, 3, 4), t AS (SELECT id, sum(vec[d] * vec[d]) AS whole FROM v_residues, (SELECT unnest(range(1, 65)) AS d) GROUP BY 1)
+ SELECT id, band, round(sum(x * x), 6) AS coeff_energy, round(sum(x * x) / max(whole), 6) AS coeff_energy_ratio, round(sqrt(sum(x * x)), 6) AS fro_norm, round(sum(abs(x)) / sqrt(sum(x * x)), 6) AS l1_over_l2, round(max(abs(x)), 6) AS max_abs,
+ round(avg(abs(x)), 6) AS mean_abs, round(stddev_pop(x), 6) AS std, round(sum(x * x), 6) AS sum_singular_sq FROM p JOIN t USING (id) GROUP BY 1, 2""", "v_residues")
+def band_statistics(spark, d):
+    rows = SP.spectral_features(X.residues(spark, d)).select("id", F.explode(F.array(*map(F.lit, SP.BANDS))).alias("band"), "names", "features")
+    at = lambda k: F.try_element_at("features", F.array_position("names", F.concat_ws("_", "band", F.lit(k))).cast("int"))
+    return _rounded(rows.select("id", "band", *[at(k).alias(k) for k in BAND_STATISTICS]), *BAND_STATISTICS)
+
+
+@query("r6_short_sequences", """WITH x AS (SELECT vec_id // 3 AS id, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings), n AS (SELECT vec_id // 3 AS id, count(*) AS length, max(len(embedding)) AS dim FROM embeddings GROUP BY 1)
+ SELECT id, max(length) AS length, max(dim) AS dim, true AS fallback, round(avg(abs(x)), 6) AS mean_abs, round(stddev_pop(x), 6) AS std, round(sqrt(sum(x * x)), 6) AS fro_norm FROM x JOIN n USING (id) GROUP BY 1""")
+def short_sequences(spark, d):
+    residues = X.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("id"), (F.col("vec_id") % 3).alias("pos"), F.col("embedding").cast("array<double>").alias("vec"))
+    of = [F.get("features", F.lit(k)).alias(c) for k, c in ((2, "mean_abs"), (3, "std"), (4, "fro_norm"))]
+    return _rounded(SP.spectral_features(residues).select("id", "length", "dim", "fallback", *of), "mean_abs", "std", "fro_norm")
+
+
 @query("r1_pca")
 def pca(spark, d):
     return R.pca_pad(X.nodes(spark, d).select(F.col("node").alias("id"), "features"))

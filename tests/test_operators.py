@@ -495,6 +495,35 @@ def test_spectra(spark):
     assert not {x["id"]: x for x in SP.mean_pool(df).collect()}[1]["truncated"]
 
 
+def test_spectra_of_long_wide_and_broken_sequences(spark):
+    """Against the definition: runs of one band, slices of places, short and equal rows, positions without a vector."""
+    r = np.random.default_rng(11)
+    data = {1: r.normal(size=(9000, 20)), 2: np.ones((30, 20)), 3: r.normal(size=(70, 33)) + 100, 4: r.normal(size=(1, 40)), 5: np.zeros((8, 3))}
+    given = [(i, 2 * k, v.tolist()) for i, m in data.items() for k, v in enumerate(m)] + [(3, 7, None), (6, 0, None), (5, 9, [])]
+    df = spark.createDataFrame(given, "id long, pos int, vec array<double>").repartition(3)
+    out = {x["id"]: x for x in SP.spectral_features(df).collect()}
+    energies = {x["id"]: x for x in SP.band_energies(df).collect()}
+    assert sorted(out) == sorted(energies) == [1, 2, 3, 4, 5] and len(set(out[1]["names"])) == 159
+    for i, m in data.items():
+        n, width = m.shape
+        named = dict(zip(out[i]["names"], out[i]["features"]))
+        assert (out[i]["length"], out[i]["dim"], out[i]["fallback"]) == (n, width, n < 4)
+        for band, (a, b) in zip(SP.BANDS, SP.band_limits(n)):
+            own, back = [], np.zeros((n, width))
+            for k in np.array_split(np.arange(a, b), max(1, (b - a) // 500)):
+                basis = np.cos(np.pi * np.outer(k, 2 * np.arange(n) + 1) / (2 * n)) * np.sqrt(np.where(k == 0, 1, 2) / n)[:, None]
+                own.append(basis @ m)
+                back += basis.T @ own[-1]
+            own = np.concatenate(own)
+            assert math.isclose(energies[i][band], (own**2).sum(), rel_tol=1e-9, abs_tol=1e-9)
+            if n >= 4:
+                s = np.zeros(min(n, width))
+                s[: min(own.shape)] = np.linalg.svd(own, compute_uv=False)
+                want = {"std": back.std(), "mean_abs": np.abs(back).mean(), "max_abs": np.abs(back).max(), "sv_1": s[0], "sv_3": s[2], "mean_singular": s.mean(), "std_singular": s.std(), "rank": (s > 1e-9).sum()}
+                assert all(math.isclose(named[f"{band}_{k}"], v, rel_tol=1e-8, abs_tol=1e-8) for k, v in want.items() if k != "rank" or i != 2), (i, band)
+    assert SP.spectral_features(df.limit(0)).count() == 0
+
+
 def test_encoders(spark, tmp_path):
     def encode(texts):
         if "bad" in texts:
