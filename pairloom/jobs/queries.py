@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
 from pairloom.jobs import fixtures as X
+from pairloom.jobs import node_features as NF
 from pairloom.jobs.fixtures import with_views
 from pairloom.jobs.link_prediction import build_operators, evaluate_folds, fit_score_folds
 from pairloom.operators import cliques as C
@@ -111,6 +112,11 @@ def similarity_edges(spark, d):
     return SI.similarity_edges(X.nodes(spark, d), 10).withColumn("score", F.round("score", 6))
 
 
+@query("j1_similarity_approximate")
+def similarity_approximate(spark, d):
+    return SI.similarity_edges_approximate(X.nodes(spark, d), 10, 0.35)
+
+
 @query("p5_min_similarity", "SELECT src, dst, round(score, 6) AS score, rank FROM v_similar WHERE score >= 0.35", "v_similar")
 def min_similarity(spark, d):
     return SI.similarity_edges(X.nodes(spark, d), 10, 0.35).withColumn("score", F.round("score", 6))
@@ -513,7 +519,21 @@ def _groups(spark, d):
 
 @query("c5_all_groups")
 def all_groups(spark, d):
-    return S.joined_features(*_groups(spark, d), tfidf_svd(spark, d))
+    return NF.sequence_features(X.sequences(spark, d))
+
+
+@query("n1_node_features")
+def node_features(spark, d):
+    return NF.node_features(X.left_nodes(spark, d).select(F.col("node").alias("id"), "features"), X.sequences(spark, d))
+
+
+@query("n1_sequence_sums", """, t AS (SELECT id, coalesce(seq, '') AS seq FROM v_sequences), q AS (SELECT id, regexp_replace(seq, '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM t)
+ SELECT id, CAST(length(s) AS DOUBLE) AS length, CASE WHEN s = '' THEN 0.0 ELSE 1.0 END AS composition, CASE WHEN length(s) < 2 THEN 0.0 ELSE 1.0 END AS pairs,
+ round(CASE WHEN s = '' THEN 0 ELSE (length(s) - length(translate(s, 'FWYHSTNQCKRHDEAVILMGPC', ''))) / length(s)::DOUBLE + (length(s) - length(translate(s, 'HC', ''))) / length(s)::DOUBLE END, 6) AS properties FROM q""", "v_sequences")
+def sequence_sums(spark, d):
+    rows = NF.sequence_features(X.sequences(spark, d), 0)
+    total = lambda first, n: F.round(F.aggregate(F.slice("features", first, n), F.lit(0.0), lambda a, x: a + x), 6)
+    return rows.select("id", F.get("features", F.lit(420)).alias("length"), total(1, 20).alias("composition"), total(21, 400).alias("pairs"), total(422, 7).alias("properties"))
 
 
 # --- vectors -----------------------------------------------------------------------------------------

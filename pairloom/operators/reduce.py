@@ -60,9 +60,15 @@ def pca_pad(df: DataFrame, target_dim: int = 128) -> DataFrame:
 
 
 def safe_project(df: DataFrame, output_dim: int = 128) -> DataFrame:
-    """Standardised vectors, projected if they are wider than ``output_dim``, and padded to it."""
+    """Standardised vectors, projected if they are wider than ``output_dim`` or the rows are fewer, and padded to it.
+
+    A single row has zeros.
+    """
+    n, width = df.count(), _width(df)
+    if n == 1:
+        return df.select("id", F.array_repeat(F.lit(0.0), output_dim).alias("features"))
     scaled = standardize(df)
-    if _width(df) > output_dim and df.count() > 1:
+    if width > min(output_dim, n):
         return pca_pad(scaled, output_dim)
     return scaled.select("id", padded(F.col("features"), output_dim).alias("features"))
 

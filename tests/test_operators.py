@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom.functions import vectors as V
+from pairloom.jobs import node_features as NF
 from pairloom.jobs.link_prediction import build_operators, fit_score_folds
 from pairloom.operators import cliques as C
 from pairloom.operators import encode as E
@@ -146,6 +147,17 @@ def test_approximate_similarity(spark):
     assert len(got & {(i, (i + 20) % 40) for i in range(40)}) >= 36
 
 
+def test_recall_of_approximate_similarity(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 64)).repeat(10, 0) + r.normal(size=(600, 64)) * r.uniform(0.2, 1.5, size=(600, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>")
+    for least in (0.35, 0.6):
+        exact = {(r["src"], r["dst"]): r["score"] for r in SI.similarity_edges(df, 10, least).collect()}
+        got = {(r["src"], r["dst"]): r["score"] for r in SI.similarity_edges_approximate(df, 10, least).collect()}
+        assert len(exact) > 500 and len(exact.keys() & got.keys()) >= 0.9 * len(exact)
+        assert all(math.isclose(exact[e], got[e], abs_tol=1e-6) for e in exact.keys() & got.keys()) and min(got.values()) >= least - 1e-6
+
+
 def test_negatives(spark):
     pairs = spark.createDataFrame([(1, l, r) for l in range(6) for r in range(4) if (l + r) % 3 == 0], "fold int, left_idx long, right_idx long")
     train, test = pairs.where("left_idx < 4"), pairs.where("left_idx >= 4")
@@ -474,6 +486,41 @@ def test_svd_has_a_row_for_every_text(spark):
     assert len(R.tfidf_svd(weights).collect()) == 3  # those of the weights alone
 
 
+def test_node_features_of_both_sides(spark, tmp_path):
+    """Against numpy: features by definition, then the same products of rows (a projection may turn)."""
+    r = np.random.default_rng(5)
+    texts = ["".join(r.choice(list("ACDEFGHIKLMNPQRSTVWYXb "), size=int(n))) for n in r.integers(2, 60, 24)] + ["", None, "xx"]
+    vectors = r.normal(size=(9, 4))
+    left = spark.createDataFrame([(10 + 3 * i, v.tolist()) for i, v in enumerate(vectors)], "id long, features array<double>")
+    right = spark.createDataFrame([(100 - i, t) for i, t in enumerate(texts)], "id long, seq string")
+    raw = []
+    for t in texts:
+        v = [c for c in t or "" if c in S.AMINO_ACIDS]
+        n = max(len(v), 1)
+        pairs = [a + b for a, b in zip(v, v[1:])]
+        every = [a + b for a in S.AMINO_ACIDS for b in S.AMINO_ACIDS]
+        raw.append([v.count(a) / n for a in S.AMINO_ACIDS] + [pairs.count(p) / max(len(pairs), 1) for p in every] + [len(v)] + [sum(map(v.count, c)) / n for c in S.CLASSES.values()])
+    raw = np.array(raw)
+    own = {x["id"]: x["features"] for x in NF.sequence_features(right, 0).collect()}
+    assert np.allclose([own[100 - i] for i in range(len(texts))], raw)
+    whole = {x["id"]: x["features"] for x in NF.sequence_features(right, 6).collect()}
+    whole = np.array([whole[100 - i] for i in range(len(texts))])
+    assert whole.shape == (27, 434) and np.allclose(whole[:, :428], raw) and not whole[24:, 428:].any()
+    for dim in (40, 16):
+        made = NF.node_features(left, right, dim, 6)
+        got = made.orderBy("node").collect()
+        assert [(x["node"], x["side"], x["id"]) for x in got] == [(i, "left", 10 + 3 * i) for i in range(9)] + [(9 + i, "right", 74 + i) for i in range(27)]
+        x = np.array([x["features"] for x in got])
+        for mine, given in ((x[:9], vectors), (x[9:], whole[::-1])):
+            scaled = (given - given.mean(0)) / np.where((std := given.std(0)) == 0, 1, std)
+            u, s, _ = np.linalg.svd(scaled, full_matrices=False)
+            best = (u * s)[:, :dim]
+            assert mine.shape[1] == dim and np.allclose(mine @ mine.T, best @ best.T, atol=1e-6)
+    made.select("node", "features").write.parquet(str(tmp_path / "nodes.parquet"))
+    assert T.read_node_features(spark, str(tmp_path / "nodes.parquet"), 9, 27).count() == 36
+    assert R.safe_project(left.limit(1), 3).first()["features"] == [0.0] * 3
+
+
 def test_spectra(spark):
     r = np.random.default_rng(7)
     data = {1: r.normal(size=(13, 5)), 2: r.normal(size=(3, 5)), 3: r.normal(size=(4, 5))}
