@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.functions.vectors import padded
-from pairloom.session import shared_path, written
+from pairloom.operators.decompose import PART_BYTES, truncated_svd
+from pairloom.operators.folds import dense_index
+from pairloom.session import written
 
 
 def _width(df: DataFrame) -> int:
@@ -73,70 +72,21 @@ def safe_project(df: DataFrame, output_dim: int = 128) -> DataFrame:
     return scaled.select("id", padded(F.col("features"), output_dim).alias("features"))
 
 
-#: Most bytes of right singular vectors that are sent to each worker.
-BROADCAST_BYTES = 64 << 20
-
-
-def _joined_projection(rows: DataFrame, v: np.ndarray) -> DataFrame:
-    """The projection of (id, places, weights) on right vectors that are too large for each worker, by a join of places.
-
-    The vectors leave the driver in slices; a row's sums are made before they are shuffled.
-    """
-    spark, path = rows.sparkSession, shared_path(rows.sparkSession, "right")
-    d, step = v.shape[1], max(1, (16 << 20) // (8 * v.shape[1]))
-    for first in range(0, len(v), step):
-        part = v[first : first + step]
-        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * d), pa.array(part.reshape(-1)))
-        spark.createDataFrame(pa.table({"place": np.arange(first, first + len(part)), "v": flat})).write.mode("append").parquet(path)
-    entries = rows.select("id", F.explode(F.arrays_zip("places", "weights")).alias("e")).select("id", F.col("e.places").cast("long").alias("place"), F.col("e.weights").alias("w"))
-    moved = entries.join(spark.read.parquet(path), "place")
-    sums = moved.groupBy("id").agg(*[F.sum(F.col("w") * F.get("v", F.lit(k))).alias(f"f{k}") for k in range(d)])
-    return rows.select("id").join(sums, "id", "left").select("id", F.array(*[F.coalesce(f"f{k}", F.lit(0.0)) for k in range(d)]).alias("features"))
-
-
-def tfidf_svd(weights: DataFrame, dim: int = 128, ids: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def tfidf_svd(weights: DataFrame, dim: int = 128, ids: DataFrame | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, features): U times S of the truncated, uncentred decomposition of (id, gram, weight) rows.
 
     ``ids`` are all rows, those without a gram among them, whose features are zeros; without it they are
-    those of ``weights``.  min(dim, ids - 1, grams - 1) places; none if that isn't positive.  The right
-    singular vectors, grams x places, meet on the driver, as the decomposition itself has it; rows are
-    then projected on them where they fit ``BROADCAST_BYTES``, else joined with them by gram.
+    those of ``weights``.  min(dim, ids - 1, grams - 1) places; none if that isn't positive.  The decomposition
+    is one of random bases and rounds (``truncated_svd``), exact where the matrix has few places.
     """
-    from pyspark.mllib.linalg import VectorUDT
-    from pyspark.mllib.linalg.distributed import IndexedRowMatrix
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    from pairloom.operators.folds import dense_index
-
     grams = written(weights.select("gram", F.xxhash64("gram").alias("h")).distinct(), "grams")
-    places = dense_index(grams, [], "h", "place").join(grams, "h").select("gram", F.col("place").cast("int").alias("place"))
-    entries = F.array_sort(F.collect_list(F.struct("place", "weight")))
-    lists = weights.join(places, "gram").groupBy("id").agg(entries.alias("e")).select("id", F.col("e.place").alias("places"), F.col("e.weight").alias("weights"))
-    if ids is not None:
-        none = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("places", "array<int>"), ("weights", "array<double>"))]
-        lists = ids.select("id").distinct().join(lists, "id", "left").select("id", *none)
-    rows = written(lists, "rows")  # the rounds of the decomposition and the projection read them
+    rows = written((weights if ids is None else ids).select("id").distinct(), "rows")
     n_ids, n_grams = rows.count(), grams.count()
     d = min(dim, n_ids - 1, n_grams - 1)
     if d <= 0:
         return rows.select("id", F.array().cast("array<double>").alias("features"))
-    sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(n_grams).alias("size"), F.col("places").alias("indices"), F.col("weights").alias("values"))
-    spark, path = weights.sparkSession, shared_path(weights.sparkSession, "vectors")
-    rows.select(F.monotonically_increasing_id().alias("index"), sparse.alias("vector")).write.parquet(path)
-    vectors = spark.read.schema(StructType([StructField("index", LongType()), StructField("vector", VectorUDT())])).parquet(path)
-    matrix = IndexedRowMatrix(vectors, numCols=n_grams)
-    v = matrix.computeSVD(d).V.toArray()
-    v = v * _signs(v)
-    if v.nbytes > broadcast_bytes:
-        return _joined_projection(rows, v)
-    shared = spark.sparkContext.broadcast(v)
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
-        for batch in batches:
-            out = [w.values.to_numpy() @ v[p.values.to_numpy()] for p, w in zip(batch.column(1), batch.column(2), strict=True)]
-            flat = pa.array(np.concatenate(out) if out else np.zeros(0))
-            at = pa.array((np.arange(len(out) + 1) * d).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, flat)], ["id", "features"])
-
-    return rows.mapInArrow(project, f"id {dict(rows.dtypes)['id']}, features array<double>")
+    places = dense_index(grams, [], "h", "place").join(grams, "h").select("gram", "place")
+    numbers = written(dense_index(rows, [], "id", "row"), "numbers")
+    entries = weights.join(places, "gram").join(numbers, "id").select("row", "place", F.col("weight").alias("w"))
+    found = truncated_svd(entries, n_ids, n_grams, d, part_bytes=part_bytes)
+    return numbers.join(found, "row", "left").select("id", F.coalesce("features", F.array_repeat(F.lit(0.0), d)).alias("features"))

@@ -22,6 +22,7 @@ from pairloom.operators import sequences as S
 from pairloom.operators import similarity as SI
 from pairloom.operators import spectral as SP
 from pairloom.operators import walks as W
+from pairloom.operators.decompose import truncated_svd
 from pairloom.session import written
 from pairloom.sources import tables as T
 
@@ -476,8 +477,8 @@ def test_svd_has_a_row_for_every_text(spark):
     a = np.zeros((6, len(grams)))
     for r in weights.collect():
         a[r["id"], grams.index(r["gram"])] = r["weight"]
-    for held in (R.BROADCAST_BYTES, 0):
-        got = R.tfidf_svd(weights, 128, df, broadcast_bytes=held).orderBy("id").collect()
+    for held in (R.PART_BYTES, 1):
+        got = R.tfidf_svd(weights, 128, df, part_bytes=held).orderBy("id").collect()
         u = np.array([r["features"] for r in got])
         d = min(128, 5, len(grams) - 1)
         assert [r["id"] for r in got] == list(range(6)) and u.shape == (6, d) and not u[[1, 3, 5]].any()
@@ -486,6 +487,22 @@ def test_svd_has_a_row_for_every_text(spark):
     assert len(R.tfidf_svd(weights).collect()) == 3  # those of the weights alone
 
 
+def test_decomposition_in_blocks(spark):
+    """Leading values of a matrix with many places, in one block and in many; rows and places without an entry."""
+    r = np.random.default_rng(9)
+    a = (r.normal(size=(300, 40)) * 0.8 ** np.arange(40)) @ r.normal(size=(40, 500)) * (r.random((300, 500)) < 0.4)
+    a[[0, 77, 299]] = 0
+    a[:, 3] = 0
+    entries = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a))], "row long, place long, w double").repartition(5)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    signs = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
+    for part in (32 << 20, 8 * 15 * 100):
+        got = {x["row"]: x["features"] for x in truncated_svd(entries, 300, 500, 5, part_bytes=part).collect()}
+        x = np.array([got.get(i, [0.0] * 5) for i in range(300)])
+        assert set(got) <= set(range(300)) and not x[[0, 77, 299]].any()
+        assert np.allclose(np.sqrt((x**2).sum(0)), s[:5], rtol=1e-3) and np.allclose(x[:, :3], (u * s * signs)[:, :3], atol=0.02 * s[0])
+
+
 def test_node_features_of_both_sides(spark, tmp_path):
     """Against numpy: features by definition, then the same products of rows (a projection may turn)."""
     r = np.random.default_rng(5)
