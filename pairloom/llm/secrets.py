@@ -138,16 +138,18 @@ def _chances(pairs: list[int]) -> list[float]:
 def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """The kept columns (default: doc_id), ``__base`` and ``__spans``: array<struct<start, order, kind, end>> by start.
 
-    Places are code points, ends exclusive.  A null or empty text has no spans; repeated rows are
-    judged each; an empty table gives no rows.  The marked rows are written once.
+    Places are code points, ends exclusive.  A null or empty text has no spans, a text of any length is
+    searched whole; repeated rows are judged each; an empty table gives no rows.  Kept columns may have any
+    names but those two.  The marked rows are written once.
     """
     keep = keep or ["doc_id"]
+    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
     t = F.coalesce(quoted(text), F.lit(""))
     both = let(_spans(t), lambda b: F.struct(b.alias("base"), _tokens(t, b).alias("tokens")))
     # besides long tokens, each text gives one ordinary word of eight letters or more as a sample
     word = F.regexp_extract(t, "(?<![A-Za-z])[A-Z]?[a-z]{7,18}(?![A-Za-z0-9=_-])", 0)
     words = F.when(word != "", F.array(word)).otherwise(F.array().cast("array<string>"))
-    marked = written(docs.select(*map(quoted, keep), both.alias("__m"), words.alias("words")), "secrets")
+    marked = written(docs.select(*[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)], both.alias("__m"), words.alias("words")), "secrets")
     ratios = train(marked.select("__m.base", "__m.tokens", "words"))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
 
@@ -161,7 +163,7 @@ def find_secrets(docs: DataFrame, keep: list[str] | None = None, text: str = "te
         F.filter("__m.tokens", random),
         lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("order"), F.lit(ADDED).alias("kind"), s["end"].alias("end")),
     )
-    return marked.select(*map(quoted, keep), base.alias("__base"), F.sort_array(F.concat(base, added)).alias("__spans"))
+    return marked.select(*kept, base.alias("__base"), F.sort_array(F.concat(base, added)).alias("__spans"))
 
 
 def secrets_report(docs: DataFrame) -> DataFrame:

@@ -55,11 +55,13 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     Returns the key, ``size`` (UTF-8 bytes of the text plus 1; null text: 1), ``text_crc32``,
     ``law``, ``shard``, ``slot`` (gapless from 0 in each shard) and ``grown_shard``.  Rows of one key
     share a shard.  Only the key and a few numbers are shuffled, and a shard is numbered in parts, so
-    no task holds a whole one.  An empty table gives an empty result; other columns are not looked at.
+    no task holds a whole one.  A text of any length is read whole, and only its size and checksum leave.  An
+    empty table gives an empty result; other columns are not looked at.  The key comes first and keeps its name;
+    a column of the result that has the same name gets the prefix ``shard_``.
     """
     raw = F.encode(F.coalesce(quoted(text), F.lit("")), "UTF-8")
     rows = docs.select(
-        quoted(key),
+        quoted(key).alias("__key"),
         (F.octet_length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
         F.lit("key").alias("law"),
@@ -67,7 +69,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         shard_of(quoted(key), shards + 1).alias("grown_shard"),
     )
     ranked = grouped_rank(numbered(rows, "shards"), ["shard"], "slot")
-    return ranked.select(quoted(key), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    names = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    return ranked.select(F.col("__key").alias(key), *[F.col(c).alias(f"shard_{c}" if c == key else c) for c in names])
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, key: str = "doc_id") -> None:

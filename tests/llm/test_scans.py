@@ -105,6 +105,17 @@ def test_jump_hash():
         sharding.jump(keys, 0)
 
 
+def test_sharding_by_clashing_keys(spark):
+    df = spark.createDataFrame([(i % 7, "a" * i, i) for i in range(40)] + [(None, None, 1), (None, "", 1)], "shard long, text string, slot int")
+    want = {tuple(r)[1:] for r in sharding.shard_documents(df.withColumnRenamed("shard", "k"), 4, "k").drop("slot").collect()}
+    got = sharding.shard_documents(df, 4, "shard")
+    assert got.columns == ["shard", "size", "text_crc32", "law", "shard_shard", "slot", "grown_shard"]
+    assert {tuple(r)[1:] for r in got.drop("slot").collect()} == want and got.count() == 42
+    for name in ("size", "slot", "__row", "a.b"):
+        named = sharding.shard_documents(df.select(F.col("shard").alias(name), "text"), 4, name)
+        assert named.columns[0] == name and named.where(F.col(f"`{name}`").isNull()).count() == 2
+
+
 def test_sharding(spark):
     rows = [*enumerate(odd_texts()), (None, "a"), (None, None), (3, "again")]
     got = sharding.shard_documents(docs(spark, rows), 4).collect()

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from pairloom.llm import personal_data, quality, weak_supervision
+from pairloom.llm import personal_data, quality, secrets, weak_supervision
 from pairloom.llm.spans import find_spans
 
 ODD = ["", None, "   ", "\n\n \t", "x", "é 中文 ü", "a b c a b c a b", "one\none\n\none", "1.2.3.4.5.6.7.8", "a\x00b", "\x0b\x0c w"]
@@ -123,6 +123,30 @@ def test_quality(spark):
     assert not any(got[len(prose) + i]["kept"] for i in range(len(junk)))
 
 
+def test_quality_of_null_ids_and_repeated_rows(spark):
+    prose, junk, _ = quality_texts()
+    texts = [*prose, *junk, junk[0], junk[0], prose[0], prose[0], None, ""]
+    df = spark.createDataFrame([(None if i % 5 == 0 else i % 9, t, i) for i, t in enumerate(texts)], "doc_id long, text string, n int")
+    got = quality.quality_report(df).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = sorted([(None if i % 5 == 0 else i % 9, *brute_counts(t)) for i, t in enumerate(texts)], key=key)
+    assert sorted([tuple(r)[:6] for r in got], key=key) == want
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault(tuple(r)[1:6], set()).add(r["kept"])
+    assert all(len(verdicts[brute_counts(t)]) == 1 for t in (prose[0], junk[0], None))
+
+
+def test_secrets_kept_with_clashing_names(spark):
+    text = "password = abcDEF123456xyz and 0123456789abcdef0123"
+    names = ["words", "__m", "k1", "base", "a.b"]
+    df = spark.createDataFrame([(text, *[f"{c}{i}" for c in names]) for i in range(3)] + [(None, *[None] * 5)], ", ".join(["text string", *[f"`{c}` string" for c in names]]))
+    got = secrets.find_secrets(df, names)
+    assert got.columns == [*names, "__base", "__spans"]
+    found = sorted(tuple(r)[:5] for r in got.where(F.size("__base") == 2).collect())
+    assert found == [tuple(f"{c}{i}" for c in names) for i in range(3)] and got.count() == 4
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality.quality_report(none).count() == 0 and personal_data.personal_data_report(none).count() == 0
