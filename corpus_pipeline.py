@@ -7,11 +7,10 @@ packing.  Each works on all rows that the one before kept.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pairloom.llm.common import plain_columns, written
+from pairloom.llm.common import plain_columns
 from pairloom.llm.decontamination import decontaminate
-from pairloom.llm.near_duplicates import near_duplicates
+from pairloom.llm.near_duplicates import without_near_duplicates
 from pairloom.llm.packing import pack_documents
 from pairloom.llm.personal_data import mask_personal_data
 from pairloom.llm.quality import score_quality
@@ -28,16 +27,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of near duplicates: the one with the least doc_id, rows without one last.
 
-    Rows are told apart by a number of their own, so null and repeated doc_ids lose and hide nothing.
+    Rows are told apart by doc_id and text, so null and repeated doc_ids lose and hide nothing.
     """
     ship(spark)
     plain, text = plain_columns(docs)
-    doc_id = F.col(plain.columns[docs.columns.index("doc_id")])
-    rows = written(plain.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), F.col(text).alias("text"))).select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))
-    best = found.join(rows.select("__row", doc_id.alias("doc_id")), "__row").groupBy("component_id").agg(F.min(order).alias("best"))
-    return rows.join(best.select("best.__row"), "__row", "left_semi").select(plain.columns).toDF(*docs.columns)
+    names = ["doc_id" if k == docs.columns.index("doc_id") else c for k, c in enumerate(plain.columns)]
+    return without_near_duplicates(plain.toDF(*names), text=text).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
 
-from pairloom.llm.common import as_batch, mix, quoted, saved, shared_path, small_batches, temporary, text_slices, written
+from pairloom.llm.common import as_batch, mix, quoted, saved, shared_path, short_shuffles, small_batches, temporary, text_slices, written
 from pairloom.llm.components import components
 from pairloom.llm.sketches import SHINGLE, band_keys, fast_sketches, shingle_sets
 
@@ -54,12 +55,18 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, text: str = "text") -> D
                     bands=pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())),
                 )
 
-    return _keyed(docs, text).mapInArrow(sign, "doc_id long, key long, n_shingles long, node long, check long, bands array<long>")
+    schema = StructType().add("doc_id", docs.schema["doc_id"].dataType)
+    for name in ("key", "n_shingles", "node", "check"):
+        schema.add(name, "long")
+    return _keyed(docs, text).mapInArrow(sign, schema.add("bands", ArrayType(LongType())))
+
+
+def _key(text: str) -> Column:
+    return F.xxhash64("doc_id", quoted(text))
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    doc_id = F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, quoted(text)).alias("key"), quoted(text).alias("text"))
+    return docs.select("doc_id", _key(text).alias("key"), quoted(text).alias("text"))
 
 
 #: Two 64-bit names of a set tell sets apart; links name it by the first alone.
@@ -140,17 +147,7 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     doc_id has none either (null), and a row is kept if its doc_id is that of its component.  An empty
     table gives no rows; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    with small_batches(spark):
-        rows = written(signatures(docs, shingle, text), "signatures")
-    # a text that stands for its set: of the least doc_id, so that few rows have the same doc_id and text
-    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
-    sets_of = rows.where("n_shingles > 0").groupBy("node", "check").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(sets_of.select("node", "check", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
-    path = shared_path(spark, "components")
-    with temporary(spark), small_batches(spark):
-        final = saved(_components_of(docs, nodes, least, shingle, text), path)
-
+    rows, nodes, final = _linked(docs.withColumn("doc_id", F.col("doc_id").cast("long")), least, shingle, text)
     # few nodes are linked; the others are components of their own
     least_ids = final.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = final.join(least_ids, "component").select("node", F.lit(True).alias("linked"), "component_id")
@@ -161,6 +158,50 @@ def near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE,
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, least: int = LEAST, shingle: int = SHINGLE, text: str = "text") -> DataFrame:
+    """(doc_id, text) and the other columns of one row of each component: that of the least doc_id, rows without one last.
+
+    Rows without words are all kept; of rows that repeat a doc_id and text one is kept.  The rows are
+    read anew, not copied: until the result is written, only keys of the kept ones are on disk.  The
+    other columns must have plain names, as ``plain_columns`` gives them.
+    """
+    spark = docs.sparkSession
+    path = shared_path(spark, "winners")
+    with temporary(spark), short_shuffles(spark):
+        rows, nodes, final = _linked(docs, least, shingle, text)
+        # the row that stands for a set is the first of its rows in this order
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+        of_links = nodes.join(final, "node").groupBy("component").agg(first).select("first.key")
+        winners = of_links.union(nodes.join(final, "node", "left_anti").select("key")).distinct()
+        repeated = rows.where("n_shingles > 0").groupBy("key").agg((F.count("*") > 1).alias("repeated")).where("repeated")
+        winners = saved(winners.join(repeated, "key", "left").select(F.col("key").alias("__key"), F.col("repeated").isNotNull().alias("repeated")), path)
+
+    worded = F.coalesce(quoted(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(worded).withColumn("__key", _key(text))
+    out = keyed.join(winners.where("not repeated"), "__key", "left_semi")
+    if not winners.where("repeated").isEmpty():
+        # dealt to several tasks, which leave one row of each key, as one row may be repeated very often
+        deals = winners.where("repeated").select("__key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("__deal"))
+        dealt = keyed.withColumn("__deal", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
+        once = dealt.join(deals, ["__key", "__deal"], "left_semi").dropDuplicates(["__key", "doc_id", text])
+        out = out.union(once.select(out.columns))
+    return out.select(docs.columns).union(docs.where(~worded))
+
+
+def _linked(docs: DataFrame, least: int, shingle: int, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signatures of the rows, the nodes (a row for each set) and (node, component) of those that are linked with another."""
+    spark = docs.sparkSession
+    path = shared_path(spark, "components")
+    with small_batches(spark), short_shuffles(spark):
+        rows = written(signatures(docs, shingle, text), "signatures")
+        # a text that stands for its set: of the least doc_id, so that few rows have the same doc_id and text
+        chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("chosen")
+        sets_of = rows.where("n_shingles > 0").groupBy("node", "check").agg(chosen, F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        nodes = written(sets_of.select("node", "check", "chosen.doc_id", "chosen.key", "n", "bands"), "nodes")
+        with temporary(spark):
+            return rows, nodes, saved(_components_of(docs, nodes, least, shingle, text), path)
+
+
 def _components_of(docs: DataFrame, nodes: DataFrame, least: int, shingle: int, text: str) -> DataFrame:
     """(node, component) of the nodes that are linked with another."""
     entries = nodes.select("node", "n", F.explode("bands").alias("band"))

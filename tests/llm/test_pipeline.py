@@ -2,7 +2,9 @@
 
 import math
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -154,3 +156,38 @@ def test_null_and_repeated_keys(spark, tmp_path):
     spark.createDataFrame([(None, leak[:200]), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([(1, a), (None, leak)], "doc_id long, text string")
     assert corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect() == [(1, a)]
+
+
+def test_deduplicate_leaves_little_on_disk(spark, tmp_path):
+    """Neither a copy of the texts nor the shuffle files of what has run stay until the result is written."""
+    blocks = [Path(p.getPath()) for p in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shuffled = lambda: {p.name for b in blocks for p in b.rglob("shuffle_*.data")}
+    r = random.Random(6)
+    prose = [[f"w{r.random()}" for _ in range(300)] for _ in range(60)]
+    rows = [(i, " ".join([f"new{i}", *p])) for i, p in enumerate(prose * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    size = lambda p: sum(x.stat().st_size for x in Path(p).rglob("*.parquet"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before, kept = shuffled(), size(shared)
+    out = corpus_pipeline.deduplicate(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+    assert 10 * (size(shared) - kept) < size(tmp_path / "docs")
+    for _ in range(100):  # they are deleted in the background
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(map(tuple, out.collect())) == rows[:60]
+
+
+def test_deduplicate_repeated_rows(spark):
+    """Of rows repeated often one stays, with all of its own columns; rows without words all stay; doc_ids may be of another type."""
+    r = random.Random(3)
+    a, b, c = (" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(100)) for _ in range(3))
+    rows = [(a, None, k) for k in range(200)] + [(b, "x10", 1), (b, "x9", 2), (b, "x10", 3), (c, "x1", 4), (c + " new", "x0", 5)]
+    empty = [("\t \n", None, 6), ("", "x1", 7), ("", "x1", 7), (None, None, 8), (None, None, 8)]
+    docs = spark.createDataFrame(rows + empty, "text string, doc_id string, n int").repartition(7)
+    got = list(map(tuple, corpus_pipeline.deduplicate(spark, docs, "").collect()))
+    assert Counter(x for x in got if x[0] in {y[0] for y in empty}) == Counter(empty)
+    got = [x for x in got if x not in empty]
+    assert len(got) == 3 and set(got) <= set(rows) and {x[:2] for x in got} == {(a, None), (b, "x10"), (c + " new", "x0")}
