@@ -140,6 +140,27 @@ def test_similarity_against_numpy(spark, tile, monkeypatch):
     assert SI.similarity_edges(df, 99).groupBy("src").count().where("count = 22").count() == 23
 
 
+def test_tiles_take_few_pairs_in_double_precision(monkeypatch):
+    """Best pairs of two tiles, with many copies, as of all pairs; most pairs are told apart by single precision alone."""
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(700, 16)), r.normal(size=(1500, 16))
+    x[350:437], y[500:750] = x[0], x[0]
+    x, y = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, y))
+    taken, add = [], SI._Best.add
+    monkeypatch.setattr(SI._Best, "add", lambda self, row, other, score: (taken.append(len(row)), add(self, row, other, score)))
+    for a, b, same in ((x, y, False), (y, y, True)):
+        there, back = SI._met(a, b, 10, same)
+        for got, p, q in ((there, a, b), (back, b, a)):
+            if got is not None:
+                key = -np.round(p @ q.T, 9)
+                if same:
+                    np.fill_diagonal(key, np.inf)
+                want = {(i, int(j)) for i, v in enumerate(key) for j in np.lexsort((np.arange(len(v)), v))[:10]}
+                assert set(zip(got[0].tolist(), got[1].tolist())) == want
+                assert np.allclose(got[2], (p @ q.T)[got[0], got[1]])
+    assert sum(taken) < 0.1 * (2 * 700 * 1500 + 1500 * 1500)
+
+
 def test_approximate_similarity(spark):
     x = np.random.default_rng(2).normal(size=(20, 6))
     x = np.concatenate([x, x + 0.01])
