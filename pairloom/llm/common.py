@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.session import saved, shared_path, temporary, written  # noqa: F401  for the operators
+from pairloom.session import saved, shared_path, short_shuffles, temporary, written  # noqa: F401  for the operators
 
 #: Bytes of text that the numpy steps look at together; a longer text is looked at alone.
 SLICE_BYTES = 1 << 18
@@ -50,18 +50,6 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-@contextmanager
-def short_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is run inside the block go when it has run, not when the driver next collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 #: Rows that a task of a rank numbers.
 ROWS_A_PART = 50_000
 

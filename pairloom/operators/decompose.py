@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import written
+from pairloom.session import discard, saved, shared_path, short_shuffles, written
 
 #: Bytes of the part of a tall matrix that a task holds, and entries of an average block.
 PART_BYTES = 32 << 20
@@ -96,6 +96,10 @@ def _times(tall: DataFrame, m: np.ndarray) -> DataFrame:
 def _factors(tall: DataFrame, places: int) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and right vectors (as columns) of a tall matrix, by triangular factors of its partitions."""
 
+    def together(column: pa.Array) -> Iterator[np.ndarray]:
+        some = max(1, STRIP * places // max(1, len(column[0].values))) if len(column) else 1
+        yield from (column.slice(k, some).flatten().to_numpy() for k in range(0, len(column), some))
+
     def folded(parts: Iterator[np.ndarray]) -> np.ndarray:
         r = np.zeros((0, places))
         for x in parts:
@@ -103,7 +107,7 @@ def _factors(tall: DataFrame, places: int) -> tuple[np.ndarray, np.ndarray]:
         return r
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = folded(x.values.to_numpy() for batch in batches for x in batch.column(0))
+        r = folded(x for batch in batches for x in together(batch.column(0)))
         if len(r):
             yield pa.RecordBatch.from_arrays([_flat([r.reshape(-1)])], ["r"])
 
@@ -179,3 +183,120 @@ def truncated_svd(entries: DataFrame, rows: int, columns: int, dim: int, rounds:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(row_chunk) + chunk * row_chunk), pa.ListArray.from_arrays(at, pa.array(y.reshape(-1)))], ["row", "features"])
 
     return left.mapInArrow(rows_of, "row long, features array<double>").where(F.col("row") < rows)
+
+
+#: Places that are the first ones of each row's part as a dense block, the most frequent ones; rows of such a block.
+HEAD, BLOCK_ROWS = 8192, 1024
+#: Entries of a task, whose sums for all places leave it.
+TASK_ENTRIES = 50_000_000
+#: Bytes of right vectors that are sent to all workers.
+SHARED_BYTES = 64 << 20
+
+
+def _dealt(batch: pa.RecordBatch, weights: np.ndarray, kind: type) -> Iterator[tuple[pa.RecordBatch, tuple]]:
+    """Slices of rows (.., places, tf) and their parts of the matrix: a dense one of the first places, and (row, place, weight) of the others."""
+    for k in range(0, len(batch), BLOCK_ROWS):
+        part = batch.slice(k, BLOCK_ROWS)
+        place, tf = (part[c].flatten().to_numpy() for c in ("places", "tf"))
+        whose = np.repeat(np.arange(len(part)), part["places"].value_lengths().to_numpy())
+        w = tf * weights[place]
+        w /= np.sqrt(np.bincount(whose, w * w, len(part)))[whose]
+        w = w.astype(kind, copy=False)
+        first = place < HEAD
+        dense = np.zeros((len(part), min(HEAD, len(weights))), kind)
+        dense[whose[first], place[first]] = w[first]
+        rest = ~first
+        yield part, (dense, whose[rest], place[rest], w[rest])
+
+
+def _forth(part: tuple, right: np.ndarray) -> np.ndarray:
+    """The rows times the right vectors."""
+    dense, row, place, w = part
+    y = dense @ right[: dense.shape[1]]
+    for k in range(0, len(row), STRIP):
+        own, starts = np.unique(row[k : k + STRIP], return_index=True)
+        y[own] += np.add.reduceat(right[place[k : k + STRIP]] * w[k : k + STRIP, None], starts)
+    return y
+
+
+def _back(part: tuple, y: np.ndarray, total: np.ndarray) -> None:
+    """Adds the transposed rows times ``y``."""
+    dense, row, place, w = part
+    total[: dense.shape[1]] += dense.T @ y
+    order = np.argsort(place, kind="stable")
+    for k in range(0, len(order), STRIP):
+        at = order[k : k + STRIP]
+        own, starts = np.unique(place[at], return_index=True)
+        total[own] += np.add.reduceat(y[row[at]] * w[at, None], starts)
+
+
+def shared_places(columns: int, dim: int, more: int = MORE_PLACES) -> bool:
+    """Whether the right vectors are few enough for ``decomposed_rows``."""
+    return columns * (dim + more) * 8 <= SHARED_BYTES
+
+
+def decomposed_rows(rows: DataFrame, key: str, weights: np.ndarray, dim: int, count: int, entries: int, rounds: int = ROUNDS, more: int = MORE_PLACES, seed: int = 7) -> DataFrame:
+    """(key, features) like ``truncated_svd``, for a written table of rows (key, places, tf) with few enough places.
+
+    An entry is tf times the weight of its place, and each row has length 1; ``count`` are the rows, ``entries`` theirs.
+    A row stays where it is: its part of the matrix is multiplied by the right vectors, which all workers have, and
+    by itself transposed, and only a task's sums for all places leave it.  The rounds are in single precision, the last one
+    and the result in double.  The driver holds the right vectors, at most SHARED_BYTES.
+    """
+    spark, columns = rows.sparkSession, len(weights)
+    places = min(dim + more, count, columns)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-entries // TASK_ENTRIES))
+    few, held = rows.select("places", "tf").coalesce(tasks), spark.sparkContext.broadcast(weights)
+    chunk = 256
+    right = np.random.default_rng(seed).normal(size=(columns, places))
+    for k in range(1, rounds + 1):
+        kind = np.float64 if k == rounds else np.float32
+        shared = spark.sparkContext.broadcast(right.astype(kind))
+
+        def around(batches: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((columns, places), kind)
+            for batch in batches:
+                for _, part in _dealt(batch, held.value, kind):
+                    _back(part, _forth(part, shared.value), total)
+            for c in range(0, columns, chunk):
+                x = total[c : c + chunk].reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array([c // chunk]), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))], ["chunk", "x"])
+
+        def add(table: pa.Table) -> pa.Table:
+            total = np.sum([x.values.to_numpy() for x in table["x"]], axis=0, dtype=np.float64)
+            return pa.table({"chunk": table["chunk"][:1], "x": _flat([total])})
+
+        path = shared_path(spark, "right")
+        with short_shuffles(spark):
+            sums = few.mapInArrow(around, "chunk long, x array<double>" if k == rounds else "chunk long, x array<float>").groupBy("chunk").applyInArrow(add, _CHUNKS)
+            tall = saved(sums, path)
+            basis = _basis(*_factors(tall, places))
+            table = tall.toArrow().sort_by("chunk")
+        right = table["x"].combine_chunks().flatten().to_numpy().reshape(columns, places) @ basis
+        shared.destroy()
+        discard(spark, path)
+    shared = spark.sparkContext.broadcast(right)
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own in _dealt(batch, held.value, np.float64):
+                y = _forth(own, shared.value)
+                at = pa.array((np.arange(len(part) + 1) * places).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part[key], pa.ListArray.from_arrays(at, pa.array(y.reshape(-1)))], [key, "x"])
+
+    kind = dict(rows.dtypes)[key]
+    left = written(rows.select(key, "places", "tf").mapInArrow(ahead, f"{key} {kind}, x array<double>"), "left")
+    shared.destroy()
+    s, v = _factors(left, places)
+    turned = right @ v
+    scores = np.zeros((places, dim))
+    width = min(dim, len(s))
+    scores[:, :width] = (v * np.where(turned.max(0) < -turned.min(0), -1.0, 1.0))[:, :width]
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch["x"].flatten().to_numpy().reshape(len(batch), places) @ scores
+            at = pa.array((np.arange(len(batch) + 1) * dim).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch[key], pa.ListArray.from_arrays(at, pa.array(y.reshape(-1)))], [key, "features"])
+
+    return left.mapInArrow(rows_of, f"{key} {kind}, features array<double>")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import written
+from pairloom.session import discard, saved, shared_path, short_shuffles, written
 
 # Amino acids in the order of the composition, letters of a clean sequence, classes of letters.
 AMINO_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
@@ -101,6 +101,35 @@ def dipeptide_vectors(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFr
     return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, features array<double>")
 
 
+def sequence_vectors(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
+    """(id, features): composition, pairs of letters and properties of the amino acids of each row, 428 places, in one pass."""
+    places = np.full(128, -1)
+    places[[ord(a) for a in AMINO_ACIDS]] = range(len(AMINO_ACIDS))
+    size = len(AMINO_ACIDS)
+    classes = np.array([[a in c for c in CLASSES.values()] for a in AMINO_ACIDS], float)
+    width = size + size * size + 1 + len(CLASSES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
+                out = np.zeros((len(part), width))
+                for i, t in enumerate(part.column(1)):
+                    x = places[np.frombuffer((t.as_py() or "").encode(), np.uint8)]
+                    if len(x):
+                        own = np.bincount(x, minlength=size)
+                        out[i, :size] = own / len(x)
+                        out[i, size + size * size] = len(x)
+                        out[i, size + size * size + 1 :] = own @ classes / len(x)
+                    if len(x) > 1:
+                        out[i, size : size + size * size] = np.bincount(size * x[:-1] + x[1:], minlength=size * size) / (len(x) - 1)
+                at = pa.array((np.arange(len(part) + 1) * width).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(out.ravel()))], ["id", "features"])
+
+    rows = df.select(F.col(id).alias("id"), F.regexp_replace(F.coalesce(F.col(seq), F.lit("")), f"[^{AMINO_ACIDS}]", "").alias("s"))
+    return rows.mapInArrow(count, f"id {dict(rows.dtypes)['id']}, features array<double>")
+
+
 def dipeptides(df: DataFrame, id: str = "id", seq: str = "seq") -> DataFrame:
     """(id, pair, fraction) of the pairs that occur: the sparse long form."""
     names = F.array(*[F.lit(a + b) for a in AMINO_ACIDS for b in AMINO_ACIDS])
@@ -144,6 +173,44 @@ def _named_grams(often: DataFrame) -> DataFrame:
     return often.mapInArrow(name, "code long, gram string, df long")
 
 
+def _spaced(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"\s\s+", " ")
+
+
+def gram_vectors(df: DataFrame, id: str, text: str, few: Callable[[int], bool]) -> tuple[DataFrame | None, np.ndarray, int, int]:
+    """((id, places, tf), weights of the places, rows, entries): the counts of grams of ``trigram_tfidf``, a row for each text.
+
+    Places are those of the grams by falling numbers of texts.  None for the rows if ``few`` doesn't hold for the number of
+    distinct grams.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "grams")
+    counts = saved(_gram_counts(df.select(F.col(id).alias("id"), _spaced(F.col(text)).alias("t"))), path)
+    with short_shuffles(spark):
+        often = written(counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df")), "vocabulary")
+    n, (grams, entries) = counts.count(), often.agg(F.count("*"), F.sum("df")).first()
+    if not few(grams):
+        discard(spark, path)
+        return None, np.zeros(0), n, entries or 0
+    table = often.toArrow().sort_by([("df", "descending"), ("code", "ascending")])
+    codes, df_of = table["code"].to_numpy(), table["df"].to_numpy()
+    order = np.argsort(codes)
+    shared = spark.sparkContext.broadcast((codes[order], order.astype(np.int32)))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, places = shared.value
+        for batch in batches:
+            for k in range(0, len(batch), 1024):
+                part = batch.slice(k, 1024)
+                place = places[np.searchsorted(codes, part["codes"].flatten().to_numpy())] if len(codes) else np.zeros(0, np.int32)
+                at = pa.array(np.concatenate([[0], np.cumsum(part["codes"].value_lengths().to_numpy())]).astype(np.int32))
+                tf = part["counts"].flatten().to_numpy().astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part["id"], *(pa.ListArray.from_arrays(at, pa.array(v)) for v in (place, tf))], ["id", "places", "tf"])
+
+    rows = written(counts.mapInArrow(placed, f"id {dict(counts.dtypes)['id']}, places array<int>, tf array<int>"), "vectors")
+    discard(spark, path)
+    return rows, np.log((1.0 + n) / (1 + df_of)) + 1, n, entries or 0
+
+
 def trigram_tfidf(df: DataFrame, id: str = "id", text: str = "text", broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(id, gram, tf, df, weight): grams of three characters, raw counts times ln((1 + n) / (1 + df)) + 1, at length 1 for each id.
 
@@ -151,8 +218,7 @@ def trigram_tfidf(df: DataFrame, id: str = "id", text: str = "text", broadcast_g
     Grams are counted where their text is; only the table of distinct grams is shuffled, and broadcast
     if it has at most ``broadcast_grams`` rows.
     """
-    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s\s+", " ")
-    counts = written(_gram_counts(df.select(F.col(id).alias("id"), t.alias("t"))), "grams")
+    counts = written(_gram_counts(df.select(F.col(id).alias("id"), _spaced(F.col(text)).alias("t"))), "grams")
     often = counts.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("df"))
     often, n = written(_named_grams(often), "vocabulary"), counts.count()
     if often.count() > broadcast_grams:

@@ -508,6 +508,32 @@ def test_svd_has_a_row_for_every_text(spark):
     assert len(R.tfidf_svd(weights).collect()) == 3  # those of the weights alone
 
 
+def test_decomposition_of_texts_by_rows(spark, monkeypatch):
+    """Products of rows as they lie are those of numpy, with dense and single places; nothing has a row for each gram."""
+    from pairloom.operators import decompose as D
+
+    r = np.random.default_rng(12)
+    texts = ["".join(r.choice(list("abcde"), p=[0.5, 0.2, 0.15, 0.1, 0.05], size=int(n))) for n in r.integers(0, 40, 60)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    weights = [(x["id"], x["gram"], x["weight"]) for x in S.trigram_tfidf(df).collect()]
+    grams = sorted({g for _, g, _ in weights})
+    a = np.zeros((61, len(grams)))
+    for i, g, w in weights:
+        a[i, grams.index(g)] = w
+    monkeypatch.setattr(R, "tfidf_svd", None)
+    monkeypatch.setattr(S, "trigram_tfidf", None)
+    u, s, vt = np.linalg.svd(a, full_matrices=False)
+    signs = np.sign(vt[np.arange(len(vt)), np.abs(vt).argmax(1)])
+    for head, strip in ((4096, 16384), (7, 5)):
+        monkeypatch.setattr(D, "HEAD", head)
+        monkeypatch.setattr(D, "STRIP", strip)
+        got = {x["id"]: x["features"] for x in R.text_svd(df, 12).collect()}
+        x = np.array([got[i] for i in range(61)])
+        assert x.shape == (61, 12) and not x[60].any()
+        assert np.allclose(np.sqrt((x**2).sum(0)), s[:12], rtol=1e-3) and np.allclose(x[:, :3], (u * s * signs)[:, :3], atol=0.02 * s[0])
+    assert [x["features"] for x in R.text_svd(df.limit(1), 12).collect()] == [[]]
+
+
 def test_decomposition_in_blocks(spark):
     """Leading values of a matrix with many places, in one block and in many; rows and places without an entry."""
     r = np.random.default_rng(9)
