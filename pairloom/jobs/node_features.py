@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.operators import sequences as S
 from pairloom.operators.folds import dense_index
-from pairloom.operators.reduce import safe_project, tfidf_svd
+from pairloom.operators.reduce import safe_project, text_svd
 from pairloom.session import written
 from pairloom.sources.tables import stack_features
 
@@ -15,17 +15,11 @@ from pairloom.sources.tables import stack_features
 def sequence_features(sequences: DataFrame, tfidf_dim: int = 128) -> DataFrame:
     """(id, features) of rows (id, seq), one for each id: composition, pairs of letters, properties, decomposed weights of grams.
 
-    Letters that are no amino acids count in the grams only.  A null or empty sequence has zeros.  Ids are
+    Letters that are no amino acids count in the grams only.  The rows are read twice.  A null or empty sequence has zeros.  Ids are
     distinct and not null.  Without ``tfidf_dim`` there are 428 places.
     """
-    valid = F.regexp_replace(F.coalesce("seq", F.lit("")), f"[^{S.AMINO_ACIDS}]", "")
-    rows = written(sequences.select("id", F.coalesce("seq", F.lit("")).alias("text"), valid.alias("seq")), "sequences")
-    counted = rows.select("id", S.composition(F.col("seq")).alias("composition"), S.physico_chemical(F.col("seq")).alias("properties"))
-    groups = [counted.select("id", F.col("composition").alias("features")), S.dipeptide_vectors(rows), counted.select("id", F.col("properties").alias("features"))]
-    if tfidf_dim > 0:
-        weights = written(S.trigram_tfidf(rows.select("id", "text")).select("id", "gram", "weight"), "weights")
-        groups.append(tfidf_svd(weights, tfidf_dim, rows))
-    return S.joined_features(*groups)
+    own = S.sequence_vectors(sequences)
+    return S.joined_features(own, text_svd(sequences, tfidf_dim, text="seq")) if tfidf_dim > 0 else own
 
 
 def node_features(left: DataFrame, right: DataFrame, output_dim: int = 128, tfidf_dim: int = 128) -> DataFrame:
