@@ -449,6 +449,23 @@ def test_vectors(spark):
     assert sorted(r["features"] for r in flat.collect()) == [[-1.0, 0.0], [1.0, 0.0]]
 
 
+def test_sums_of_scores_without_the_scores(spark, monkeypatch):
+    """As the scores' own sums and counts, in two groups with parts that are not reached; no score is made."""
+    r = np.random.default_rng(14)
+    pairs = {(f, int(a), int(b)) for f in (1, 2) for a, b in r.integers(0, 200, (260 * f, 2)) if a != b} | {(1, 500, 501), (2, 7, 900)}
+    g = spark.createDataFrame(sorted(pairs), "fold int, src long, dst long")
+    x = r.normal(size=(1000, 3))
+    ends = spark.createDataFrame([(f, i, v.tolist()) for f in (1, 2) for i, v in enumerate(x)], "fold int, node long, features array<double>")
+    want = {}
+    for w in W.restart_scores(g, prune=0.0, eps=1e-12).collect():
+        n, v = want.get((w["fold"], w["src"]), (0, 0))
+        want[w["fold"], w["src"]] = (n + 1, v + w["weight"] * x[w["dst"]])
+    monkeypatch.setattr(W, "restart_scores", None)
+    monkeypatch.setattr(W, "WORDS", 1)
+    got = {(w["fold"], w["src"]): (w["reached"], w["features"]) for w in W.restart_sums(g, ends).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.allclose(got[k][1], want[k][1], atol=1e-7) for k in want)
+
+
 def test_projections(spark):
     x = np.random.default_rng(6).normal(size=(30, 6)) * [5, 3, 1, 1, 1, 1]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
