@@ -180,6 +180,18 @@ def test_recall_of_approximate_similarity(spark):
         assert all(math.isclose(exact[e], got[e], abs_tol=1e-6) for e in exact.keys() & got.keys()) and min(got.values()) >= least - 1e-6
 
 
+def test_approximate_similarity_by_lists(spark):
+    """A row visits a few lists: recall on clustered nodes, scores as they are, no node beside itself, copies of one vector."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(60, 64)).repeat(10, 0) + r.normal(size=(600, 64)) * r.uniform(0.2, 1.5, size=(600, 1))
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, features array<double>")
+    exact = {(e["src"], e["dst"]): e["score"] for e in SI.similarity_edges(df, 10, 0.35).collect()}
+    got = {(e["src"], e["dst"]): e["score"] for e in SI.similarity_edges_approximate(df, 10, 0.35, list_rows=20, probes=10).collect()}
+    assert len(exact.keys() & got.keys()) >= 0.9 * len(exact) and all(a != b for a, b in got)
+    assert all(math.isclose(exact[e], got[e], abs_tol=1e-6) for e in exact.keys() & got.keys()) and min(got.values()) >= 0.35
+
+
 def test_negatives(spark):
     pairs = spark.createDataFrame([(1, l, r) for l in range(6) for r in range(4) if (l + r) % 3 == 0], "fold int, left_idx long, right_idx long")
     train, test = pairs.where("left_idx < 4"), pairs.where("left_idx >= 4")
